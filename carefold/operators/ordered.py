@@ -26,8 +26,8 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, str], by: list[str
     ``df`` holds one row per (by, key). ``totals`` maps output name -> column to accumulate."""
     by = list(by or [])
     cuts = _boundaries(df, key)
-    piece = F.coalesce(F.size(F.filter(cuts, lambda b: b <= F.col(key))), F.lit(0))
-    cut = df.withColumn("_piece", piece)
+    piece = F.coalesce(F.size(F.filter("_cuts", lambda b: b <= F.col(key))), F.lit(0))
+    cut = df.withColumn("_cuts", cuts).withColumn("_piece", piece).drop("_cuts")
 
     def order(name):
         return F.col(name).desc() if descending else F.col(name).asc()
