@@ -182,7 +182,8 @@ def with_views(views: str, body: str) -> str:
     if not order:
         return body
     head = ", ".join(f"{n} AS ({CTE[n][1]})" for n in order)
-    return f"WITH {head}{',' if body.lstrip().startswith(',') else ''} {body.lstrip().lstrip(',')}"
+    more = body.lstrip().startswith(",")
+    return f"WITH RECURSIVE {head}{',' if more else ''} {body.lstrip().lstrip(',')}"
 
 
 def _register_constants() -> None:
