@@ -19,29 +19,44 @@ def icd_prefix(code: Column, mode: str = "first3") -> Column:
     return F.substring(code, 1, 3) if mode == "first3" else F.substring_index(code, ".", 1)
 
 
-def _chapter(code: Column, pick) -> Column:
+def icd_range(code: Column) -> Column:
+    """Chapter range such as ``I00-I99``; null when the code belongs to none.
+
+    The chapters are disjoint and sorted, so a balanced decision tree finds the last one that starts
+    at or before the prefix in five comparisons; the leaf checks its end."""
     prefix = F.substring(code, 1, 3)
-    usable = F.length(code) >= 3
-    chain = F.when(~usable | code.isNull(), F.lit(None).cast("string"))
-    for span, title in C.ICD_CHAPTERS:
-        lo, hi = span.split("-")
-        chain = chain.when(prefix.between(lo, hi), F.lit(pick(span, title)))
-    return chain
+    spans = sorted((*span.split("-"), span) for span, _ in C.ICD_CHAPTERS)
 
+    def tree(part):
+        if len(part) == 1:
+            lo, hi, span = part[0]
+            return F.when((prefix >= lo) & (prefix <= hi), span)
+        mid = len(part) // 2
+        return F.when(prefix < part[mid][0], tree(part[:mid])).otherwise(tree(part[mid:]))
 
-def icd_range(code: Column) -> Column:
-    """Chapter range such as ``I00-I99``; null when the code belongs to none."""
-    return _chapter(code, lambda span, title: span)
+    return F.when(F.length(code) >= 3, tree(spans))
 
 
 def icd_title(code: Column) -> Column:
-    """Chapter title; null when the code belongs to none."""
-    return _chapter(code, lambda span, title: title)
+    """Chapter title; null when the code belongs to none. Looked up by range, so asking for both
+    range and title evaluates the tree once and keeps the generated method small enough to compile."""
+    titles = F.create_map(*[F.lit(x) for pair in C.ICD_CHAPTERS for x in pair])
+    return F.try_element_at(titles, icd_range(code))
 
 
 def label_set(cols: list[Column]) -> Column:
     """Distinct, sorted, non-null values of several columns of one row."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*cols))))
+    return sorted_labels(F.array(*cols))
+
+
+def sorted_labels(values: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(values)))
+
+
+def chapter_set(cols: list[Column], titles: bool = False) -> Column:
+    """Distinct, sorted chapters of several code columns. One expression is applied to the array of
+    codes instead of one copy per column, which keeps the generated code small."""
+    return sorted_labels(F.transform(F.array(*cols), icd_title if titles else icd_range))
 
 
 def join_labels(labels: Column, empty: str = C.UNKNOWN, sep: str = ", ") -> Column:

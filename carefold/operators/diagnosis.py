@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from carefold.functions import constants as C
-from carefold.functions.codes import has_dx, icd_range, icd_title, in_span, in_span_by_digits, join_labels, label_set
+from carefold.functions.codes import chapter_set, has_dx, in_span, in_span_by_digits, join_labels
 
 
 def row_chapters(df: DataFrame, cols: list[str]) -> DataFrame:
     """All chapters of a row: sorted range and title arrays plus their text form."""
-    ranges = label_set([icd_range(F.col(c)) for c in cols])
-    titles = label_set([icd_title(F.col(c)) for c in cols])
+    codes = [F.col(c) for c in cols]
+    ranges, titles = chapter_set(codes), chapter_set(codes, titles=True)
     return (df.withColumns({"icd_ranges": ranges, "icd_titles": titles})
             .withColumns({"icd_range_text": join_labels(F.col("icd_ranges")),
                           "icd_title_text": join_labels(F.col("icd_titles"))}))
@@ -21,7 +21,7 @@ def row_chapters(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def chapter_counts(df: DataFrame, id: str, cols: list[str], distinct_rows: bool = True) -> DataFrame:
     """22 columns: how many of the patient's distinct chapter sets contain the chapter."""
-    sets = df.select(id, label_set([icd_range(F.col(c)) for c in cols]).alias("_set"))
+    sets = df.select(id, chapter_set([F.col(c) for c in cols]).alias("_set"))
     sets = sets.distinct() if distinct_rows else sets
     return sets.groupBy(id).agg(*[
         F.count_if(F.array_contains("_set", span)).alias(span) for span, _ in C.ICD_CHAPTERS])

@@ -186,7 +186,7 @@ def ag_13(t):
 def _dashboard(t):
     """Patient visits with county attributes, condition flags, BMI class and chapters."""
     k = F.col("assessment_id")
-    w = D.condition_flags(t.wide(), CODES).withColumn("icd_ranges", K.label_set([K.icd_range(F.col(c)) for c in CODES]))
+    w = D.condition_flags(t.wide(), CODES).withColumn("icd_ranges", K.chapter_set([F.col(c) for c in CODES]))
     v = t.visit().join(w, "assessment_id")
     n = t("nation").select(F.col("n_nationkey").alias("county_key"), F.upper("n_name").alias("county"))
     s = t.sdoh().select("county_key", "POPPCT_URB", "POPPCT_RUR")
