@@ -98,6 +98,16 @@ class Tables:
             (e * d - F.when(F.col("l_returnflag") == "R", 900.0).otherwise(0.0)).alias("f_signal"),
             (F.col("l_returnflag") == "R").cast("int").alias("target"))
 
+    def matrix(self) -> DataFrame:
+        """The feature matrix with a row key made of the columns that identify a line."""
+        names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+        e, d = F.col("l_extendedprice"), F.col("l_discount")
+        lost = F.when(F.col("l_returnflag") == "R", 900.0).otherwise(0.0)
+        return self("lineitem").select(
+            F.concat_ws("|", *[F.col(c).cast("string") for c in names]).alias("row_key"), F.col("l_quantity").alias("f_quantity"), e.alias("f_price"),
+            d.alias("f_discount"), F.col("l_tax").alias("f_tax"), F.col("l_linenumber").cast("double").alias("f_line"), (e * d - lost).alias("f_signal"),
+            (F.col("l_suppkey") % 10).cast("double").alias("ACS_PCT_INC50"), (F.col("l_returnflag") == "R").cast("int").alias("target"))
+
     def scored(self) -> DataFrame:
         p = F.round(F.col("l_discount") * F.lit(10.0), 2)
         return self("lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), p.alias("probability"),
@@ -149,6 +159,9 @@ CTE = {
         CASE WHEN l_partkey % 7 <> 0 THEN l_linenumber END AS f_line,
         l_extendedprice * l_discount - CASE WHEN l_returnflag = 'R' THEN 900.0::DOUBLE ELSE 0 END AS f_signal,
         CAST(l_returnflag = 'R' AS INT) AS target FROM lineitem"""),
+    "matrix": ([], """SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS row_key, l_quantity AS f_quantity, l_extendedprice AS f_price,
+        l_discount AS f_discount, l_tax AS f_tax, l_linenumber::DOUBLE AS f_line, l_extendedprice * l_discount - CASE WHEN l_returnflag = 'R' THEN 900.0::DOUBLE ELSE 0 END AS f_signal,
+        (l_suppkey % 10)::DOUBLE AS ACS_PCT_INC50, CAST(l_returnflag = 'R' AS INT) AS target FROM lineitem"""),
     "scored": ([], """SELECT CAST(l_returnflag = 'R' AS INT) AS label, round(l_discount * 10, 2) AS probability,
         CAST(round(l_discount * 10, 2) >= 0.5 AS INT) AS prediction FROM lineitem"""),
     "scored3": ([], """SELECT label, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS prediction,

@@ -1 +1,243 @@
-"""Placeholder."""
+"""Model-based feature selection, classifiers, tuning and their reports. All of them train on the
+whole line table; what is fixed is the number of trees and trials."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from carefold.operators import feature_selection as FS
+from carefold.operators import metrics as M
+from carefold.operators import models as ML
+from carefold.operators import neighbours as NN
+from carefold.operators import reshape as RS
+from carefold.operators import sampling as SM
+from carefold.operators import tuning as TU
+from carefold.plans.domain import md5_sql, q6, r6
+from carefold.plans.queries_domain import ap_sql, auc_sql
+from carefold.plans.registry import query
+from carefold.session import scratch_path
+from carefold.sources import readers, sinks
+
+COLS = ["f_quantity", "f_price", "f_discount", "f_tax", "f_line", "f_signal", "ACS_PCT_INC50"]
+SMALL = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3}
+
+
+def _parts(t, shares=(0.8, 0.1, 0.1)):
+    m = SM.split(t.matrix(), "row_key", shares)
+    return [SM.take(m, "split", i) for i in range(len(shares))]
+
+
+def _report(scored, name):
+    out = ML.evaluate(scored, "target")
+    return out.withColumn("model", F.lit(name))
+
+
+# -- sinks that need a model or a split ------------------------------------------------------------
+@query("snk_07")
+def snk_07(t):
+    """A fitted model written, read back and used."""
+    model = ML.fit_logistic(t.matrix(), COLS, "target", maxIter=20)
+    path = scratch_path(t.spark, "model")
+    sinks.save_model(model, path)
+    scored = ML.score(sinks.load_pipeline(path), t.matrix(), COLS, ["target"])
+    return scored.groupBy("target", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("snk_08", f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN h % 1000 < 800 THEN 0 WHEN h % 1000 < 900 THEN 1 ELSE 2 END AS split FROM (SELECT {md5_sql('row_key')} AS h FROM matrix)) GROUP BY 1", "matrix")
+def snk_08(t):
+    path = scratch_path(t.spark, "split")
+    sinks.write_split(SM.split(t.matrix(), "row_key", (0.8, 0.1, 0.1)), "split", path)
+    return readers.read_parquet(t.spark, path).groupBy("split").agg(F.count("*").alias("n"))
+
+
+# -- model-based selection ------------------------------------------------------------------------
+@query("fs_06")
+def fs_06(t):
+    return FS.lasso(t.matrix(), COLS, "target")
+
+
+@query("fs_07")
+def fs_07(t):
+    return FS.rf_importance(t.matrix(), COLS, "target", trees=10)
+
+
+@query("fs_08")
+def fs_08(t):
+    return FS.gb_importance(t.matrix(), COLS, "target", trees=5)
+
+
+@query("fs_09")
+def fs_09(t):
+    train, test = _parts(t, (0.8, 0.2))
+    return FS.permutation_importance_rf(train, test, COLS, "target", "row_key", trees=10, repeats=2)
+
+
+@query("fs_10")
+def fs_10(t):
+    train, test = _parts(t, (0.8, 0.2))
+    return FS.permutation_importance_ridge(train, test, COLS, "target", "row_key", repeats=3)
+
+
+@query("fs_11")
+def fs_11(t):
+    return FS.rfe_rf(t.matrix(), COLS, "target", keep=5, trees=5)
+
+
+@query("fs_12")
+def fs_12(t):
+    return FS.rfe_ridge(t.matrix(), COLS, "target", keep=5)
+
+
+@query("fs_13")
+def fs_13(t):
+    return FS.sfs_ridge(SM.assign_folds(t.matrix(), "target", "row_key"), COLS, "target", "fold")
+
+
+def _labelled(t):
+    """Documents with a quality label: a small table with a natural key."""
+    d = t("documents").select("doc_id", F.col("n_chars").cast("double").alias("chars"), F.length("source").cast("double").alias("source_len"))
+    return t("labels").join(d, "doc_id").select("doc_id", "quality", F.col("toxic").cast("double").alias("toxic"), "chars", "source_len")
+
+
+@query("fs_14")
+def fs_14(t):
+    df = SM.assign_folds(_labelled(t), "quality", "doc_id")
+    return FS.sfs_knn(df, ["toxic", "chars", "source_len"], "quality", "doc_id", "fold", keep=2)
+
+
+@query("fs_16")
+def fs_16(t):
+    return FS.selection_table(FS.rf_importance(t.matrix(), COLS, "target", trees=5), "episode", "lines", 5)
+
+
+def _gbt(train, cols):
+    return ML.fit_gbt(train, cols, "target", **SMALL)
+
+
+@query("fs_19")
+def fs_19(t):
+    return ML.ablation(*_parts(t), "target", COLS, _gbt)
+
+
+# -- classifiers ----------------------------------------------------------------------------------
+@query("mdl_01")
+def mdl_01(t):
+    train, test = _parts(t, (0.8, 0.2))
+    return _report(ML.score(ML.fit_logistic(train, COLS, "target", maxIter=20), test, COLS, ["target"]), "logistic")
+
+
+@query("mdl_02")
+def mdl_02(t):
+    train, test = _parts(t, (0.8, 0.2))
+    return _report(ML.score(ML.fit_random_forest(train, COLS, "target", trees=10, depth=6), test, COLS, ["target"]), "forest")
+
+
+def _three(t):
+    """Three classes by return flag."""
+    lines = t("lineitem")
+    k = F.concat_ws("|", *[F.col(c).cast("string") for c in ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]])
+    e, d, f = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_returnflag")
+    shift = F.when(f == "R", 900.0).when(f == "A", 450.0).otherwise(0.0)
+    return lines.select(k.alias("row_key"), "l_quantity", "l_tax", (e * d - shift).alias("signal"), F.when(f == "R", 2).when(f == "A", 1).otherwise(0).alias("target"))
+
+
+COLS3 = ["l_quantity", "l_tax", "signal"]
+
+
+def _class_report(t, model):
+    test = SM.take(SM.split(_three(t), "row_key", (0.7, 0.15, 0.15)), "split", 2)
+    return M.class_report(ML.score(model, test, COLS3, ["target"]), "target")
+
+
+def _train3(t):
+    return SM.take(SM.split(_three(t), "row_key", (0.7, 0.15, 0.15)), "split", 0)
+
+
+@query("mdl_03")
+def mdl_03(t):
+    return _class_report(t, ML.fit_random_forest(_train3(t), COLS3, "target", trees=10, depth=6, leaf=10))
+
+
+@query("mdl_04")
+def mdl_04(t):
+    train, test = _parts(t, (0.8, 0.2))
+    return _report(ML.score(_gbt(SM.with_class_weight(train, "target"), COLS), test, COLS, ["target"]), "boosted trees")
+
+
+@query("mdl_05")
+def mdl_05(t):
+    parts = SM.split(_three(t), "row_key", (0.7, 0.15, 0.15)).filter("split < 2").withColumn("is_val", F.col("split") == 1)
+    return _class_report(t, ML.fit_gbt_multiclass(parts, COLS3, "target", validation="is_val", n_estimators=5, max_depth=3))
+
+
+KNN = ["chars", "toxic", "source_len"]
+DOCS = """docs AS (SELECT l.doc_id, l.quality, l.toxic::DOUBLE AS toxic, d.n_chars::DOUBLE AS chars, length(d.source)::DOUBLE AS source_len, """ + md5_sql("l.doc_id") + """ % 1000 < 800 AS train FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+@query("mdl_06", f"WITH {DOCS}, near AS (SELECT q.doc_id, t.quality, row_number() OVER (PARTITION BY q.doc_id ORDER BY sqrt((q.chars - t.chars) ** 2 + (q.toxic - t.toxic) ** 2 + (q.source_len - t.source_len) ** 2), t.doc_id) AS rn "
+       f"FROM docs q JOIN docs t ON t.train AND NOT q.train) SELECT doc_id, CAST(sum(quality) * 2 > count(*) AS INT) AS prediction, {q6('sum(quality) / count(*)', 'probability')} FROM near WHERE rn <= 5 GROUP BY 1")
+def mdl_06(t):
+    parts = SM.split(_labelled(t), "doc_id", (0.8, 0.2))
+    out = NN.knn_predict(SM.take(parts, "split", 0), SM.take(parts, "split", 1), "doc_id", KNN, "quality", 5)
+    return out.select("doc_id", "prediction", r6(F.col("probability"), "probability"))
+
+
+@query("mdl_07")
+def mdl_07(t):
+    train, test = _parts(t, (0.8, 0.2))
+    scored = [ML.score(m, test, COLS, ["row_key", "target"]) for m in (_gbt(train, COLS), ML.fit_random_forest(train, COLS, "target", trees=5, depth=5))]
+    return _report(ML.soft_vote(scored, "row_key", "target"), "soft vote")
+
+
+@query("mdl_08")
+def mdl_08(t):
+    from pyspark.ml.classification import LogisticRegression
+    return _class_report(t, ML.fit_one_vs_rest(_train3(t), COLS3, "target", LogisticRegression(featuresCol="features", labelCol="target", maxIter=10)))
+
+
+@query("mdl_09")
+def mdl_09(t):
+    train, test = _parts(t, (0.8, 0.2))
+    return _report(ML.score(ML.fit_mlp(train, COLS, "target", hidden=(8,), maxIter=15), test, COLS, ["target"]), "perceptron")
+
+
+# -- tuning ---------------------------------------------------------------------------------------
+@query("tun_01")
+def tun_01(t):
+    est = ML.gbt("target", n_estimators=3)
+    space = {**TU.RANDOM_SPACE, "n_estimators": [2, 3], "max_depth": [2, 3]}
+    return TU.search_table(t.matrix(), TU.random_search(t.matrix(), COLS, "target", est, space, n=2, folds=3))
+
+
+@query("tun_02")
+def tun_02(t):
+    est = ML.gbt("target", n_estimators=2)
+    return TU.search_table(t.matrix(), TU.grid_search(t.matrix(), COLS, "target", est, {"max_depth": [2, 3]}, folds=2))
+
+
+@query("tun_03")
+def tun_03(t):
+    df = SM.assign_folds(t.matrix(), "target", "row_key", 5)
+    space = {**TU.RANGE_SPACE, "n_estimators": (2, 3, "int")}
+    return TU.search_table(df, TU.random_search(df, COLS, "target", ML.gbt("target", max_depth=3), space, n=1, folds=5, fold_col="fold"))
+
+
+@query("tun_04")
+def tun_04(t):
+    choices = {**TU.CHOICE_SPACE, "n_estimators": [2, 3], "max_depth": [2, 3]}
+    df = SM.with_class_weight(t.matrix(), "target")
+    tables = [TU.search_table(df, TU.validation_search(df, COLS, "target", ML.gbt("target", weight=w), choices, n=2)).withColumn("weighted", F.lit(w is not None))
+              for w in ("weight", None)]
+    return RS.stack(*tables)
+
+
+@query("tun_06")
+def tun_06(t):
+    train, val, test = _parts(t)
+    return ML.refit_and_score(lambda d: _gbt(d, COLS), train, val, test, COLS, "target")
+
+
+@query("met_10")
+def met_10(t):
+    train, test = _parts(t, (0.8, 0.2))
+    return FS.rank_attribution(FS.permutation_importance_ridge(train, test, COLS, "target", "row_key", repeats=2), 3)
