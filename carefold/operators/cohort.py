@@ -18,15 +18,17 @@ def ed_target(df: DataFrame, ed: list[str], hospital: list[str], name: str = "ta
 
 
 def episode_label(df: DataFrame, episode: list[str], coded: Column, positive: Column, order: list[str],
-                  name: str = "target") -> DataFrame:
-    """First coded row per episode with a label taken from *all* rows of the episode.
+                  name: str = "target", also: dict[str, Column] | None = None) -> DataFrame:
+    """First coded row per episode with a label taken from *all* rows of the episode; ``also`` adds
+    further any-row flags.
 
-    Both come out of one aggregate over the episode, so the table is shuffled once."""
+    Everything comes out of one aggregate over the episode, so the table is shuffled once."""
+    labels = {name: positive, **(also or {})}
     rest = [c for c in df.columns if c not in episode and c not in order]
     row = F.struct(*order, *rest)
     out = df.groupBy(*episode).agg(F.min(F.when(coded, row)).alias("_row"),
-                                   F.max(F.coalesce(positive, F.lit(False)).cast("int")).alias(name))
-    return out.filter(F.col("_row").isNotNull()).select(*episode, "_row.*", name)
+                                   *[F.max(F.coalesce(p, F.lit(False)).cast("int")).alias(n) for n, p in labels.items()])
+    return out.filter(F.col("_row").isNotNull()).select(*episode, "_row.*", *labels)
 
 
 def episode_first(df: DataFrame, episode: list[str], order: list[str], cols: list[str] | None = None) -> DataFrame:

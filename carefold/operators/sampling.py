@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from carefold.functions.scalars import hash_bucket
 from carefold.operators import ordered
 from carefold.operators.neighbours import nearest
+from carefold.session import cut_lineage
 
 
 def _salt(seed) -> str:
@@ -134,7 +135,7 @@ def smote(df: DataFrame, label: str, cls, target_n: int, features: list[str], ke
     copies = F.lit(each) + (F.col("_rn") <= rest).cast("int")
     wanted = ranked.withColumn("_copies", copies).filter(F.col("_copies") > 0).select(
         F.col(key).alias("_q"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    near = nearest(members, members, key, features, k, exclude_self=True)
+    near = cut_lineage(nearest(members, members, key, features, k, exclude_self=True))
     found = near.groupBy("query_id").agg(F.max("rank").alias("_k"))
     choice = hash_bucket(F.concat_ws(":", "_q", "_copy"), salt=f"#n{seed}")
     chosen = (wanted.join(found, F.col("_q") == F.col("query_id")).drop("query_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from carefold.functions import constants as C
 from carefold.functions.codes import icd_range
 
 CODES = [f"code_{i}" for i in range(1, 7)]
@@ -75,6 +76,30 @@ class Tables:
             F.when(k % 13 == 0, "1").when(k % 5 != 0, "0").alias("Emergent_Care_Reason_Other"),
             F.when(s == "P", 1).when(k % 9 != 0, 0).alias("Hospital_Reason_Injury"))
 
+    def assessments(self) -> DataFrame:
+        """Assessments with readable names: one row per order with the patient's attributes, reason
+        flags, six codes, body measures and an ordinal item with sentinels."""
+        k = F.col("assessment_id")
+        a = self.flags().join(self.patient(), "beneficiary_id").join(self.wide(), "assessment_id", "left")
+        names = {f"race_{i}": c for i, c in enumerate(C.RACE_COLUMNS)}
+        return a.select(
+            k.alias("Assessment_ID"), F.col("beneficiary_id").alias("Beneficiary_ID"), F.col("facility_id").alias("Facility_Internal_ID"),
+            F.concat(F.lit("S"), (F.col("county_key") % 5).cast("string")).alias("State_ID"), F.col("priority").alias("Submitted_HIPPS_Code"),
+            F.concat(F.lit("A"), (k % 17).cast("string")).alias("Agency_Medicare_Number"), F.col("visit_date").alias("Assessment_Effective_Date"),
+            F.trunc("visit_date", "year").alias("Start_of_Care_Date"),
+            F.when(k % 4 != 0, F.date_add("visit_date", (k % 90 - 20).cast("int"))).alias("Resumption_of_Care_Date"), F.col("zip").alias("Patient_ZIP_Code"),
+            F.col("birth_date").alias("Patient_Birth_Date"), F.col("gender_code").alias("Gender"), F.col("discipline_code").alias("Discipline_of_Person_Completing_Assessment"),
+            *[F.col(r).alias(c) for r, c in names.items()],
+            F.when(F.col("status") == "F", "00").when(F.col("status") == "O", "01").alias("Patient_Overall_Status"),
+            "Emergent_Care_Reason_Fall", "Emergent_Care_Reason_Other", "Hospital_Reason_Injury", *[F.col(c).alias(n) for c, n in zip(CODES, C.CODE_COLUMNS)],
+            F.when(k % 17 == 0, "-").otherwise((k % 16 + 60).cast("string")).alias("Height_in_inches"),
+            F.when(k % 19 != 0, (k % 200 + 90).cast("string")).alias("Weight_in_pounds"),
+            F.when(k % 9 == 0, "UK").when(k % 9 == 1, "88").otherwise((k % 4).cast("string")).alias("Ability_To_Hear"),
+            F.when(k % 400 == 0, F.lit(1)).alias("Sparse_Item"), F.when(k % 20 == 0, (k % 3).cast("int")).alias("Wound_Count"), (k % 2).cast("int").alias("Medicare_Fee_For_Service"))
+
+    def zip_areas(self) -> DataFrame:
+        return self.sdoh().withColumn("zip5", (F.col("county_key") + 75000).cast("string")).drop("county_key")
+
     def sdoh(self) -> DataFrame:
         b = F.col("s_acctbal")
         urb = F.round(F.avg(F.when(b > 5000, 100.0).otherwise(0.0)), 4)
@@ -148,6 +173,21 @@ CTE = {
     "flags": (["assess"], """SELECT *, CASE WHEN status = 'O' THEN 1 WHEN assessment_id % 7 <> 0 THEN 0 END AS Emergent_Care_Reason_Fall,
         CASE WHEN assessment_id % 13 = 0 THEN '1' WHEN assessment_id % 5 <> 0 THEN '0' END AS Emergent_Care_Reason_Other,
         CASE WHEN status = 'P' THEN 1 WHEN assessment_id % 9 <> 0 THEN 0 END AS Hospital_Reason_Injury FROM assess"""),
+    "asm": (["flags", "patient", "wide"], """SELECT f.assessment_id AS Assessment_ID, f.beneficiary_id AS Beneficiary_ID, f.facility_id AS Facility_Internal_ID,
+        'S' || CAST(p.county_key % 5 AS VARCHAR) AS State_ID, f.priority AS Submitted_HIPPS_Code, 'A' || CAST(f.assessment_id % 17 AS VARCHAR) AS Agency_Medicare_Number,
+        f.visit_date AS Assessment_Effective_Date, CAST(date_trunc('year', f.visit_date) AS DATE) AS Start_of_Care_Date,
+        CASE WHEN f.assessment_id % 4 <> 0 THEN f.visit_date + CAST(f.assessment_id % 90 - 20 AS INT) END AS Resumption_of_Care_Date, p.zip AS Patient_ZIP_Code,
+        p.birth_date AS Patient_Birth_Date, p.gender_code AS Gender, p.discipline_code AS Discipline_of_Person_Completing_Assessment,
+        """ + ", ".join(f"p.race_{i} AS {c}" for i, c in enumerate(C.RACE_COLUMNS)) + """,
+        CASE f.status WHEN 'F' THEN '00' WHEN 'O' THEN '01' END AS Patient_Overall_Status, f.Emergent_Care_Reason_Fall, f.Emergent_Care_Reason_Other, f.Hospital_Reason_Injury,
+        """ + ", ".join(f"w.code_{i + 1} AS {n}" for i, n in enumerate(C.CODE_COLUMNS)) + """,
+        CASE WHEN f.assessment_id % 17 = 0 THEN '-' ELSE CAST(f.assessment_id % 16 + 60 AS VARCHAR) END AS Height_in_inches,
+        CASE WHEN f.assessment_id % 19 <> 0 THEN CAST(f.assessment_id % 200 + 90 AS VARCHAR) END AS Weight_in_pounds,
+        CASE WHEN f.assessment_id % 9 = 0 THEN 'UK' WHEN f.assessment_id % 9 = 1 THEN '88' ELSE CAST(f.assessment_id % 4 AS VARCHAR) END AS Ability_To_Hear,
+        CASE WHEN f.assessment_id % 400 = 0 THEN 1 END AS Sparse_Item, CASE WHEN f.assessment_id % 20 = 0 THEN CAST(f.assessment_id % 3 AS INT) END AS Wound_Count,
+        CAST(f.assessment_id % 2 AS INT) AS Medicare_Fee_For_Service
+        FROM flags f JOIN patient p ON f.beneficiary_id = p.beneficiary_id LEFT JOIN wide w ON f.assessment_id = w.assessment_id"""),
+    "zip_areas": (["sdoh"], "SELECT * EXCLUDE (county_key), CAST(75000 + county_key AS VARCHAR) AS zip5 FROM sdoh"),
     "sdoh": ([], """SELECT *, 100.0::DOUBLE - POPPCT_URB AS POPPCT_RUR FROM (SELECT s_nationkey AS county_key, round(avg(s_acctbal) / 100.0, 4) AS ACS_PCT_HS_GRADUATE,
         round(max(s_acctbal) / 100.0, 4) AS ACS_PCT_POSTHS_ED, count(*)::DOUBLE AS ACS_PCT_HH_LIMIT_ENGLISH,
         round(min(s_acctbal) / 50.0, 4) AS ACS_PCT_HH_BROADBAND, round((max(s_acctbal) - min(s_acctbal)) / 200.0, 4) AS ACS_PCT_HH_1PERS,
