@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from carefold.operators import metrics as M
 from carefold.operators.columns import columns_like
 from carefold.functions import constants as C
+from carefold.session import cut_lineage
 
 # Tree settings by their usual names -> pyspark.ml parameter.
 PARAM_NAMES = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "min_child_samples": "minInstancesPerNode",
@@ -25,8 +26,15 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return vector.drop(*[f"_v_{c}" for c in cols])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Training passes over its input many times, so a table that arrives in fewer pieces than there
+    are cores is dealt out evenly first; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _fit(estimator, train: DataFrame, cols: list[str]):
-    return estimator.fit(assemble(train, cols))
+    return estimator.fit(spread(assemble(train, cols)))
 
 
 def fit_logistic(train: DataFrame, cols: list[str], label: str, weight: str | None = None, scale: bool = True, **params):
@@ -92,6 +100,7 @@ def soft_vote(scored: list[DataFrame], key: str, label: str) -> DataFrame:
 
 def evaluate(scored: DataFrame, label: str, threshold: float | None = None) -> DataFrame:
     """One row: ROC-AUC, average precision, accuracy and macro F1 (at the threshold when given)."""
+    scored = cut_lineage(scored)  # the model runs once, not once per measure
     s = scored if threshold is None else scored.withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
     macro = M.report_averages(M.class_report(s, label)).select("macro_f1")
     out = M.accuracy(s, label).withColumn("macro_f1", macro.scalar())
@@ -103,7 +112,7 @@ def evaluate(scored: DataFrame, label: str, threshold: float | None = None) -> D
 def refit_and_score(fit, train: DataFrame, val: DataFrame, test: DataFrame, cols: list[str], label: str) -> DataFrame:
     """Fit on train, choose the threshold on validation, report validation and test."""
     model = fit(train)
-    scored = score(model, val, cols, [label])
+    scored = cut_lineage(score(model, val, cols, [label]))
     t = M.find_threshold(scored, label)
     rows = [evaluate(d, label, t).withColumn("split", F.lit(n)) for n, d in [("val", scored), ("test", score(model, test, cols, [label]))]]
     return rows[0].unionByName(rows[1]).withColumn("threshold", F.lit(t))

@@ -13,10 +13,22 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 PIECES = 256
 
 
-def _boundaries(values: DataFrame, key: str) -> Column:
-    """Sorted array of at most PIECES - 1 values as a scalar subquery."""
-    picked = values.select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(PIECES - 1)
-    return picked.agg(F.array_sort(F.collect_set(key)).alias("cuts")).scalar()
+def _with_piece(df: DataFrame, key: str) -> DataFrame:
+    """Add ``_piece``: how many of at most PIECES - 1 boundary values lie at or below the key. Every
+    sixteenth boundary is compared first, then the sixteen of that stretch."""
+    picked = df.select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(PIECES - 1)
+    cuts = F.array_sort(F.collect_set(key))
+    sorted_cuts = picked.agg(cuts.alias("c")).scalar()
+    sixteenth = picked.agg(F.filter(cuts, lambda x, i: i % 16 == 0).alias("c")).scalar()
+
+    def below(arr):
+        return F.size(F.filter(arr, lambda b: b <= F.col(key)))
+
+    start = (F.col("_block") - 1) * 16
+    fine = F.when(F.col("_block") > 0, start + below(F.slice("_cuts", start + 1, F.lit(16)))).otherwise(0)
+    return (df.withColumns({"_cuts": sorted_cuts, "_coarse": sixteenth})
+            .withColumn("_block", F.coalesce(below("_coarse"), F.lit(0)))
+            .withColumn("_piece", fine).drop("_cuts", "_coarse", "_block"))
 
 
 def running_totals(df: DataFrame, key: str, totals: dict[str, str], by: list[str] | None = None,
@@ -25,9 +37,7 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, str], by: list[str
 
     ``df`` holds one row per (by, key). ``totals`` maps output name -> column to accumulate."""
     by = list(by or [])
-    cuts = _boundaries(df, key)
-    piece = F.coalesce(F.size(F.filter("_cuts", lambda b: b <= F.col(key))), F.lit(0))
-    cut = df.withColumn("_cuts", cuts).withColumn("_piece", piece).drop("_cuts")
+    cut = _with_piece(df, key)
 
     def order(name):
         return F.col(name).desc() if descending else F.col(name).asc()

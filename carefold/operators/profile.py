@@ -103,7 +103,7 @@ def _correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.sqrt(vx) * F.sqrt(vy))
 
 
-EXPRESSION_COLUMNS = 12
+EXPRESSION_COLUMNS = 4
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

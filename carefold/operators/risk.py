@@ -14,22 +14,48 @@ from carefold.operators.joins import prefix_join
 
 
 def weighted_conditions(df: DataFrame, id: str, code: str, codes: dict[str, str], weights: dict[str, float] | None = None,
-                        beaten_by: dict[str, str] | None = None, age: str | None = None) -> DataFrame:
+                        beaten_by: dict[str, str] | None = None, age: str | None = None, largest: list[str] | None = None) -> DataFrame:
     """Flag per condition and, with ``weights``, ``comorbidity_score``. A mild form is set to 0 when
     the severe form in ``beaten_by`` is present. Patients without any condition keep zeros."""
     names = list(codes)
-    cols = [id, code] + ([age] if age else [])
+    extra = [*([age] if age else []), *(largest or [])]
+    cols = [id, code, *extra]
     hits = prefix_join(df.select(*cols), condition_table(df.sparkSession, codes), code)
     flags = [F.max(F.when(F.col("condition") == c, 1).otherwise(0)).alias(c) for c in names]
-    out = hits.groupBy(id).agg(*([F.max(age).alias(age)] if age else []), *flags)
+    out = hits.groupBy(id).agg(*[F.max(c).alias(c) for c in extra], *flags)
     for mild, severe in (beaten_by or {}).items():
         out = out.withColumn(mild, F.when(F.col(severe) == 1, 0).otherwise(F.col(mild)))
-    if weights is not None:
-        score = sum((F.col(c) * F.lit(weights[c]) for c in names if weights.get(c)), F.lit(0))
-        out = out.withColumn("comorbidity_score", score)
-    if age:
-        out = out.withColumn("age_adj_comorbidity_score", age_adjust(F.col("comorbidity_score"), F.col(age)))
-    return out
+    return out if weights is None else with_score(out, weights, age)
+
+
+def with_score(flags: DataFrame, weights: dict[str, float], age: str | None = None) -> DataFrame:
+    score = sum((F.col(c) * F.lit(w) for c, w in weights.items() if w and c in flags.columns), F.lit(0))
+    out = flags.withColumn("comorbidity_score", score)
+    return out.withColumn("age_adj_comorbidity_score", age_adjust(F.col("comorbidity_score"), F.col(age))) if age else out
+
+
+def all_schemes(df: DataFrame, id: str, code: str, second_weights: dict[str, float] | None = None,
+                age: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Charlson, both Elixhauser weightings and the disability flags from a single pass: the three
+    code lists meet the codes in one join, and every table is a projection of one aggregate, whose
+    shuffle the optimizer then shares."""
+    lists = {"charlson": R.CHARLSON_CODES, "elixhauser": R.ELIXHAUSER_CODES, "disability": R.DISABILITY_CODES}
+    merged = {f"{k}_{c}": text for k, codes in lists.items() for c, text in codes.items()}
+    flags = weighted_conditions(df.withColumn("_age", F.col(age) if age else F.lit(None).cast("int")), id, code, merged, None, None, None, ["_age"])
+
+    def scheme(name: str, weights: dict[str, float] | None, beaten_by: dict[str, str]) -> DataFrame:
+        got = {c: F.col(f"{name}_{c}") for c in lists[name]}
+        for mild, severe in beaten_by.items():
+            got[mild] = F.when(F.col(f"{name}_{severe}") == 1, 0).otherwise(got[mild])
+        out = flags.select(id, *([F.col("_age").alias(age)] if age else []), *[x.alias(c) for c, x in got.items()])
+        return out if weights is None else with_score(out, weights, age)
+
+    schemes = {"Charlson": scheme("charlson", R.CHARLSON_QUAN_WEIGHTS, R.CHARLSON_BEATEN_BY),
+               "Van Walraven": scheme("elixhauser", R.ELIXHAUSER_VW_WEIGHTS, R.ELIXHAUSER_BEATEN_BY)}
+    if second_weights is not None:
+        schemes["Swiss"] = scheme("elixhauser", second_weights, R.ELIXHAUSER_BEATEN_BY)
+    disability_flags = scheme("disability", None, {})
+    return schemes, disability_flags.drop(age) if age else disability_flags
 
 
 def charlson(df: DataFrame, id: str, code: str, age: str | None = None, assign0: bool = True,

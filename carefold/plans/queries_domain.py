@@ -224,8 +224,7 @@ def county_rollup(df, by):
         F.avg("age").alias("mean_age"), F.count_if(F.col("is_diabetes") == 1).alias("n_diabetes"), F.count_if(F.col("is_heart_failure") == 1).alias("n_heart_failure"),
         F.count_if(F.col("is_hypertension") == 1).alias("n_hypertension"), F.count_if(F.col("ever_readmitted") == 1).alias("n_readmitted"),
         F.count_if(F.col("ever_readmitted") == 0).alias("n_not_readmitted"), F.min("POPPCT_URB").alias("POPPCT_URB"), F.min("POPPCT_RUR").alias("POPPCT_RUR"))
-    for col in ["gender", "discipline", "bmi_category"]:
-        base = base.join(AG.count_map(df, by, col, f"{col}_counts"), by, "left")
+    base = base.join(AG.count_maps(df, by, ["gender", "discipline", "bmi_category"]), by, "left")
     return base.join(AG.label_union(df, by, "icd_ranges").withColumnRenamed("labels", "icd_ranges"), by, "left")
 
 
@@ -348,11 +347,9 @@ def rsk_07(t):
 
 
 def _risk_parts(t):
-    codes = _scored_codes(t)
-    narrow = lambda s: s.select("beneficiary_id", "comorbidity_score")
-    scores = {"Charlson": narrow(RK.charlson(codes, "beneficiary_id", "code")), "Van Walraven": narrow(RK.elixhauser(codes, "beneficiary_id", "code")),
-              "Swiss": narrow(RK.elixhauser(codes, "beneficiary_id", "code", weights=UNIT_WEIGHTS))}
-    return scores, RK.hfrs(codes, "beneficiary_id", "code"), RK.disability(codes, "beneficiary_id", "code")
+    scores, disability = RK.all_schemes(_scored_codes(t), "beneficiary_id", "code", UNIT_WEIGHTS)
+    narrow = {k: s.select("beneficiary_id", "comorbidity_score") for k, s in scores.items()}
+    return narrow, RK.hfrs(_scored_codes(t), "beneficiary_id", "code"), disability
 
 
 RISK_TABLE = f"""SELECT s.weight, s.beneficiary_id, s.comorbidity_score, h.hfrs, {', '.join(f'd.{c}' for c in R.DISABILITY_CODES)} FROM (
