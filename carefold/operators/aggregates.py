@@ -50,14 +50,19 @@ def count_map(df: DataFrame, by: list[str], col: str, name: str = "counts") -> D
     return counted.groupBy(*by).agg(F.map_from_entries(entries).alias(name))
 
 
+def _value_pairs(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """Counts ``_n`` per group, column name ``_c`` and non-null value ``_v``, counted before grouping."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols])
+    long = df.select(*by, F.inline(pairs)).filter(F.col("_v").isNotNull())
+    return long.groupBy(*by, "_c", "_v").agg(F.count("*").alias("_n"))
+
+
 def count_maps(df: DataFrame, by: list[str], cols: list[str], suffix: str = "_counts") -> DataFrame:
     """``count_map`` of several columns from one pass over the table."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
-    counted = (df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.c", "p.v").filter(F.col("v").isNotNull())
-               .groupBy(*by, "c", "v").agg(F.count("*").alias("_n")))
-    entry = F.struct(F.col("v").alias("key"), F.col("_n").alias("value"))
+    counted = _value_pairs(df, by, cols)
+    entry = F.struct(F.col("_v").alias("key"), F.col("_n").alias("value"))
     return counted.groupBy(*by).agg(*[
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("c") == c, entry)))).alias(c + suffix) for c in cols])
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_c") == c, entry)))).alias(c + suffix) for c in cols])
 
 
 def map_rows(df: DataFrame, keep: list[str], name: str) -> DataFrame:
@@ -113,8 +118,8 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """``describe`` plus the exact quartiles of every column."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("s")).select("s.*")
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
     quart = ordered.quantiles(long, "value", [0.25, 0.5, 0.75], ["column"])
     return describe(df, cols).join(quart.toDF("column", "p25", "p50", "p75"), "column", "left")
 
@@ -158,11 +163,9 @@ def mode_by(df: DataFrame, by: list[str], col: str, default: str = "UNKNOWN") ->
 
 def modes_by(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     """Modes of several text columns per group in one pass; null where a group has no value."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])
-    counted = (df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.c", "p.v").filter(F.col("v").isNotNull())
-               .groupBy(*by, "c", "v").agg(F.count("*").alias("_n")))
-    key = F.struct((-F.col("_n")).alias("n"), F.col("v"))
-    return counted.groupBy(*by).agg(*[F.min(F.when(F.col("c") == c, key)).getField("v").alias(c) for c in cols])
+    counted = _value_pairs(df, by, cols)
+    key = F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v"))
+    return counted.groupBy(*by).agg(*[F.min(F.when(F.col("_c") == c, key)).getField("v").alias(c) for c in cols])
 
 
 def rate_by_flag(df: DataFrame, flags: list[str], target: str) -> DataFrame:

@@ -23,9 +23,9 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "prediction",
     """Precision, recall, F1 and support per class; a class counts when it is a label or a prediction."""
     by = list(by or [])
     counts = df.groupBy(*by, label, pred).agg(F.count("*").alias("_n"))
-    sides = counts.select(*by, "_n", F.explode(F.array(
+    sides = counts.select(*by, "_n", F.inline(F.array(
         F.struct(F.col(label).alias("class"), F.lit(1).alias("_is_label"), (F.col(label) == F.col(pred)).cast("int").alias("_hit")),
-        F.struct(F.col(pred).alias("class"), F.lit(0).alias("_is_label"), F.lit(0).alias("_hit")))).alias("s")).select(*by, "_n", "s.*")
+        F.struct(F.col(pred).alias("class"), F.lit(0).alias("_is_label"), F.lit(0).alias("_hit")))))
     sums = sides.groupBy(*by, "class").agg(
         F.sum(F.col("_n") * F.col("_hit")).alias("tp"),
         F.sum(F.when(F.col("_is_label") == 1, F.col("_n")).otherwise(0)).alias("support"),

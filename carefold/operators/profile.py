@@ -74,7 +74,7 @@ def same_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
 def dominant_share(df: DataFrame, cols: list[str]) -> DataFrame:
     """Share of the most frequent value among the non-null values of every column."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols])
-    counted = (df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("v").isNotNull())
+    counted = (df.select(F.inline(pairs)).filter(F.col("v").isNotNull())
                .groupBy("column", "v").agg(F.count("*").alias("_n")))
     return counted.groupBy("column").agg((F.max("_n") / F.sum("_n")).alias("share"))
 
