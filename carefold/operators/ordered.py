@@ -18,17 +18,17 @@ def _with_piece(df: DataFrame, key: str) -> DataFrame:
     sixteenth boundary is compared first, then the sixteen of that stretch."""
     picked = df.select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(PIECES - 1)
     cuts = F.array_sort(F.collect_set(key))
-    sorted_cuts = picked.agg(cuts.alias("c")).scalar()
-    sixteenth = picked.agg(F.filter(cuts, lambda x, i: i % 16 == 0).alias("c")).scalar()
+    found = picked.agg(F.struct(cuts.alias("all"), F.filter(cuts, lambda x, i: i % 16 == 0).alias("sixteenth")).alias("c")).scalar()
 
     def below(arr):
         return F.size(F.filter(arr, lambda b: b <= F.col(key)))
 
     start = (F.col("_block") - 1) * 16
     fine = F.when(F.col("_block") > 0, start + below(F.slice("_cuts", start + 1, F.lit(16)))).otherwise(0)
-    return (df.withColumns({"_cuts": sorted_cuts, "_coarse": sixteenth})
+    return (df.withColumn("_found", found).withColumns({"_cuts": F.col("_found.all"), "_coarse": F.col("_found.sixteenth")})
             .withColumn("_block", F.coalesce(below("_coarse"), F.lit(0)))
-            .withColumn("_piece", fine).drop("_cuts", "_coarse", "_block"))
+            # never null, so the join on it adds no null check that would be evaluated per input row
+            .withColumn("_piece", F.coalesce(fine, F.lit(0))).drop("_found", "_cuts", "_coarse", "_block"))
 
 
 def running_totals(df: DataFrame, key: str, totals: dict[str, str], by: list[str] | None = None,
@@ -67,7 +67,7 @@ def quantiles(df: DataFrame, key: str, probs: list[float], by: list[str] | None
     """Exact, linearly interpolated quantiles per group: one row per group, columns ``q0, q1, ...``."""
     by = list(by or [])
     ranked = running_totals(value_counts_by(df, key, by), key, {"_cum": "_n"}, by)
-    sizes = ranked.groupBy(*by).agg(F.max("_cum").alias("_size"))
+    sizes = df.groupBy(*by).agg(F.count(key).alias("_size"))
     if by:
         joined = ranked.join(sizes, by)
     else:
