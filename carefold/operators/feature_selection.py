@@ -14,7 +14,8 @@ from carefold.operators import ordered
 from carefold.operators.columns import numeric_columns
 from carefold.operators.neighbours import nearest
 from carefold.operators.profile import corr_matrix, dominant_numeric, dominant_share, target_corr
-from carefold.operators.models import assemble, spread
+from carefold.operators.models import training_table
+from carefold.session import cut_lineage
 
 
 # -- filters ------------------------------------------------------------------------------------
@@ -69,17 +70,17 @@ def _ranking(df: DataFrame, method: str, kind: str, pairs: list[tuple[str, float
 
 def lasso(df: DataFrame, cols: list[str], target: str, alpha: float = 0.01) -> DataFrame:
     """Non-zero coefficients of an L1 fit."""
-    model = LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=1.0, regParam=alpha, standardization=False).fit(spread(assemble(df, cols)))
+    model = LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=1.0, regParam=alpha, standardization=False).fit(training_table(df, cols))
     return _ranking(df, "Lasso", "Coefficient", [(c, w) for c, w in zip(cols, model.coefficients.toArray()) if w != 0])
 
 
 def rf_importance(df: DataFrame, cols: list[str], target: str, trees: int = 100, depth: int = 5, seed: int = 1) -> DataFrame:
-    model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(spread(assemble(df, cols)))
+    model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(training_table(df, cols))
     return _ranking(df, "Random Forest Importance", "Importance", list(zip(cols, model.featureImportances.toArray())))
 
 
 def gb_importance(df: DataFrame, cols: list[str], target: str, trees: int = 100, depth: int = 3, seed: int = 1) -> DataFrame:
-    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=trees, maxDepth=depth, seed=seed).fit(spread(assemble(df, cols)))
+    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=trees, maxDepth=depth, seed=seed).fit(training_table(df, cols))
     return _ranking(df, "GB Importance", "Importance", list(zip(cols, model.featureImportances.toArray())))
 
 
@@ -110,22 +111,23 @@ def permutation_importance(model, test: DataFrame, cols: list[str], target: str,
 
 def permutation_importance_rf(train: DataFrame, test: DataFrame, cols: list[str], target: str, key: str, trees: int = 100, depth: int = 5,
                               repeats: int = 10, seed: int = 1) -> DataFrame:
-    model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(spread(assemble(train, cols)))
+    model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(training_table(train, cols))
     return permutation_importance(model, test, cols, target, key, repeats, seed)
 
 
 def permutation_importance_ridge(train: DataFrame, test: DataFrame, cols: list[str], target: str, key: str, alpha: float = 1.0,
                                  repeats: int = 10, seed: int = 1) -> DataFrame:
     model = LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=0.0, regParam=alpha / max(1, train.count()),
-                             standardization=False).fit(spread(assemble(train, cols)))
+                             standardization=False).fit(training_table(train, cols))
     return permutation_importance(model, test, cols, target, key, repeats, seed)
 
 
 def rfe_rf(df: DataFrame, cols: list[str], target: str, keep: int = 5, trees: int = 100, depth: int = 5, seed: int = 1) -> DataFrame:
     """Refit without the weakest feature until ``keep`` are left."""
     left = list(cols)
+    df = cut_lineage(df.select(*cols, target))
     while True:
-        model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(spread(assemble(df, left)))
+        model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(training_table(df, left))
         scores = dict(zip(left, model.featureImportances.toArray()))
         if len(left) <= keep:
             return _ranking(df, "RFE (RF)", "Importance", list(scores.items()))

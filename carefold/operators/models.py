@@ -26,15 +26,19 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return vector.drop(*[f"_v_{c}" for c in cols])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Training passes over its input many times, so a table that arrives in fewer pieces than there
-    are cores is dealt out evenly first; larger tables stay as they are."""
+def training_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The feature vector with the label, weight, fold and validation columns, written once to the
+    shared folder. Training passes over its input many times, so the table's own lineage (joins, splits,
+    hashes) is not repeated on every pass. A table that arrives in fewer pieces than there are cores is
+    dealt out evenly; larger ones keep their layout."""
+    vectors = assemble(df, cols)
+    slim = vectors.select("features", *[n for n, kind in df.dtypes if n not in cols and kind != "string"])
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return cut_lineage(slim.repartition(cores) if len(df.inputFiles()) < cores else slim)
 
 
 def _fit(estimator, train: DataFrame, cols: list[str]):
-    return estimator.fit(spread(assemble(train, cols)))
+    return estimator.fit(training_table(train, cols))
 
 
 def fit_logistic(train: DataFrame, cols: list[str], label: str, weight: str | None = None, scale: bool = True, **params):

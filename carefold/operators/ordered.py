@@ -2,7 +2,7 @@
 whole table, or a whole hot group, in one task.
 
 Rows are first reduced to one row per distinct value. The value range is then cut at boundaries
-taken from the values with the smallest md5 (a repeatable sample), each piece is accumulated on its
+taken from the values with the smallest hash (a repeatable sample), each piece is accumulated on its
 own, and the per-piece totals, at most ``PIECES`` per group, are added back.
 """
 
@@ -16,7 +16,7 @@ PIECES = 256
 def _with_piece(df: DataFrame, key: str) -> DataFrame:
     """Add ``_piece``: how many of at most PIECES - 1 boundary values lie at or below the key. Every
     sixteenth boundary is compared first, then the sixteen of that stretch."""
-    picked = df.select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(PIECES - 1)
+    picked = df.select(key).orderBy(F.xxhash64(key), key).limit(PIECES - 1)
     cuts = F.array_sort(F.collect_set(key))
     found = picked.agg(F.struct(cuts.alias("all"), F.filter(cuts, lambda x, i: i % 16 == 0).alias("sixteenth")).alias("c")).scalar()
 
