@@ -1,4 +1,4 @@
-"""Co-occurrence graph of diagnosis codes."""
+"""Co-occurrence graph of diagnosis codes, and connected components."""
 
 from __future__ import annotations
 
@@ -13,23 +13,38 @@ def cooccurrence_edges(df: DataFrame, arr: str, min_weight: int = 2) -> DataFram
     return cooccurrence(label_pairs(df.select(arr), arr).select("a", "b"), min_weight)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): smallest node name reachable from each node.
-
-    Every round takes the smallest label among the neighbours and then jumps to that label's own
-    label, so long chains shrink quickly. Each round is written to the shared folder: the plan stays
-    short and a lost executor costs at most one round."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnsRenamed({"node": "b", "label": "_l"}), "b").groupBy("a").agg(F.min("_l").alias("_near"))
-        hop = labels.join(near, labels["node"] == near["a"], "left").select(
-            "node", F.col("label").alias("_old"), F.least("label", "_near").alias("_low"))
-        jump = hop.join(labels.withColumnsRenamed({"node": "_low", "label": "_far"}), "_low", "left").select(
-            "node", "_old", F.least("_low", "_far").alias("label"))
-        step = cut_lineage(jump)
-        labels = step.select("node", "label")
-        if step.filter(F.col("_old") != F.col("label")).isEmpty():
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle; raise max_rounds")
+def _downhill(pairs: DataFrame) -> DataFrame:
+    """Every edge once, from its larger to its smaller end."""
+    return pairs.filter(F.col("a") != F.col("b")).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): smallest node reachable from each node of ``edges (a, b)``.
+
+    Alternates two star steps until the edges stop changing. The large star hangs every larger neighbour of a
+    node on the smallest one, the small star does so with the smaller neighbours. Whole trees move at once, so
+    the rounds grow with the logarithm of the longest chain. Minima are combined before the shuffle, and the
+    side that holds a hot node's neighbours is a plain shuffled table, which adaptive execution can split. Every
+    half round is written to the shared folder."""
+    nodes = cut_lineage(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b"))
+    stars, before = cut_lineage(_downhill(nodes)), None
+    while (now := _fingerprint(stars)) != before:
+        before = now
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = cut_lineage(both.groupBy("a").agg(F.min("b").alias("_m")).filter("_m < a"))
+        large = both.filter("b > a").join(low, "a", "left").select(F.col("b").alias("a"), F.coalesce("_m", "a").alias("b"))
+        stars = cut_lineage(_downhill(large))
+        low = cut_lineage(stars.groupBy("a").agg(F.min("b").alias("_m")))
+        small = stars.join(low, "a").select(F.explode(F.array(
+            F.struct(F.col("a").alias("a"), F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e"))
+        stars = cut_lineage(_downhill(small.select("e.*")))
+    roots = stars.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    alone = nodes.filter("a = b").select(F.col("a").alias("node"))
+    linked = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    alone = alone.distinct().join(linked.select("node"), "node", "left_anti")
+    return linked.unionByName(alone.select("node", F.col("node").alias("component")))
