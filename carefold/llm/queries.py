@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, simhash
+from carefold.llm import decontaminate, packing, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,5 +46,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_decontaminate": op8_decontaminate}
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in the packed sequences."""
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
