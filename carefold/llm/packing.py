@@ -24,7 +24,7 @@ from carefold.session import cut_lineage
 
 CAPACITY = 4096
 #: Tokens of a length class; a piece takes its length rounded up to a multiple.
-UNIT = 8
+UNIT = 2
 #: The search for patterns ends when none can lower the number of sequences by more than this share.
 GAP = 0.0005
 #: Pieces that one task ranks at a time.
@@ -83,42 +83,63 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), copies
 
 
+def greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Square matrix of patterns and their counts, a feasible start: each pattern takes the largest sizes that still fit, is used
+    until one of its sizes is spent, and that size is in no later pattern, so the matrix is triangular up to order."""
+    left, live, own = demand.tolist(), list(range(len(sizes))), sizes.tolist()
+    columns, counts = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes))
+    while live:
+        copies, space = {}, capacity
+        while (k := bisect.bisect_right(own, space)):
+            n = max(1, min(space // own[k - 1], int(left[live[k - 1]]) - copies.get(live[k - 1], 0)))
+            copies[live[k - 1]] = copies.get(live[k - 1], 0) + n
+            space -= n * own[k - 1]
+        spent = min(copies, key=lambda i: left[i] / copies[i])
+        uses = left[spent] / copies[spent]
+        for i, n in copies.items():
+            left[i] = max(0.0, left[i] - uses * n)
+            columns[i, spent] = n
+        counts[spent] = uses
+        at = bisect.bisect_left(live, spent)
+        del live[at], own[at]
+    return columns, counts
+
+
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, counts): columns of the linear program ``least sum(x), patterns @ x >= demand`` and their fractional counts.
 
-    Revised simplex with generated columns. Farley's bound (objective / best pattern value) proves how far the optimum can be."""
+    Revised simplex with generated columns. Farley's bound (objective / best pattern value) and the total length prove how
+    far the optimum can be."""
     m = len(sizes)
-    demand = demand + 1e-7 * demand.mean() * (1 + np.arange(m) / m)  # apart, so that no step is of length zero
-    patterns = np.diag(capacity // sizes).astype(float)
-    cost, inverse = np.ones(m), np.diag(1.0 / np.diag(patterns))
-    steps = 0
-    while True:
-        x = inverse @ demand
+    patterns, x = greedy_basis(sizes, demand, capacity)
+    cost, inverse, steps, proven = np.ones(m), None, 0, float(sizes @ demand) / capacity
+    while (total := float(cost @ x)) > proven * (1 + gap):
+        inverse = np.linalg.inv(patterns) if steps % 100 == 0 else inverse
         duals = cost @ inverse
         i = int(duals.argmin())
         if duals[i] < -1e-9:
             column, price = -np.eye(m)[i], 0.0
         else:
             value, copies = best_pattern(sizes, duals, capacity)
-            if value <= 1 + 1e-9 or 1 - 1 / value <= gap:
+            proven = max(proven, total / max(value, 1.0))
+            if value <= 1 + 1e-9 or total <= proven * (1 + gap):
                 break
             column, price = copies.astype(float), 1.0
         change = inverse @ column
         rising = change > 1e-9
         if not rising.any():
             break
-        ratio = np.where(rising, np.maximum(x, 0) / np.where(rising, change, 1), np.inf)
-        out = int(ratio.argmin())
+        ratio = np.where(rising, x / np.where(rising, change, 1), np.inf)
+        least = ratio.min()
+        out = int(np.where(ratio <= least + 1e-12, change, -1).argmax())  # of equal ratios the largest pivot
         patterns[:, out], cost[out] = column, price
         steps += 1
-        if steps % 200 == 0:
-            inverse = np.linalg.inv(patterns)
-        else:
-            row = inverse[out] / change[out]
-            inverse -= np.outer(change, row)
-            inverse[out] = row
+        row = inverse[out] / change[out]
+        inverse -= np.outer(change, row)
+        inverse[out] = row
+        x = np.maximum(inverse @ demand, 0)
     keep = cost > 0
-    return patterns[:, keep].astype(int), np.maximum(x[keep], 0)
+    return patterns[:, keep].astype(int), x[keep]
 
 
 def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
@@ -130,7 +151,7 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> list[tup
     patterns, counts = cutting_stock(sizes, np.array([float(left[s]) for s in sizes]), capacity, gap)
     out = []
     for k in np.argsort(-counts, kind="stable"):
-        copies = {int(s): int(a) for s, a in zip(sizes, patterns[:, k]) if a}
+        copies = {int(sizes[i]): int(patterns[i, k]) for i in np.flatnonzero(patterns[:, k])}
         n = min([int(counts[k] + 1e-6), *(left[s] // a for s, a in copies.items())])
         if n > 0:
             out.append((copies, n))
