@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, packing, simhash
+from carefold.llm import decontaminate, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,24 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _classified(spark: SparkSession, folder: str, kind, folds: int, held: int) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+    model = kind.train(docs, _table(spark, folder, "labels").filter(part != held))
+    scored = kind.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (part == held).alias("held_out"), "score", (F.col("score") >= kind.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity; a fifth of the labels is held out."""
+    return _classified(spark, folder, toxicity, 5, 0)
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality; a third of the labels is held out."""
+    return _classified(spark, folder, quality, 3, 1)
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's words inside benchmark windows, and the items they come from."""
     found = decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -51,5 +69,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
