@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, packing, quality, simhash, toxicity
+from carefold.llm import decontaminate, packing, quality, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _classified(spark, folder, quality, 3, 1)
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's secrets; an owner is a source, a repository a document."""
+    found = secrets.scan(_table(spark, folder, "documents"))
+    return found.select("doc_id", *secrets.digest(found))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's words inside benchmark windows, and the items they come from."""
     found = decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -69,5 +75,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
