@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, packing, quality, secrets, simhash, toxicity
+from carefold.llm import decontaminate, packing, quality, secrets, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best other vectors of every fiftieth."""
+    return topk.top_k(_table(spark, folder, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def _classified(spark: SparkSession, folder: str, kind, folds: int, held: int) -> DataFrame:
     docs = _table(spark, folder, "documents")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
@@ -75,5 +90,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL}
