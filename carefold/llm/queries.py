@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, packing, quality, secrets, simhash, topk, toxicity
+from carefold.llm import decontaminate, htmltext, packing, quality, secrets, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *secrets.digest(found))
 
 
+def op7_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's article text."""
+    found = htmltext.extract(_table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's words inside benchmark windows, and the items they come from."""
     found = decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -90,5 +96,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL}
