@@ -27,6 +27,8 @@ CAPACITY = 4096
 UNIT = 2
 #: The search for patterns ends when none can lower the number of sequences by more than this share.
 GAP = 0.0005
+#: Columns that are generated at most; the counts found so far hold everything at any step.
+STEPS = 400
 #: Pieces that one task ranks at a time.
 RANKED = 50_000
 
@@ -109,11 +111,11 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
     """(patterns, counts): columns of the linear program ``least sum(x), patterns @ x >= demand`` and their fractional counts.
 
     Revised simplex with generated columns. Farley's bound (objective / best pattern value) and the total length prove how
-    far the optimum can be."""
+    far the optimum can be; the search ends within ``gap`` of it or within one sequence."""
     m = len(sizes)
     patterns, x = greedy_basis(sizes, demand, capacity)
     cost, inverse, steps, proven = np.ones(m), None, 0, float(sizes @ demand) / capacity
-    while (total := float(cost @ x)) > proven * (1 + gap):
+    while (total := float(cost @ x)) > max(proven * (1 + gap), proven + 1) and steps < STEPS:
         inverse = np.linalg.inv(patterns) if steps % 100 == 0 else inverse
         duals = cost @ inverse
         i = int(duals.argmin())
