@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, htmltext, packing, quality, secrets, simhash, topk, toxicity
+from carefold.llm import decontaminate, htmltext, lmscore, packing, quality, secrets, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op3_lmscore(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's stupid-backoff score under the trigram model of all documents."""
+    found = lmscore.score(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def _classified(spark: SparkSession, folder: str, kind, folds: int, held: int) -> DataFrame:
     docs = _table(spark, folder, "documents")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
@@ -96,5 +102,24 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL}
+OP3_SQL = f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+word AS (SELECT doc_id, p, w[p] AS w3, CASE WHEN p > 1 THEN w[p - 1] END AS w2, CASE WHEN p > 2 THEN w[p - 2] END AS w1
+         FROM doc, unnest(generate_series(1, len(w))) AS t(p)),
+one AS (SELECT w3 AS a, count(*) AS n FROM word GROUP BY 1),
+two AS (SELECT w2 AS a, w3 AS b, count(*) AS n FROM word WHERE w2 IS NOT NULL GROUP BY 1, 2),
+three AS (SELECT w1 AS a, w2 AS b, w3 AS c, count(*) AS n FROM word WHERE w1 IS NOT NULL GROUP BY 1, 2, 3),
+total AS (SELECT count(*) AS t FROM word),
+every AS (SELECT doc_id, CASE
+    WHEN three.n >= 2 THEN ln(three.n) - ln(before.n)
+    WHEN two.n >= 2 THEN ln(two.n) - ln(first.n) + CASE WHEN w1 IS NULL THEN 0 ELSE ln(0.4) END
+    ELSE ln(one.n) - ln(t) + ln(0.4) * (CASE WHEN w1 IS NOT NULL THEN 2 WHEN w2 IS NOT NULL THEN 1 ELSE 0 END) END AS s
+  FROM word CROSS JOIN total JOIN one ON one.a = w3 LEFT JOIN one first ON first.a = w2
+  LEFT JOIN two ON two.a = w2 AND two.b = w3 LEFT JOIN two before ON before.a = w1 AND before.b = w2
+  LEFT JOIN three ON three.a = w1 AND three.b = w2 AND three.c = w3)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(round(s, 4), 0) AS log_score
+FROM doc LEFT JOIN (SELECT doc_id, sum(s) AS s FROM every GROUP BY doc_id) USING (doc_id)
+"""
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_lmscore": op3_lmscore, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
+ORACLES: dict[str, str] = {"op3_lmscore": OP3_SQL, "op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL}
