@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, htmltext, lmscore, packing, quality, secrets, simhash, topk, toxicity
+from carefold.llm import decontaminate, htmltext, licences, lmscore, packing, quality, secrets, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -97,6 +97,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's licences, their number and the best coefficient."""
+    found = licences.scan(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), F.array_join("licences.licence", ",").alias("licences"),
+                        F.round(F.array_max("licences.dice"), 6).alias("best_dice"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in the packed sequences."""
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -121,5 +128,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(round(s, 4), 0) AS lo
 FROM doc LEFT JOIN (SELECT doc_id, sum(s) AS s FROM every GROUP BY doc_id) USING (doc_id)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_lmscore": op3_lmscore, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op10_packing": op10_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_lmscore": op3_lmscore, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op9_licences": op9_licences, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op3_lmscore": OP3_SQL, "op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL}
