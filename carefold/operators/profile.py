@@ -58,9 +58,9 @@ def completeness_buckets(df: DataFrame) -> DataFrame:
     return nulls_per_column(df).select(label.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n_columns"))
 
 
-def null_matrix(df: DataFrame, cols: list[str], n: int = 200) -> DataFrame:
-    """0 / 1 missing indicators of the first ``n`` rows, as shown in a heat map."""
-    return df.limit(n).select(*[F.col(c).isNull().cast("int").alias(c) for c in cols])
+def null_matrix(df: DataFrame, cols: list[str], n: int = 200, key: str | None = None) -> DataFrame:
+    """0 / 1 missing indicators of the first ``n`` rows in the order of ``key``, as shown in a heat map."""
+    return (df.orderBy(key) if key else df).limit(n).select(*[F.col(c).isNull().cast("int").alias(c) for c in cols])
 
 
 def same_nulls(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -13,6 +13,8 @@ from carefold.functions import constants as C
 from carefold.functions.codes import icd_range
 
 CODES = [f"code_{i}" for i in range(1, 7)]
+#: An assessment has six code columns. Further codes of an order go to further assessment rows, whose keys lie this far apart.
+BLOCK = 1 << 50
 
 
 class Tables:
@@ -57,11 +59,20 @@ class Tables:
             "l_partkey", "l_suppkey", "l_shipdate")
 
     def wide(self) -> DataFrame:
-        """The first six codes of every assessment. The row limit inside the window is pushed below
-        the shuffle, so a hot assessment sends at most six rows per task."""
+        """All codes of every order, six an assessment row: the first row has the order's key, every further one a key that is
+        BLOCK larger. The second grouping keeps the window's partitioning, so rows are shuffled once."""
         w = W.partitionBy("assessment_id").orderBy("line_no", "l_partkey", "l_suppkey", "l_shipdate")
-        top = self.diag().withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 6)
-        return top.groupBy("assessment_id").agg(*[F.max(F.when(F.col("rn") == i + 1, F.col("code"))).alias(c) for i, c in enumerate(CODES)])
+        placed = self.diag().withColumn("rn", F.row_number().over(w) - 1)
+        rows = placed.groupBy("assessment_id", F.floor(F.col("rn") / 6).alias("block")).agg(
+            *[F.max(F.when(F.col("rn") % 6 == i, F.col("code"))).alias(c) for i, c in enumerate(CODES)])
+        return rows.select((F.col("assessment_id") + F.col("block") * BLOCK).alias("assessment_id"), *CODES)
+
+    def coded(self, df: DataFrame, wide: DataFrame | None = None, how: str = "inner") -> DataFrame:
+        """``df`` (one row per order) with the code rows of its orders; the key becomes that of the code row."""
+        w = (self.wide() if wide is None else wide).withColumn("_order", F.col("assessment_id") % BLOCK)
+        own = df.withColumnRenamed("assessment_id", "_order")
+        out = own.join(w, "_order", how)
+        return out.withColumn("assessment_id", F.coalesce("assessment_id", "_order"))
 
     def long(self) -> DataFrame:
         """Distinct-free long diagnosis rows with patient, age and chapter."""
@@ -79,11 +90,11 @@ class Tables:
     def assessments(self) -> DataFrame:
         """Assessments with readable names: one row per order with the patient's attributes, reason
         flags, six codes, body measures and an ordinal item with sentinels."""
-        k = F.col("assessment_id")
-        a = self.flags().join(self.patient(), "beneficiary_id").join(self.wide(), "assessment_id", "left")
+        k = F.col("_order")
+        a = self.coded(self.flags().join(self.patient(), "beneficiary_id"), how="left")
         names = {f"race_{i}": c for i, c in enumerate(C.RACE_COLUMNS)}
         return a.select(
-            k.alias("Assessment_ID"), F.col("beneficiary_id").alias("Beneficiary_ID"), F.col("facility_id").alias("Facility_Internal_ID"),
+            F.col("assessment_id").alias("Assessment_ID"), F.col("beneficiary_id").alias("Beneficiary_ID"), F.col("facility_id").alias("Facility_Internal_ID"),
             F.concat(F.lit("S"), (F.col("county_key") % 5).cast("string")).alias("State_ID"), F.col("priority").alias("Submitted_HIPPS_Code"),
             F.concat(F.lit("A"), (k % 17).cast("string")).alias("Agency_Medicare_Number"), F.col("visit_date").alias("Assessment_Effective_Date"),
             F.trunc("visit_date", "year").alias("Start_of_Care_Date"),
@@ -165,15 +176,15 @@ CTE = {
     "diag": ([], """SELECT l_orderkey AS assessment_id, l_linenumber AS line_no, chr(CAST(65 + l_partkey % 26 AS INT))
         || lpad(CAST(l_partkey % 100 AS VARCHAR), 2, '0') || '.' || CAST(l_partkey % 10 AS VARCHAR) AS code,
         l_partkey, l_suppkey, l_shipdate FROM lineitem"""),
-    "wide": (["diag"], "SELECT assessment_id, " + ", ".join(f"max(code) FILTER (WHERE rn = {i}) AS code_{i}" for i in range(1, 7)) + """
-        FROM (SELECT *, row_number() OVER (PARTITION BY assessment_id ORDER BY line_no, l_partkey, l_suppkey, l_shipdate) AS rn FROM diag)
-        WHERE rn <= 6 GROUP BY assessment_id"""),
+    "wide": (["diag"], f"SELECT CAST(diag.assessment_id + rn // 6 * {BLOCK} AS BIGINT) AS assessment_id, " + ", ".join(f"max(code) FILTER (WHERE rn % 6 = {i - 1}) AS code_{i}" for i in range(1, 7)) + """
+        FROM (SELECT *, row_number() OVER (PARTITION BY assessment_id ORDER BY line_no, l_partkey, l_suppkey, l_shipdate) - 1 AS rn FROM diag) diag
+        GROUP BY diag.assessment_id, rn // 6"""),
     "long": (["diag", "assess", "chapters"], """SELECT d.assessment_id, d.code, a.beneficiary_id, a.status, c.code_range AS chapter FROM diag d
         JOIN assess a ON d.assessment_id = a.assessment_id LEFT JOIN chapters c ON substr(d.code, 1, 3) BETWEEN c.lo AND c.hi"""),
     "flags": (["assess"], """SELECT *, CASE WHEN status = 'O' THEN 1 WHEN assessment_id % 7 <> 0 THEN 0 END AS Emergent_Care_Reason_Fall,
         CASE WHEN assessment_id % 13 = 0 THEN '1' WHEN assessment_id % 5 <> 0 THEN '0' END AS Emergent_Care_Reason_Other,
         CASE WHEN status = 'P' THEN 1 WHEN assessment_id % 9 <> 0 THEN 0 END AS Hospital_Reason_Injury FROM assess"""),
-    "asm": (["flags", "patient", "wide"], """SELECT f.assessment_id AS Assessment_ID, f.beneficiary_id AS Beneficiary_ID, f.facility_id AS Facility_Internal_ID,
+    "asm": (["flags", "patient", "wide"], """SELECT coalesce(w.assessment_id, f.assessment_id) AS Assessment_ID, f.beneficiary_id AS Beneficiary_ID, f.facility_id AS Facility_Internal_ID,
         'S' || CAST(p.county_key % 5 AS VARCHAR) AS State_ID, f.priority AS Submitted_HIPPS_Code, 'A' || CAST(f.assessment_id % 17 AS VARCHAR) AS Agency_Medicare_Number,
         f.visit_date AS Assessment_Effective_Date, CAST(date_trunc('year', f.visit_date) AS DATE) AS Start_of_Care_Date,
         CASE WHEN f.assessment_id % 4 <> 0 THEN f.visit_date + CAST(f.assessment_id % 90 - 20 AS INT) END AS Resumption_of_Care_Date, p.zip AS Patient_ZIP_Code,
@@ -186,7 +197,7 @@ CTE = {
         CASE WHEN f.assessment_id % 9 = 0 THEN 'UK' WHEN f.assessment_id % 9 = 1 THEN '88' ELSE CAST(f.assessment_id % 4 AS VARCHAR) END AS Ability_To_Hear,
         CASE WHEN f.assessment_id % 400 = 0 THEN 1 END AS Sparse_Item, CASE WHEN f.assessment_id % 20 = 0 THEN CAST(f.assessment_id % 3 AS INT) END AS Wound_Count,
         CAST(f.assessment_id % 2 AS INT) AS Medicare_Fee_For_Service
-        FROM flags f JOIN patient p ON f.beneficiary_id = p.beneficiary_id LEFT JOIN wide w ON f.assessment_id = w.assessment_id"""),
+        FROM flags f JOIN patient p ON f.beneficiary_id = p.beneficiary_id LEFT JOIN wide w ON f.assessment_id = w.assessment_id % """ + str(BLOCK)),
     "zip_areas": (["sdoh"], "SELECT * EXCLUDE (county_key), CAST(75000 + county_key AS VARCHAR) AS zip5 FROM sdoh"),
     "sdoh": ([], """SELECT *, 100.0::DOUBLE - POPPCT_URB AS POPPCT_RUR FROM (SELECT s_nationkey AS county_key, round(avg(s_acctbal) / 100.0, 4) AS ACS_PCT_HS_GRADUATE,
         round(max(s_acctbal) / 100.0, 4) AS ACS_PCT_POSTHS_ED, count(*)::DOUBLE AS ACS_PCT_HH_LIMIT_ENGLISH,

@@ -17,7 +17,7 @@ from carefold.operators import graph as G
 from carefold.operators import metrics as M
 from carefold.operators import reshape as RS
 from carefold.operators import risk as RK
-from carefold.plans.domain import CODES, q6, r6
+from carefold.plans.domain import BLOCK, CODES, q6, r6
 from carefold.plans.queries_columns import dx_sql
 from carefold.plans.queries_relational import CODE_LIST, PATIENT_SETS, ROW_RANGES, _chapter_sets, _patient_codes
 from carefold.plans.registry import query
@@ -39,7 +39,7 @@ def dom_02(t):
 
 
 @query("dom_03", f""", {PATIENT_SETS} SELECT a.beneficiary_id, """ + ", ".join(f"count(*) FILTER (WHERE contains(s, '{span}')) AS \"{span}\"" for span, _ in C.ICD_CHAPTERS)
-       + " FROM (SELECT DISTINCT beneficiary_id FROM assess JOIN wide USING (assessment_id)) a LEFT JOIN psets USING (beneficiary_id) GROUP BY 1", "wide assess chapters")
+       + " FROM (SELECT DISTINCT beneficiary_id FROM assess a JOIN wide w ON a.assessment_id = w.assessment_id % " + str(BLOCK) + ") a LEFT JOIN psets USING (beneficiary_id) GROUP BY 1", "wide assess chapters")
 def dom_03(t):
     return D.chapter_counts(_patient_codes(t), "beneficiary_id", CODES)
 
@@ -185,9 +185,9 @@ def ag_13(t):
 # -- county roll-ups ----------------------------------------------------------------------------
 def _dashboard(t):
     """Patient visits with county attributes, condition flags, BMI class and chapters."""
-    k = F.col("assessment_id")
+    k = F.col("_order")
     w = D.condition_flags(t.wide(), CODES).withColumn("icd_ranges", K.chapter_set([F.col(c) for c in CODES]))
-    v = t.visit().join(w, "assessment_id")
+    v = t.coded(t.visit(), w)
     n = t("nation").select(F.col("n_nationkey").alias("county_key"), F.upper("n_name").alias("county"))
     s = t.sdoh().select("county_key", "POPPCT_URB", "POPPCT_RUR")
     return (v.join(n, "county_key").join(s, "county_key", "left")
@@ -201,15 +201,15 @@ DASH = f"""dash AS (SELECT v.*, upper(n.n_name) AS county, s.POPPCT_URB, s.POPPC
     CASE discipline_code WHEN 1 THEN 'RN' WHEN 2 THEN 'PT' WHEN 3 THEN 'SLP/ST' WHEN 4 THEN 'OT' END AS discipline,
     {{bmi}} AS bmi_category, CAST(v.status = 'P' AS INT) AS ever_readmitted, {_spans_sql(C.CONDITION_CHAPTERS['is_diabetes'])} AS is_diabetes,
     {_spans_sql(C.CONDITION_CHAPTERS['is_heart_failure'])} AS is_heart_failure, {_spans_sql(C.CONDITION_CHAPTERS['is_hypertension'])} AS is_hypertension
-    FROM visit v JOIN wide w ON v.assessment_id = w.assessment_id JOIN nation n ON v.county_key = n.n_nationkey LEFT JOIN sdoh s ON v.county_key = s.county_key)"""
+    FROM visit v JOIN wide w ON v.assessment_id = w.assessment_id % {BLOCK} JOIN nation n ON v.county_key = n.n_nationkey LEFT JOIN sdoh s ON v.county_key = s.county_key)"""
 from carefold.plans.queries_columns import BMI_CLASS  # noqa: E402
 
 DASH = DASH.format(bmi=BMI_CLASS.replace("b <", "CAST(v.assessment_id % 30 + 15 AS INT) <").replace("b >=", "CAST(v.assessment_id % 30 + 15 AS INT) >="))
 
 
-def _map_text(values: str, where: str) -> str:
+def _map_text(values: str, where: str, more: str = "") -> str:
     """Counts of a column per county as sorted 'value=count' text."""
-    return f"(SELECT array_to_string(list_sort(array_agg(x || '=' || n)), ';') FROM (SELECT {values} AS x, CAST(count(*) AS VARCHAR) AS n FROM dash i WHERE i.county = {where} AND {values} IS NOT NULL GROUP BY 1))"
+    return f"(SELECT array_to_string(list_sort(array_agg(x || '=' || n)), ';') FROM (SELECT {values} AS x, CAST(count(*) AS VARCHAR) AS n FROM dash i WHERE i.county = {where} AND {values} IS NOT NULL {more} GROUP BY 1))"
 
 
 def _text_map(name):
@@ -232,7 +232,7 @@ ROLLUP = f"""SELECT d.county, count(DISTINCT beneficiary_id) AS n_patients, coun
     count(*) FILTER (WHERE is_diabetes = 1) AS n_diabetes, count(*) FILTER (WHERE is_heart_failure = 1) AS n_heart_failure, count(*) FILTER (WHERE is_hypertension = 1) AS n_hypertension,
     count(*) FILTER (WHERE ever_readmitted = 1) AS n_readmitted, count(*) FILTER (WHERE ever_readmitted = 0) AS n_not_readmitted, min(POPPCT_URB) AS POPPCT_URB, min(POPPCT_RUR) AS POPPCT_RUR,
     {_map_text('gender', 'd.county')} AS gender_counts, {_map_text('discipline', 'd.county')} AS discipline_counts, {_map_text('bmi_category', 'd.county')} AS bmi_category_counts,
-    (SELECT array_to_string(list_sort(list_distinct(array_agg(label))), ',') FROM {ROW_RANGES} r JOIN dash i ON r.assessment_id = i.assessment_id WHERE i.county = d.county) AS icd_ranges
+    (SELECT array_to_string(list_sort(list_distinct(array_agg(label))), ',') FROM {ROW_RANGES} r JOIN dash i ON r.assessment_id % {BLOCK} = i.assessment_id WHERE i.county = d.county) AS icd_ranges
     FROM dash d GROUP BY d.county"""
 
 
@@ -258,7 +258,7 @@ def cohort_rollup(df, county, cond):
 
 COHORT = f"""SELECT upper(d.county[1]) || lower(d.county[2:]) AS county, count(DISTINCT beneficiary_id) AS n_patients, count(DISTINCT facility_id) AS n_facilities, {q6('avg(age)', 'mean_age')}, min(POPPCT_URB) AS POPPCT_URB,
     {', '.join('CAST(sum(' + ' + '.join(f'coalesce(race_{i}, 0)' for i in ids) + f') AS BIGINT) AS "race_{n}"' for n, ids in RACE_GROUPS.items())},
-    'Female=' || count(*) FILTER (WHERE gender = 'Female') || ';Male=' || count(*) FILTER (WHERE gender = 'Male') AS gender_counts FROM dash d WHERE is_diabetes = 1 GROUP BY d.county"""
+    {_map_text('gender', 'd.county', 'AND i.is_diabetes = 1')} AS gender_counts FROM dash d WHERE is_diabetes = 1 GROUP BY d.county"""
 
 
 @query("ag_36", f", {DASH} {COHORT}", "visit wide sdoh chapters")
@@ -407,9 +407,9 @@ def grf_02(t):
     return G.components(G.cooccurrence_edges(_stem_sets(t), "stems", 2))
 
 
-@query("grf_03", f"SELECT DISTINCT a.beneficiary_id, r.label FROM {ROW_RANGES} r JOIN assess a USING (assessment_id)", "wide chapters assess")
+@query("grf_03", f"SELECT DISTINCT a.beneficiary_id, r.label FROM {ROW_RANGES} r JOIN assess a ON a.assessment_id = r.assessment_id % {BLOCK}", "wide chapters assess")
 def grf_03(t):
-    sets = _chapter_sets(t).join(t.assess().select("assessment_id", "beneficiary_id"), "assessment_id")
+    sets = t.coded(t.assess().select("assessment_id", "beneficiary_id"), _chapter_sets(t))
     return D.bipartite_edges(sets, "beneficiary_id", "icd_ranges")
 
 

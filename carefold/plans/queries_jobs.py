@@ -11,7 +11,7 @@ from carefold.operators import columns as P
 from carefold.operators import diagnosis as D
 from carefold.operators import reshape as RS
 from carefold.plans import jobs
-from carefold.plans.domain import CODES, q6, r6
+from carefold.plans.domain import BLOCK, CODES, q6, r6
 from carefold.plans.queries_columns import AGE_SQL, BMI_CLASS, ZIP_SQL
 from carefold.plans.queries_domain import HAD_ED, HAD_HOSP, OUTCOME, UNIT_WEIGHTS, _risk_sql, _spans_sql
 from carefold.plans.queries_models import SMALL
@@ -53,10 +53,10 @@ def job_01(t):
 
 @query("job_02", """SELECT 'section=' || code_range AS file_name, count(*) AS num_rows, CAST(24 AS INT) AS num_columns, count(DISTINCT beneficiary_id) AS num_patients FROM
     (SELECT DISTINCT l.beneficiary_id, w.assessment_id, c.code_range FROM (SELECT assessment_id, unnest([""" + ", ".join(CODES) + """]) AS code FROM wide) w JOIN chapters c ON substr(w.code, 1, 3) BETWEEN c.lo AND c.hi
-    JOIN assess l ON l.assessment_id = w.assessment_id) GROUP BY 1""", "wide chapters assess")
+    JOIN assess l ON l.assessment_id = w.assessment_id % """ + str(BLOCK) + ") GROUP BY 1", "wide chapters assess")
 def job_02(t):
     flags = D.chapter_counts(t.wide(), "assessment_id", CODES)
-    df = t.assess().select(F.col("beneficiary_id").alias("Beneficiary_ID"), "assessment_id").join(flags, "assessment_id")
+    df = t.coded(t.assess().select(F.col("beneficiary_id").alias("Beneficiary_ID"), "assessment_id"), flags).drop("_order")
     return jobs.split_sections(df, scratch_path(t.spark, "sections"), ["Beneficiary_ID", "assessment_id"])
 
 

@@ -14,7 +14,7 @@ from carefold.operators import reshape as RS
 from carefold.operators import visits as V
 from carefold.operators.columns import count_filled
 from carefold.operators.diagnosis import chapter_counts, row_chapters
-from carefold.plans.domain import CODES, q6, r6
+from carefold.plans.domain import BLOCK, CODES, q6, r6
 from carefold.plans.queries_columns import AGE_SQL, BMI_CEIL, BMI_CLASS, BODY, ZIP_SQL, _body
 from carefold.plans.registry import query
 
@@ -29,12 +29,12 @@ def jn_01(t):
 
 
 def _patient_codes(t):
-    return t.wide().join(t.assess().select("assessment_id", "beneficiary_id"), "assessment_id")
+    return t.coded(t.assess().select("assessment_id", "beneficiary_id")).drop("_order")
 
 
 PATIENT_SETS = f"""psets AS (SELECT DISTINCT a.beneficiary_id, w.s FROM (SELECT assessment_id,
     array_to_string(list_sort(list_distinct(array_agg(code_range))), ',') AS s FROM (SELECT assessment_id, unnest({CODE_LIST}) AS code FROM wide)
-    JOIN chapters ON substr(code, 1, 3) BETWEEN lo AND hi GROUP BY 1) w JOIN assess a USING (assessment_id))"""
+    JOIN chapters ON substr(code, 1, 3) BETWEEN lo AND hi GROUP BY 1) w JOIN assess a ON a.assessment_id = w.assessment_id % {BLOCK})"""
 
 
 @query("jn_02", f""", {PATIENT_SETS} SELECT a.assessment_id, coalesce(p.i, 0)::BIGINT AS circulatory, coalesce(p.j, 0)::BIGINT AS respiratory FROM assess a LEFT JOIN
@@ -197,9 +197,9 @@ def _chapter_sets(t):
     return row_chapters(t.wide(), CODES).select("assessment_id", "icd_ranges")
 
 
-@query("ag_09", f"SELECT facility_id, array_to_string(list_sort(list_distinct(array_agg(label))), ',') AS labels FROM {ROW_RANGES} JOIN assess USING (assessment_id) GROUP BY 1", "wide chapters assess")
+@query("ag_09", f"SELECT facility_id, array_to_string(list_sort(list_distinct(array_agg(label))), ',') AS labels FROM {ROW_RANGES} r JOIN assess a ON a.assessment_id = r.assessment_id % {BLOCK} GROUP BY 1", "wide chapters assess")
 def ag_09(t):
-    sets = _chapter_sets(t).join(t.assess().select("assessment_id", "facility_id"), "assessment_id")
+    sets = t.coded(t.assess().select("assessment_id", "facility_id"), _chapter_sets(t))
     out = AG.label_union(sets, ["facility_id"], "icd_ranges")
     return out.withColumn("labels", F.array_join("labels", ","))
 
@@ -367,7 +367,7 @@ def ag_29(t):
     return AG.flag_overlap(t.flags(), any_filled(["Emergent_Care_Reason_Fall", "Emergent_Care_Reason_Other"]), any_filled(["Hospital_Reason_Injury"]))
 
 
-@query("ag_30", "SELECT CAST(" + " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in CODES) + " AS INT) AS n_filled, count(DISTINCT beneficiary_id) AS n_patients FROM wide JOIN assess USING (assessment_id) GROUP BY 1", "wide assess")
+@query("ag_30", "SELECT CAST(" + " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in CODES) + " AS INT) AS n_filled, count(DISTINCT beneficiary_id) AS n_patients FROM wide w JOIN assess a ON a.assessment_id = w.assessment_id % " + str(BLOCK) + " GROUP BY 1", "wide assess")
 def ag_30(t):
     return AG.patients_by_filled(_patient_codes(t), count_filled(CODES), "beneficiary_id")
 
@@ -477,9 +477,9 @@ def srt_02(t):
     return RS.stack(top, RS.top_k(o, "o_totalprice", 10, largest=False, tie=["o_orderkey"]).withColumn("side", F.lit("bottom")))
 
 
-@query("srt_03")
+@query("srt_03", "SELECT " + ", ".join(f"CAST({c} IS NULL AS INT) AS {c}" for c in CODES) + " FROM (SELECT * FROM wide ORDER BY assessment_id LIMIT 200)", "wide")
 def srt_03(t):
-    return PR.null_matrix(t.wide(), CODES, 200)
+    return PR.null_matrix(t.wide(), CODES, 200, key="assessment_id")
 
 
 @query("set_01", "SELECT s_suppkey AS k, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
