@@ -134,7 +134,6 @@ ADMIN_COLUMNS = [
 ]
 ZERO_VARIANCE_COLUMNS = ["V00-Y99", "diab", "diabwc", "msld", "blane", "diabc", "diabunc", "pud_elixhauser"]
 PAYMENT_WORDS = ["payment", "pymnt", "hipps", "medicare_fee", "medicare_hmo", "medicare_hha"]
-RACE_WORDS = ["indian", "asian", "black", "african", "hispanic", "latino", "hawaiian", "pacific", "white"]
 SDOH_PREFIXES = ["ACS_", "CEN_", "POS_", "HIFLD_"]
 
 RACE_COLUMNS = [

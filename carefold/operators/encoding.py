@@ -8,13 +8,9 @@ from carefold.operators import ordered
 from carefold.operators.aggregates import modes_by
 
 
-def levels_of(df: DataFrame, cols: list[str], limit: int = 10_000) -> dict[str, list]:
-    """Sorted distinct values per column from one aggregate. One-hot columns are chosen for their
-    low cardinality; a column above ``limit`` is refused before its values are fetched."""
-    size = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    wide = [c for c in cols if size[c] > limit]
-    if wide:
-        raise ValueError(f"too many levels for one-hot encoding: {wide}")
+def levels_of(df: DataFrame, cols: list[str]) -> dict[str, list]:
+    """Sorted distinct values per column from one aggregate. Every level becomes a column, so callers choose columns
+    by ``split_by_cardinality`` or pass the levels."""
     row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
     return {c: list(row[c]) for c in cols}
 

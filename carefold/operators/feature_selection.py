@@ -136,9 +136,13 @@ def rfe_rf(df: DataFrame, cols: list[str], target: str, keep: int = 5, trees: in
 
 # -- ridge on Gram matrices ----------------------------------------------------------------------
 def gram(df: DataFrame, cols: list[str], target: str, fold: str | None = None) -> dict[int, np.ndarray]:
-    """Per fold the (p + 2) square matrix Z'Z with Z = [X, y, 1], from one pass over the table."""
+    """Per fold the (p + 2) square matrix Z'Z with Z = [X, y, 1]. The columns are centred on their means over the whole
+    table first, so that large offsets cost no digits; a ridge fit with an intercept does not depend on them. Null and NaN
+    count as 0, as before."""
     names = [*cols, target]
-    typed = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]
+    plain = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in names]
+    means = df.select(*plain).agg(*[F.avg(c).alias(c) for c in names]).first()
+    typed = [(p - F.lit(float(means[c] or 0.0))).alias(c) for p, c in zip(plain, names)]
     part = (F.col(fold).cast("int") if fold else F.lit(0)).alias("_fold")
     size = len(names) + 1
 

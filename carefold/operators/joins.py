@@ -54,7 +54,8 @@ def outer_join_fill(a: DataFrame, b: DataFrame, on: list[str], fill=0) -> DataFr
 
 
 def range_join(codes: DataFrame, ranges: DataFrame, col: Column, lo: str, hi: str) -> DataFrame:
-    """Rows of ``codes`` with the range that holds ``col`` (left join, first range by ``pos``).
+    """Rows of ``codes`` with the ranges that hold ``col`` (left join). If ``ranges`` has a ``pos`` column, overlapping
+    ranges are resolved to the first by it; the rows of ``codes`` must then be distinct.
 
     A range is repeated once per first letter it covers, which turns the range condition into a
     hash join on the letter with a residual check."""
@@ -62,7 +63,12 @@ def range_join(codes: DataFrame, ranges: DataFrame, col: Column, lo: str, hi: st
     keyed = ranges.withColumn("_letter", letters)
     left = codes.withColumn("_value", col).withColumn("_letter", F.ascii("_value"))
     cond = (left["_letter"] == keyed["_letter"]) & (left["_value"] >= keyed[lo]) & (left["_value"] <= keyed[hi])
-    return left.join(F.broadcast(keyed), cond, "left").drop(left["_letter"]).drop(keyed["_letter"]).drop("_value")
+    joined = left.join(keyed, cond, "left").drop(left["_letter"]).drop(keyed["_letter"]).drop("_value")
+    if "pos" not in ranges.columns:
+        return joined
+    rest = [c for c in joined.columns if c not in ranges.columns]
+    first = F.min(F.struct("pos", *[c for c in ranges.columns if c != "pos"])).alias("_first")
+    return joined.groupBy(*rest).agg(first).select(*rest, "_first.*")
 
 
 def matching_rows(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
@@ -73,11 +79,11 @@ def prefix_join(codes: DataFrame, mapping: DataFrame, code: str, lengths: tuple[
                 how: str = "left") -> DataFrame:
     """Codes with the conditions whose prefix they carry; one output row per code and prefix length.
 
-    ``mapping`` is a constant (condition, prefix) table, so its size is known before the run."""
+    ``mapping`` is a (condition, prefix) table; the optimizer broadcasts it below the session's threshold."""
     bare = bare_code(F.col(code))
     prefixes = F.array_distinct(F.array(*[F.substring(bare, 1, n) for n in lengths]))
     exploded = codes.withColumn("prefix", F.explode_outer(prefixes))
-    return exploded.join(F.broadcast(mapping), "prefix", how).drop("prefix")
+    return exploded.join(mapping, "prefix", how).drop("prefix")
 
 
 def label_pairs(df: DataFrame, arr: str) -> DataFrame:

@@ -29,12 +29,11 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 def training_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """The feature vector with the label, weight, fold and validation columns, written once to the
     shared folder. Training passes over its input many times, so the table's own lineage (joins, splits,
-    hashes) is not repeated on every pass. A table that arrives in fewer pieces than there are cores is
-    dealt out evenly; larger ones keep their layout."""
-    vectors = assemble(df, cols)
-    slim = vectors.select("features", *[n for n, kind in df.dtypes if n not in cols and kind != "string"])
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return cut_lineage(slim.repartition(cores) if len(df.inputFiles()) < cores else slim)
+    hashes) is not repeated on every pass. Rows are dealt by a hash of their features,
+    so their layout depends neither on the files nor on the cores, and a retried task deals alike."""
+    vectors = assemble(df.withColumn("_deal", F.xxhash64(*cols)), cols)
+    slim = vectors.select("features", "_deal", *[n for n, kind in df.dtypes if n not in cols and kind != "string"])
+    return cut_lineage(slim.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_deal").drop("_deal"))
 
 
 def _fit(estimator, train: DataFrame, cols: list[str]):

@@ -3,29 +3,38 @@ whole table, or a whole hot group, in one task.
 
 Rows are first reduced to one row per distinct value. The value range is then cut at boundaries
 taken from the values with the smallest hash (a repeatable sample), each piece is accumulated on its
-own, and the per-piece totals, at most ``PIECES`` per group, are added back.
+own, and the per-piece totals, one per group and piece, are added back.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PIECES = 256
 
 
+def _pieces(df: DataFrame) -> int:
+    """Follows the session's number of shuffle partitions, which a cluster sets by the size of its data."""
+    return max(PIECES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _with_piece(df: DataFrame, key: str) -> DataFrame:
-    """Add ``_piece``: how many of at most PIECES - 1 boundary values lie at or below the key. Every
-    sixteenth boundary is compared first, then the sixteen of that stretch."""
-    picked = df.select(key).orderBy(F.xxhash64(key), key).limit(PIECES - 1)
+    """Add ``_piece``: how many of the boundary values, distinct keys with the smallest hashes, lie at or below the key.
+    Every n-th boundary is compared first, then those of that stretch, n being the root of their number."""
+    pieces = _pieces(df)
+    stride = max(16, math.isqrt(pieces))
+    picked = df.select(key).distinct().orderBy(F.xxhash64(key), key).limit(pieces - 1)
     cuts = F.array_sort(F.collect_set(key))
-    found = picked.agg(F.struct(cuts.alias("all"), F.filter(cuts, lambda x, i: i % 16 == 0).alias("sixteenth")).alias("c")).scalar()
+    found = picked.agg(F.struct(cuts.alias("all"), F.filter(cuts, lambda x, i: i % stride == 0).alias("coarse")).alias("c")).scalar()
 
     def below(arr):
         return F.size(F.filter(arr, lambda b: b <= F.col(key)))
 
-    start = (F.col("_block") - 1) * 16
-    fine = F.when(F.col("_block") > 0, start + below(F.slice("_cuts", start + 1, F.lit(16)))).otherwise(0)
-    return (df.withColumn("_found", found).withColumns({"_cuts": F.col("_found.all"), "_coarse": F.col("_found.sixteenth")})
+    start = (F.col("_block") - 1) * stride
+    fine = F.when(F.col("_block") > 0, start + below(F.slice("_cuts", start + 1, F.lit(stride)))).otherwise(0)
+    return (df.withColumn("_found", found).withColumns({"_cuts": F.col("_found.all"), "_coarse": F.col("_found.coarse")})
             .withColumn("_block", F.coalesce(below("_coarse"), F.lit(0)))
             # never null, so the join on it adds no null check that would be evaluated per input row
             .withColumn("_piece", F.coalesce(fine, F.lit(0))).drop("_found", "_cuts", "_coarse", "_block"))

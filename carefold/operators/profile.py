@@ -103,25 +103,17 @@ def _correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.sqrt(vx) * F.sqrt(vy))
 
 
-EXPRESSION_COLUMNS = 4
+def _number(c: str) -> Column:
+    """The column as double, NaN as null."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, r) for every pair i < j in the order of ``cols``, pairwise complete.
+    """(i, j, r) for every pair i < j in the order of ``cols``, pairwise complete; NaN counts as missing.
 
-    Up to EXPRESSION_COLUMNS columns one native aggregate does it. Wider tables compute blocks of
-    moments per partition with matrix products and sum them by pair."""
-    if len(cols) <= EXPRESSION_COLUMNS:
-        typed = [F.col(c).cast("double") for c in cols]
-        rows = [F.struct(F.lit(cols[i]).alias("i"), F.lit(cols[j]).alias("j"), _correlation(typed[i], typed[j]).alias("r"))
-                for i in range(len(cols)) for j in range(i + 1, len(cols))]
-        return df.agg(F.array(*rows).alias("m")).select(F.inline("m"))
-    return _corr_blocks(df, cols)
-
-
-def _corr_blocks(df: DataFrame, cols: list[str]) -> DataFrame:
-    typed = [F.col(c).cast("double").alias(c) for c in cols]
-    centre_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    Blocks of moments, centred on the column means, come from matrix products per partition and are summed by pair."""
+    typed = [_number(c).alias(c) for c in cols]
+    centre_row = df.agg(*[F.avg(_number(c)).alias(c) for c in cols]).first()
     centre = np.array([0.0 if centre_row[c] is None else centre_row[c] for c in cols])
     names = list(cols)
     upper = np.triu_indices(len(names), 1)
@@ -160,8 +152,8 @@ def high_corr_pairs(df: DataFrame, cols: list[str], t: float = 0.95) -> DataFram
 
 def target_corr(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """(feature, r) against the target from one aggregate."""
-    y = F.col(target).cast("double")
-    rows = [F.struct(F.lit(c).alias("feature"), _correlation(F.col(c).cast("double"), y).alias("r")) for c in cols]
+    y = _number(target)
+    rows = [F.struct(F.lit(c).alias("feature"), _correlation(_number(c), y).alias("r")) for c in cols]
     return df.agg(F.array(*rows).alias("m")).select(F.inline("m"))
 
 

@@ -21,8 +21,8 @@ def sample_fraction(df: DataFrame, f: float, seed: int = 42) -> DataFrame:
 
 
 def sample_fraction_by_key(df: DataFrame, key: str, f: float, seed: int = 0) -> DataFrame:
-    """Repeatable fraction: the key's hash falls below the fraction of the hash range."""
-    return df.filter(hash_bucket(F.col(key), 10_000, _salt(seed)) < round(f * 10_000))
+    """Repeatable fraction: the key's 32-bit hash falls below the fraction of the hash range."""
+    return df.filter(hash_bucket(F.col(key), salt=_salt(seed)) < F.lit(f * 2.0**32))
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -38,11 +38,11 @@ def sample_per_class(df: DataFrame, label: str, key: str, n: int, seed: int = 0)
 def split(df: DataFrame, key: str, parts: tuple[float, ...], seed: int = 0, name: str = "split") -> DataFrame:
     """Assign each row to part 0, 1, ... by its hash bucket; one projection, no shuffle. Every class
     gets the same shares up to sampling error."""
-    bucket = hash_bucket(F.col(key), 1000, _salt(seed))
+    bucket = hash_bucket(F.col(key), salt=_salt(seed))
     upto, chain = 0.0, None
     for i, share in enumerate(parts[:-1]):
         upto += share
-        test = bucket < round(upto * 1000)
+        test = bucket < F.lit(round(upto, 12) * 2.0**32)
         chain = F.when(test, i) if chain is None else chain.when(test, i)
     last = len(parts) - 1
     return df.withColumn(name, chain.otherwise(last) if chain is not None else F.lit(last))

@@ -43,7 +43,7 @@ def snk_07(t):
     return scored.groupBy("target", "prediction").agg(F.count("*").alias("n"))
 
 
-@query("snk_08", f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN h % 1000 < 800 THEN 0 WHEN h % 1000 < 900 THEN 1 ELSE 2 END AS split FROM (SELECT {md5_sql('row_key')} AS h FROM matrix)) GROUP BY 1", "matrix")
+@query("snk_08", f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN h < 0.8 * 4294967296 THEN 0 WHEN h < 0.9 * 4294967296 THEN 1 ELSE 2 END AS split FROM (SELECT {md5_sql('row_key')} AS h FROM matrix)) GROUP BY 1", "matrix")
 def snk_08(t):
     path = scratch_path(t.spark, "split")
     sinks.write_split(SM.split(t.matrix(), "row_key", (0.8, 0.1, 0.1)), "split", path)
@@ -171,7 +171,7 @@ def mdl_05(t):
 
 
 KNN = ["chars", "toxic", "source_len"]
-DOCS = """docs AS (SELECT l.doc_id, l.quality, l.toxic::DOUBLE AS toxic, d.n_chars::DOUBLE AS chars, length(d.source)::DOUBLE AS source_len, """ + md5_sql("l.doc_id") + """ % 1000 < 800 AS train FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+DOCS = """docs AS (SELECT l.doc_id, l.quality, l.toxic::DOUBLE AS toxic, d.n_chars::DOUBLE AS chars, length(d.source)::DOUBLE AS source_len, """ + md5_sql("l.doc_id") + """ < 0.8 * 4294967296 AS train FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 
 @query("mdl_06", f"WITH {DOCS}, near AS (SELECT q.doc_id, t.quality, row_number() OVER (PARTITION BY q.doc_id ORDER BY sqrt((q.chars - t.chars) ** 2 + (q.toxic - t.toxic) ** 2 + (q.source_len - t.source_len) ** 2), t.doc_id) AS rn "

@@ -18,7 +18,7 @@ H = md5_sql("o_orderkey")
 
 
 # -- samples ------------------------------------------------------------------------------------
-@query("smp_01", f"SELECT o_orderkey, o_orderstatus FROM orders WHERE {H} % 10000 < 2500")
+@query("smp_01", f"SELECT o_orderkey, o_orderstatus FROM orders WHERE {H} < 0.25 * 4294967296")
 def smp_01(t):
     return SM.sample_fraction_by_key(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 0.25)
 
@@ -60,7 +60,7 @@ def spl_02(t):
     return SM.stratified_split(_status(t), "o_orderstatus", "o_orderkey", (0.7, 0.15, 0.15))
 
 
-@query("spl_03", f"SELECT o_orderkey, CASE WHEN {H} % 1000 < 800 THEN 0 ELSE 1 END AS split FROM orders")
+@query("spl_03", f"SELECT o_orderkey, CASE WHEN {H} < 0.8 * 4294967296 THEN 0 ELSE 1 END AS split FROM orders")
 def spl_03(t):
     return SM.split(t("orders").select("o_orderkey"), "o_orderkey", (0.8, 0.2))
 
@@ -161,10 +161,10 @@ def enc_06(t):
     return t.patient().select("beneficiary_id", S.encode_gender(S.decode(F.col("gender_code"), GENDER)).alias("gender"))
 
 
-TRAIN = f"SELECT * FROM orders WHERE {H} % 1000 < 800"
+TRAIN = f"SELECT * FROM orders WHERE {H} < 0.8 * 4294967296"
 
 
-@query("sca_01", f"""SELECT o_orderkey, CASE WHEN {H} % 1000 < 800 THEN 0 ELSE 1 END AS split, {q6(f'(o_totalprice - (SELECT avg(o_totalprice) FROM ({TRAIN}))) / (SELECT stddev_pop(o_totalprice) FROM ({TRAIN}))', 'o_totalprice')} FROM orders""")
+@query("sca_01", f"""SELECT o_orderkey, CASE WHEN {H} < 0.8 * 4294967296 THEN 0 ELSE 1 END AS split, {q6(f'(o_totalprice - (SELECT avg(o_totalprice) FROM ({TRAIN}))) / (SELECT stddev_pop(o_totalprice) FROM ({TRAIN}))', 'o_totalprice')} FROM orders""")
 def sca_01(t):
     parts = SM.split(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", (0.8, 0.2))
     train, test = E.standard_scale(parts.filter("split = 0"), [parts.filter("split = 1")], ["o_totalprice"])

@@ -76,7 +76,7 @@ def test_auc_and_average_precision(skewed):
     assert np.isclose(M.average_precision(df, "y", "x").first()[0], steps / len(pos))
 
 
-def test_correlation_blocks_match_expressions(spark):
+def test_correlation_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(800, 6)) * [1, 10, 1e4, 1, 1, 1] + [0, 0, 1e6, 0, 5, 0]
     x[:, 3] = x[:, 0] * 2 + rng.normal(size=800) * 0.1
@@ -85,7 +85,7 @@ def test_correlation_blocks_match_expressions(spark):
     pdf.loc[::5, "b"] = np.nan
     df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "abcdef"])
     want = pdf.corr()
-    for r in PR._corr_blocks(df, list("abcdef")).collect():
+    for r in PR.corr_matrix(df, list("abcdef")).collect():
         assert (r["r"] is None) if "e" in (r["i"], r["j"]) else np.isclose(r["r"], want.loc[r["i"], r["j"]])
     for r in PR.corr_matrix(df, ["a", "b", "d"]).collect():
         assert np.isclose(r["r"], want.loc[r["i"], r["j"]])
@@ -135,7 +135,9 @@ def test_ridge_from_gram(spark):
     w, b = FS.ridge_from_gram(FS.gram(df, list("abcd"), "y")[0], [0, 1, 2, 3])
     xc, yc = x - x.mean(0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + np.eye(4), xc.T @ yc)
-    assert np.allclose(w, want) and np.isclose(b, y.mean() - x.mean(0) @ want)
+    assert np.allclose(w, want) and np.isclose(b, 0)  # over the centred columns
+    far = df.withColumns({c: F.col(c) + 1e8 for c in "abcd"})
+    assert np.allclose(FS.ridge_from_gram(FS.gram(far, list("abcd"), "y")[0], [0, 1, 2, 3])[0], want, rtol=1e-5)
     assert {r["feature"] for r in FS.rfe_ridge(df, list("abcd"), "y", keep=3).collect()} == {"a", "c", "d"}
     assert [r["feature"] for r in FS.sfs_ridge(df, list("abcd"), "y", "fold", keep=2).collect()] == ["a", "c"]
 
@@ -174,3 +176,37 @@ def test_one_row_per_key_and_hot_patient(spark):
     assert [None if pd.isna(x) else x for x in hist["prev_visit_date"]] == [None if pd.isna(x) else x for x in want]
     first = V.one_per_key(df, ["p"], ["day", "id"]).toPandas().set_index("p")["id"].to_dict()
     assert first == pdf.groupby("p").head(1).set_index("p")["id"].to_dict()
+
+
+def test_one_nan_changes_only_its_own_row(spark):
+    from carefold.operators import profile
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 6))
+    x[:, 1] = x[:, 0] * 2
+    x[7, 1] = np.nan
+    want = pd.DataFrame(x, columns=list("abcdef")).corr()
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], [*"abcdef"])
+    for cols in (["a", "b"], list("abcdef")):
+        got = {(r["i"], r["j"]): r["r"] for r in profile.corr_matrix(df, cols).collect()}
+        assert all(np.isclose(got[i, j], want.loc[i, j]) for i, j in got) and len(got) == len(cols) * (len(cols) - 1) // 2
+
+
+def test_small_shares_are_exact(spark):
+    from carefold.operators import sampling
+    n = sampling.sample_fraction_by_key(spark.range(2_000_000), "id", 1e-5).count()
+    assert 5 <= n <= 45
+
+
+def test_components_of_a_shuffled_chain(spark):
+    from carefold.operators.graph import components
+    order = list(range(10_000))
+    random.Random(1).shuffle(order)
+    out = components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()
+    assert len(out) == 10_000 and {r["component"] for r in out} == {0}
+
+
+def test_every_line_reaches_the_code_rows(spark):
+    from carefold.plans.domain import CODES, Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    filled = sum((F.col(c).isNotNull().cast("int") for c in CODES), F.lit(0))
+    assert t.wide().agg(F.sum(filled)).first()[0] == t("lineitem").count()
