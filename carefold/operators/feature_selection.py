@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -15,7 +16,6 @@ from carefold.operators.columns import numeric_columns
 from carefold.operators.neighbours import nearest
 from carefold.operators.profile import corr_matrix, dominant_numeric, dominant_share, target_corr
 from carefold.operators.models import training_table
-from carefold.session import cut_lineage
 
 
 # -- filters ------------------------------------------------------------------------------------
@@ -123,11 +123,12 @@ def permutation_importance_ridge(train: DataFrame, test: DataFrame, cols: list[s
 
 
 def rfe_rf(df: DataFrame, cols: list[str], target: str, keep: int = 5, trees: int = 100, depth: int = 5, seed: int = 1) -> DataFrame:
-    """Refit without the weakest feature until ``keep`` are left."""
+    """Refit without the weakest feature until ``keep`` are left; the training table is written once and sliced."""
     left = list(cols)
-    df = cut_lineage(df.select(*cols, target))
+    table = training_table(df.select(*cols, target), cols)
     while True:
-        model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(training_table(df, left))
+        some = VectorSlicer(inputCol="features", outputCol="some", indices=[cols.index(c) for c in left]).transform(table)
+        model = RandomForestRegressor(featuresCol="some", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(some)
         scores = dict(zip(left, model.featureImportances.toArray()))
         if len(left) <= keep:
             return _ranking(df, "RFE (RF)", "Importance", list(scores.items()))

@@ -191,7 +191,7 @@ def job_10(t):
 @query("job_11")
 def job_11(t):
     space = {"n_estimators": (3, 5, "int"), "learning_rate": (0.1, 0.3, "log")}
-    return jobs.train_report(t.matrix(), "target", "row_key", space, trials=1, folds=2, params={"max_depth": 3})
+    return jobs.train_report(t.matrix(), "target", "row_key", space, trials=3, folds=3, params={"max_depth": 3})
 
 
 @query("job_12", """SELECT 'rows' AS part, CAST(m AS VARCHAR) AS name, count(*) AS n FROM (SELECT """ + " + ".join(f"CAST({c} IS NULL{' OR ' + c + f' = {chr(39)*2}' if c.endswith('_ICD_10_C_M') else ''} AS INT)" for c in C.CODE_COLUMNS[1:] + ["Sparse_Item", "Wound_Count", "Resumption_of_Care_Date"]) +

@@ -33,14 +33,15 @@ def _report(scored, name):
 
 
 # -- sinks that need a model or a split ------------------------------------------------------------
-@query("snk_07")
+@query("snk_07", "SELECT target, count(*) AS n, TRUE AS same FROM matrix GROUP BY 1", "matrix")
 def snk_07(t):
-    """A fitted model written, read back and used."""
+    """A fitted model written, read back and used: rows per class, and whether both models predict alike."""
     model = ML.fit_logistic(t.matrix(), COLS, "target", maxIter=20)
     path = scratch_path(t.spark, "model")
     sinks.save_model(model, path)
-    scored = ML.score(sinks.load_pipeline(path), t.matrix(), COLS, ["target"])
-    return scored.groupBy("target", "prediction").agg(F.count("*").alias("n"))
+    counts = [ML.score(m, t.matrix(), COLS, ["target"]).groupBy("target", "prediction").agg(F.count("*").alias("n")) for m in (model, sinks.load_pipeline(path))]
+    both = counts[0].join(counts[1].withColumnRenamed("n", "n_read"), ["target", "prediction"], "full_outer")
+    return both.groupBy("target").agg(F.sum("n").alias("n"), F.coalesce(F.bool_and(F.col("n") == F.col("n_read")), F.lit(False)).alias("same"))
 
 
 @query("snk_08", f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN h < 0.8 * 4294967296 THEN 0 WHEN h < 0.9 * 4294967296 THEN 1 ELSE 2 END AS split FROM (SELECT {md5_sql('row_key')} AS h FROM matrix)) GROUP BY 1", "matrix")
@@ -58,29 +59,29 @@ def fs_06(t):
 
 @query("fs_07")
 def fs_07(t):
-    return FS.rf_importance(t.matrix(), COLS, "target", trees=10)
+    return FS.rf_importance(t.matrix(), COLS, "target")
 
 
 @query("fs_08")
 def fs_08(t):
-    return FS.gb_importance(t.matrix(), COLS, "target", trees=5)
+    return FS.gb_importance(t.matrix(), COLS, "target")
 
 
 @query("fs_09")
 def fs_09(t):
     train, test = _parts(t, (0.8, 0.2))
-    return FS.permutation_importance_rf(train, test, COLS, "target", "row_key", trees=10, repeats=2)
+    return FS.permutation_importance_rf(train, test, COLS, "target", "row_key")
 
 
 @query("fs_10")
 def fs_10(t):
     train, test = _parts(t, (0.8, 0.2))
-    return FS.permutation_importance_ridge(train, test, COLS, "target", "row_key", repeats=3)
+    return FS.permutation_importance_ridge(train, test, COLS, "target", "row_key")
 
 
 @query("fs_11")
 def fs_11(t):
-    return FS.rfe_rf(t.matrix(), COLS, "target", keep=5, trees=5)
+    return FS.rfe_rf(t.matrix(), COLS, "target", keep=5)
 
 
 @query("fs_12")
@@ -107,7 +108,7 @@ def fs_14(t):
 
 @query("fs_16")
 def fs_16(t):
-    return FS.selection_table(FS.rf_importance(t.matrix(), COLS, "target", trees=5), "episode", "lines", 5)
+    return FS.selection_table(FS.rf_importance(t.matrix(), COLS, "target"), "episode", "lines", 5)
 
 
 def _gbt(train, cols):
@@ -206,27 +207,27 @@ def mdl_09(t):
 def tun_01(t):
     est = ML.gbt("target", n_estimators=3)
     space = {**TU.RANDOM_SPACE, "n_estimators": [2, 3], "max_depth": [2, 3]}
-    return TU.search_table(t.matrix(), TU.random_search(t.matrix(), COLS, "target", est, space, n=2, folds=3))
+    return TU.search_table(t.matrix(), TU.random_search(t.matrix(), COLS, "target", est, space, n=5, folds=3))
 
 
 @query("tun_02")
 def tun_02(t):
     est = ML.gbt("target", n_estimators=2)
-    return TU.search_table(t.matrix(), TU.grid_search(t.matrix(), COLS, "target", est, {"max_depth": [2, 3]}, folds=2))
+    return TU.search_table(t.matrix(), TU.grid_search(t.matrix(), COLS, "target", est, {"max_depth": [2, 3], "learning_rate": [0.1, 0.3]}, folds=3))
 
 
 @query("tun_03")
 def tun_03(t):
     df = SM.assign_folds(t.matrix(), "target", "row_key", 5)
     space = {**TU.RANGE_SPACE, "n_estimators": (2, 3, "int")}
-    return TU.search_table(df, TU.random_search(df, COLS, "target", ML.gbt("target", max_depth=3), space, n=1, folds=5, fold_col="fold"))
+    return TU.search_table(df, TU.random_search(df, COLS, "target", ML.gbt("target", max_depth=3), space, n=4, folds=5, fold_col="fold"))
 
 
 @query("tun_04")
 def tun_04(t):
     choices = {**TU.CHOICE_SPACE, "n_estimators": [2, 3], "max_depth": [2, 3]}
     df = SM.with_class_weight(t.matrix(), "target")
-    tables = [TU.search_table(df, TU.validation_search(df, COLS, "target", ML.gbt("target", weight=w), choices, n=2)).withColumn("weighted", F.lit(w is not None))
+    tables = [TU.search_table(df, TU.validation_search(df, COLS, "target", ML.gbt("target", weight=w), choices, n=5)).withColumn("weighted", F.lit(w is not None))
               for w in ("weight", None)]
     return RS.stack(*tables)
 
@@ -240,4 +241,4 @@ def tun_06(t):
 @query("met_10")
 def met_10(t):
     train, test = _parts(t, (0.8, 0.2))
-    return FS.rank_attribution(FS.permutation_importance_ridge(train, test, COLS, "target", "row_key", repeats=2), 3)
+    return FS.rank_attribution(FS.permutation_importance_ridge(train, test, COLS, "target", "row_key"), 3)

@@ -23,9 +23,13 @@ def smp_01(t):
     return SM.sample_fraction_by_key(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 0.25)
 
 
-@query("smp_01_bernoulli")
+@query("smp_01_bernoulli", "SELECT count(*) AS n_rows, TRUE AS inside FROM orders")
 def smp_01_bernoulli(t):
-    return SM.sample_fraction(t("orders").select("o_orderkey", "o_orderstatus"), 0.8, 42)
+    """Spark's own sampler: whether it takes the share, give or take six standard deviations."""
+    orders = t("orders").select("o_orderkey", "o_orderstatus")
+    taken = SM.sample_fraction(orders, 0.8, 42).agg(F.count("*").alias("taken"))
+    return orders.agg(F.count("*").alias("n_rows")).join(taken).select(
+        "n_rows", (F.abs(F.col("taken") - F.col("n_rows") * F.lit(0.8)) <= 6 * F.sqrt(F.col("n_rows") * F.lit(0.16))).alias("inside"))
 
 
 @query("smp_02", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {H}, o_orderkey LIMIT 700")
@@ -85,13 +89,16 @@ def bal_02(t):
     return out.groupBy("o_orderstatus", F.col("copy").cast("bigint").alias("copy")).agg(F.count("*").alias("n"))
 
 
-@query("bal_03")
+@query("bal_03", """SELECT target, CAST(0 AS INT) AS synthetic, count(*) AS n, TRUE AS inside, count(*) AS n_original FROM matrix GROUP BY 1
+    UNION ALL SELECT 1, 1, count(*), TRUE, 0 FROM matrix WHERE target = 1""", "matrix")
 def bal_03(t):
-    """Class 1 raised to twice its size; the result is summarised per class and kind of row."""
+    """Class 1 raised to twice its size: rows per class and kind, and whether all lie inside the range of their class."""
     df = t.matrix().select("row_key", "target", "f_quantity", "f_discount", "f_signal")
     n = df.filter("target = 1").count()
     out = SM.smote(df, "target", 1, 2 * n, ["f_quantity", "f_discount", "f_signal"], "row_key")
-    return out.groupBy("target", "synthetic").agg(F.count("*").alias("n"), F.min("f_quantity").alias("low"), F.max("f_quantity").alias("high"), F.count("row_key").alias("n_original"))
+    span = df.groupBy("target").agg(F.min("f_quantity").alias("low"), F.max("f_quantity").alias("high"))
+    made = out.groupBy("target", "synthetic").agg(F.count("*").alias("n"), F.min("f_quantity").alias("least"), F.max("f_quantity").alias("most"), F.count("row_key").alias("n_original"))
+    return made.join(span, "target").select("target", F.col("synthetic").cast("int").alias("synthetic"), "n", ((F.col("least") >= F.col("low")) & (F.col("most") <= F.col("high"))).alias("inside"), "n_original")
 
 
 @query("bal_04", f"SELECT o_orderstatus, count(*) AS n, {q6('(SELECT count(*) FROM orders) / (3.0::DOUBLE * count(*))', 'weight')} FROM orders GROUP BY 1")
