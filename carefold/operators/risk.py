@@ -35,7 +35,7 @@ def with_score(flags: DataFrame, weights: dict[str, float], age: str | None = No
 
 
 def all_schemes(df: DataFrame, id: str, code: str, second_weights: dict[str, float] | None = None,
-                age: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+                age: str | None = None, second_label: str = "Second weights") -> tuple[dict[str, DataFrame], DataFrame]:
     """Charlson, both Elixhauser weightings and the disability flags from a single pass: the three
     code lists meet the codes in one join, and every table is a projection of one aggregate, whose
     shuffle the optimizer then shares."""
@@ -53,7 +53,7 @@ def all_schemes(df: DataFrame, id: str, code: str, second_weights: dict[str, flo
     schemes = {"Charlson": scheme("charlson", R.CHARLSON_QUAN_WEIGHTS, R.CHARLSON_BEATEN_BY),
                "Van Walraven": scheme("elixhauser", R.ELIXHAUSER_VW_WEIGHTS, R.ELIXHAUSER_BEATEN_BY)}
     if second_weights is not None:
-        schemes["Swiss"] = scheme("elixhauser", second_weights, R.ELIXHAUSER_BEATEN_BY)
+        schemes[second_label] = scheme("elixhauser", second_weights, R.ELIXHAUSER_BEATEN_BY)
     disability_flags = scheme("disability", None, {})
     return schemes, disability_flags.drop(age) if age else disability_flags
 
@@ -112,7 +112,7 @@ def risk_table(scores: dict[str, DataFrame], frailty: DataFrame, impairments: Da
         s = s.withColumn("weight", F.lit(label))
         stacked = s if stacked is None else stacked.unionByName(s, allowMissingColumns=True)
     both = frailty.join(impairments, id)
-    return stacked.join(both, id, "full_outer").fillna(0).distinct()
+    return stacked.join(both, id, "full_outer").fillna(0)
 
 
 def frailty_by_disability(df: DataFrame, flags: list[str], score: str = "hfrs") -> DataFrame:

@@ -347,14 +347,14 @@ def rsk_07(t):
 
 
 def _risk_parts(t):
-    scores, disability = RK.all_schemes(_scored_codes(t), "beneficiary_id", "code", UNIT_WEIGHTS)
+    scores, disability = RK.all_schemes(_scored_codes(t), "beneficiary_id", "code", UNIT_WEIGHTS, second_label="Unit weights")
     narrow = {k: s.select("beneficiary_id", "comorbidity_score") for k, s in scores.items()}
     return narrow, RK.hfrs(_scored_codes(t), "beneficiary_id", "code"), disability
 
 
 RISK_TABLE = f"""SELECT s.weight, s.beneficiary_id, s.comorbidity_score, h.hfrs, {', '.join(f'd.{c}' for c in R.DISABILITY_CODES)} FROM (
     SELECT 'Charlson' AS weight, beneficiary_id, comorbidity_score FROM ({CHARLSON}) UNION ALL SELECT 'Van Walraven', beneficiary_id, comorbidity_score FROM ({ELIX})
-    UNION ALL SELECT 'Swiss', beneficiary_id, comorbidity_score FROM ({ELIX_UNIT})) s JOIN ({HFRS.format(src='long')}) h USING (beneficiary_id) JOIN ({DISAB}) d USING (beneficiary_id)"""
+    UNION ALL SELECT 'Unit weights', beneficiary_id, comorbidity_score FROM ({ELIX_UNIT})) s JOIN ({HFRS.format(src='long')}) h USING (beneficiary_id) JOIN ({DISAB}) d USING (beneficiary_id)"""
 
 
 @query("rsk_08", RISK_TABLE, "long charlson_codes elix_codes hfrs_points disab_codes")

@@ -81,7 +81,7 @@ NARROW = "SELECT {w} AS weight, beneficiary_id, comorbidity_score FROM ({q})"
 SCHEMES = " UNION ALL ".join(NARROW.format(w=f"'{w}'", q=q) for w, q in [
     ("Charlson", _risk_sql("charlson_codes", list(R.CHARLSON_CODES), R.CHARLSON_QUAN_WEIGHTS, R.CHARLSON_BEATEN_BY, "beneficiary_id", "plong")),
     ("Van Walraven", _risk_sql("elix_codes", list(R.ELIXHAUSER_CODES), R.ELIXHAUSER_VW_WEIGHTS, R.ELIXHAUSER_BEATEN_BY, "beneficiary_id", "plong")),
-    ("Swiss", _risk_sql("elix_codes", list(R.ELIXHAUSER_CODES), UNIT_WEIGHTS, R.ELIXHAUSER_BEATEN_BY, "beneficiary_id", "plong"))])
+    ("Unit weights", _risk_sql("elix_codes", list(R.ELIXHAUSER_CODES), UNIT_WEIGHTS, R.ELIXHAUSER_BEATEN_BY, "beneficiary_id", "plong"))])
 
 
 @query("job_04", f""", {PLONG} SELECT s.weight, s.beneficiary_id AS "Beneficiary_ID", s.comorbidity_score, CAST(s.comorbidity_score + least(greatest(floor((a.age - 40) / 10), 0), 4) AS BIGINT) AS age_adj_comorbidity_score,
@@ -90,7 +90,7 @@ SCHEMES = " UNION ALL ".join(NARROW.format(w=f"'{w}'", q=q) for w, q in [
     LEFT JOIN ({_risk_sql('disab_codes', list(R.DISABILITY_CODES), None, {}, 'beneficiary_id', 'plong')}) d USING (beneficiary_id)""", "asm diag charlson_codes elix_codes disab_codes hfrs_points")
 def job_04(t):
     df = t.assessments().withColumn("Age", S.age_years(F.col(jobs.DAY), F.col("Patient_Birth_Date")))
-    out = jobs.risk_scores(df, UNIT_WEIGHTS)
+    out = jobs.risk_scores(df, UNIT_WEIGHTS, second_label="Unit weights")
     return out.select("weight", "Beneficiary_ID", "comorbidity_score", F.col("age_adj_comorbidity_score").cast("bigint").alias("age_adj_comorbidity_score"), "hfrs", "frail")
 
 
