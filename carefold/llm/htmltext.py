@@ -39,6 +39,8 @@ _JUNK = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs heade
                   "notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login register search share sharing "
                   "social comment comments disqus replies reply respond discussion pagination pager toolbar skip widget widgets copyright legal disclaimer paywall "
                   "hidden invisible form".split())
+#: Beginnings of words that mark it as well, for names written together.
+_JUNK_STARTS = ("advert", "banner", "breadcrumb", "comment", "cookie", "disqus", "footer", "menu", "navi", "newsletter", "popup", "related", "sidebar", "sponsor", "subscri")
 _JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 _GOOD = frozenset("article content post entry story body text main page blog".split())
 _NEVER = frozenset("html body main article".split())
@@ -59,7 +61,7 @@ def _describe(tag: str, attributes: str, parent: _Node | None) -> _Node:
         words = [w.lower() for w in _NAMES.findall(got.get("class", "") + " " + got.get("id", ""))]
         marks = [w for before, w in zip(["", *words], words) if before not in ("no", "has", "with", "without")]
         role = got.get("role", "").lower()
-        if tag not in _NEVER and (role in _JUNK_ROLES or not _JUNK.isdisjoint(marks)):
+        if tag not in _NEVER and (role in _JUNK_ROLES or any(w in _JUNK or w.startswith(_JUNK_STARTS) for w in marks)):
             junk = True
         if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I):
             junk = True

@@ -375,7 +375,7 @@ def test_licences_match_brute_force(docs, none, spark):
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div>
 <div class="%s"><h2>Title &amp; more</h2><p>Hello   <a href="x>y">link</a> world,<br>next.<script>var a = "<p>no</p>";</script><p>Second&nbsp;para &lt;b&gt;<!-- <p>gone</p> --><ul><li>one<li>two</ul>
-<div class="ad-box">Buy</div><form><p>mail</p></form><table><tr><td>a<td>b</table><div class="comments"><p>%s</p></div></div><aside><p>Related</p></aside><footer>c</footer></body></html>"""
+<div class="ad-box">Buy</div><form><p>mail</p></form><table><tr><td>a<td>b</table><div class="comments"><p>%s</p></div><ol class="commentlist"><li>Me too</ol></div><aside><p>Related</p></aside><footer>c</footer></body></html>"""
 
 
 def test_article_text(spark):
