@@ -10,6 +10,7 @@ and the logarithms are summed per document. What is shuffled is a few bytes a di
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from carefold.session import cut_lineage
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text in a slice, except that a document is never cut.
 SLICE_BYTES = 24_000_000
-#: N-grams of a slice are about 1.5 times its words; a hash range gets about so many.
+#: A hash range of one order gets about so many n-grams at most.
 RANGE_GRAMS = 2_000_000
 
 
@@ -40,18 +41,17 @@ def unpack(packed: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
-    """Per order the hash of the n-gram that ends at each word, 0 where the document has not begun so far back."""
+def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Order by order the hash of the n-gram that ends at each word, 0 where the document has not begun so far back."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out, last = [], words
+    last = words
     for n in range(1, order + 1):
         if n > 1:
             last = np.where(place >= n - 1, np.r_[np.uint64(0), last[:-1]] * np.uint64(0x2545F4914F6CDD1D) + words, np.uint64(0))
         mixed = last ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
         mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        out.append(np.where(place >= n - 1, np.maximum(mixed, np.uint64(1)), np.uint64(0)))
-    return out
+        yield np.where(place >= n - 1, np.maximum(mixed, np.uint64(1)), np.uint64(0))
 
 
 def cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -59,12 +59,11 @@ def cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
 
 
-def log_scores(own: list[np.ndarray], known: np.ndarray, counts: np.ndarray, total: int, backoff: float, min_count: int) -> np.ndarray:
-    """Logarithm of every word's score, from the n-gram hashes that end there and the counts of all of them."""
-    number = [np.where(h > 0, counts[np.searchsorted(known, h).clip(max=len(known) - 1)], 0) for h in own]
-    out, open_, steps = np.zeros(len(own[0])), np.ones(len(own[0]), bool), np.zeros(len(own[0]))
-    for n in range(len(own), 1, -1):
-        able = open_ & (own[n - 1] > 0)
+def log_scores(number: list[np.ndarray], total: int, backoff: float, min_count: int) -> np.ndarray:
+    """Logarithm of every word's score, from the counts of the n-grams that end there (0: the text has not begun so far back)."""
+    out, open_, steps = np.zeros(len(number[0])), np.ones(len(number[0]), bool), np.zeros(len(number[0]))
+    for n in range(len(number), 1, -1):
+        able = open_ & (number[n - 1] > 0)
         hit = able & (number[n - 1] >= min_count)
         at = np.flatnonzero(hit)
         out[at] = np.log(number[n - 1][at]) - np.log(number[n - 2][at - 1]) + steps[at] * np.log(backoff)
@@ -112,9 +111,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     slices = cut_lineage(slim.mapInArrow(read, f"{arrow_id} array<{kind}>, lengths binary, tokens binary, words binary, n long")
                          .withColumn("_slice", F.monotonically_increasing_id()))
     total = slices.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = max(1, -(-total * order // 2 // range_grams))
+    ranges = max(1, -(-total // range_grams))  # of each order
 
-    def ends(row) -> tuple[np.ndarray, list[np.ndarray]]:
+    def ends(row) -> tuple[np.ndarray, Iterator[np.ndarray]]:
         lengths = unpack(row["lengths"], np.uint32).astype(np.int64)
         words = np.frombuffer(row["words"], np.uint64)[unpack(row["tokens"], np.uint32)]
         return lengths, grams(words, lengths, order)
@@ -123,14 +122,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for batch in batches:
             for i in range(batch.num_rows):
                 _, own = ends({c: batch.column(c)[i].as_py() for c in ("lengths", "tokens", "words")})
-                found, n = np.unique(np.concatenate(own), return_counts=True)
-                found, n = (found[1:], n[1:]) if len(found) and found[0] == 0 else (found, n)
-                at = cuts(found, ranges)
-                k = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(k), batch.column("_slice")[i].as_py(), np.int64)), pa.array(k.astype(np.int32)),
-                    pa.array([pack(np.diff(found[at[j]:at[j + 1]], prepend=np.uint64(0))) for j in k], pa.binary()),
-                    pa.array([pack(n[at[j]:at[j + 1]].astype(np.uint32)) for j in k], pa.binary())], names=["_slice", "range", "grams", "n"])
+                for level, hashes in enumerate(own):
+                    found, n = np.unique(hashes, return_counts=True)
+                    found, n = (found[1:], n[1:]) if len(found) and found[0] == 0 else (found, n)
+                    at = cuts(found, ranges)
+                    k = np.flatnonzero(np.diff(at))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(k), batch.column("_slice")[i].as_py(), np.int64)), pa.array((level * ranges + k).astype(np.int32)),
+                        pa.array([pack(np.diff(found[at[j]:at[j + 1]], prepend=np.uint64(0))) for j in k], pa.binary()),
+                        pa.array([pack(n[at[j]:at[j + 1]].astype(np.uint32)) for j in k], pa.binary())], names=["_slice", "range", "grams", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -153,15 +153,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     def sum_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
         for row in texts.to_pylist():
-            lengths, own = ends(row)
-            found = np.unique(np.concatenate(own))
-            found = found[1:] if len(found) and found[0] == 0 else found
+            lengths = unpack(row["lengths"], np.uint32).astype(np.int64)
+            words = np.frombuffer(row["words"], np.uint64)[unpack(row["tokens"], np.uint32)]
+            sums: list[float] = []
+            # whole documents of about half a million words at a time: only one order's hashes are held for the slice
+            upto = np.cumsum(lengths)
+            turn = upto // 500_000
+            cut = np.r_[0, np.flatnonzero(turn[1:] != turn[:-1]) + 1, len(lengths)]
+            spans = [(words[(upto[i - 1] if i else 0):upto[j - 1]], lengths[i:j]) for i, j in zip(cut, cut[1:]) if j > i]
             parts = sorted(zip(counts.column("range").to_pylist(), counts.column("n").to_pylist()))
-            numbers = np.concatenate([unpack(n, np.uint64) for _, n in parts]) if parts else np.empty(0, np.uint64)
-            logs = log_scores(own, found, numbers, total, backoff, min_count) if len(found) else np.empty(0)
-            ends_ = np.cumsum(lengths)
-            sums = np.array([logs[e - n:e].sum() for e, n in zip(ends_, lengths)], float)
-            out.append(pa.table({id_col: texts.column(arrow_id).combine_chunks().flatten(), "n_words": pa.array(lengths, pa.int64()), "log_score": pa.array(sums, pa.float64())}))
+            number = [[] for _ in spans]
+            for level in range(order):
+                hashes = [next(islice(grams(*span, order), level, None)) for span in spans]
+                found = np.unique(np.concatenate([np.unique(h) for h in hashes]))
+                blank = np.zeros(int(len(found) > 0 and found[0] == 0), np.uint64)
+                known = np.concatenate([blank, *(unpack(n, np.uint64) for r, n in parts if r // ranges == level)])
+                for k in range(len(spans)):
+                    some, place = np.unique(hashes[k], return_inverse=True)
+                    number[k].append(known[np.searchsorted(found, some)][place])
+                    hashes[k] = None
+            for (_, own), n in zip(spans, number):
+                logs, ends_ = log_scores(n, total, backoff, min_count), np.cumsum(own)
+                sums += [logs[e - w:e].sum() for e, w in zip(ends_, own)]
+            out.append(pa.table({id_col: texts.column(arrow_id).combine_chunks().flatten(), "n_words": pa.array(lengths, pa.int64()), "log_score": pa.array(np.array(sums, float), pa.float64())}))
         return pa.concat_tables(out)
 
     keyed = slices.select(F.col("_slice").alias("_slice"), arrow_id, "lengths", "tokens", "words")
