@@ -30,10 +30,39 @@ def kept(spark, rows):
     return sorted(r["doc_id"] for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
-def test_long_texts_are_decided_by_exact_jaccard(spark):
+def around_the_limit() -> list[tuple[int, str]]:
+    """40 pairs of 500 shingles, every other one a little above 0.8 and the rest a little below."""
     rows = []
-    for k in range(40):  # 500 shingles; a tail of other words makes pairs a little above and a little below 0.8
+    for k in range(40):
         base = list(range(k * 10_000, k * 10_000 + 504))
         cut = 54 if k % 2 else 58
         rows += [(2 * k, text_of(base)), (2 * k + 1, text_of(base[:504 - cut] + [10**7 + k * 1000 + i for i in range(cut)]))]
+    return rows
+
+
+def test_long_texts_are_decided_by_exact_jaccard(spark):
+    rows = around_the_limit()
     assert set(kept(spark, rows)) >= set(brute_kept(rows)) and 40 < len(brute_kept(rows)) < 80
+
+
+def test_no_pair_over_the_similarity_is_missed(spark):
+    rows = around_the_limit()
+    assert kept(spark, rows) == brute_kept(rows)
+
+
+def family(rng, n, shared, own):
+    """Texts that share a long passage (too little for a link), and for some of them a copy with a few words changed."""
+    rows, base = [], [int(x) for x in rng.integers(0, 10**6, shared)]
+    for k in range(n):
+        mine = [10**7 + 10**4 * k + i for i in range(own)]
+        rows.append(base + mine)
+        if k % 3 == 0:
+            rows.append(base + mine[:-(k % 40) - 1] + [10**8 + 10**4 * k + i for i in range(k % 40 + 1)])
+    order = rng.permutation(len(rows))
+    return [(int(order[i]), text_of(r)) for i, r in enumerate(rows)]
+
+
+def test_partners_are_found_among_many_that_share_passages(spark):
+    rng = np.random.default_rng(5)
+    rows = family(rng, 60, 300, 100) + [(1000 + k, text_of(range(9 * 10**8 + 12 * k // 7, 9 * 10**8 + 12 * k // 7 + 12))) for k in range(40)]
+    assert kept(spark, rows) == brute_kept(rows)
