@@ -66,3 +66,11 @@ def test_partners_are_found_among_many_that_share_passages(spark):
     rng = np.random.default_rng(5)
     rows = family(rng, 60, 300, 100) + [(1000 + k, text_of(range(9 * 10**8 + 12 * k // 7, 9 * 10**8 + 12 * k // 7 + 12))) for k in range(40)]
     assert kept(spark, rows) == brute_kept(rows)
+
+
+def test_a_shingle_of_many_sets_is_searched_in_tiles_without_loss(spark):
+    n = 60
+    shared = spark.createDataFrame([(7, k, 100, 0, 0, n) for k in range(n)], "key long, row long, size int, place int, first long, n long")
+    found = spark.createDataFrame([(k, k // 2 * 2) for k in range(n)], "node long, component long")
+    got = sorted((r["a"], r["b"]) for r in neardup.links_between(shared, found, group_rows=8).collect())
+    assert got == sorted((a, b) for a in range(n) for b in range(a) if a // 2 != b // 2)
