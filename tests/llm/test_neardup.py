@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from carefold.llm import neardup
+from carefold.llm import neardup, simhash
 
 
 def text_of(numbers) -> str:
@@ -74,3 +74,13 @@ def test_a_shingle_of_many_sets_is_searched_in_tiles_without_loss(spark):
     found = spark.createDataFrame([(k, k // 2 * 2) for k in range(n)], "node long, component long")
     got = sorted((r["a"], r["b"]) for r in neardup.links_between(shared, found, group_rows=8).collect())
     assert got == sorted((a, b) for a in range(n) for b in range(a) if a // 2 != b // 2)
+
+
+def test_the_gray_index_ties_close_copies(spark):
+    """Candidates come from operator 1's index: codes two bits apart in one part are connected."""
+    code = np.zeros((2, neardup.PARTS), np.uint64)
+    code[:, 0] = np.array([0x0123456789ABCDEF, 0x0123456789ABCDEF ^ 1 << 3 ^ 1 << 40], np.uint64)
+    code[1, 1:] = np.uint64(2**64 - 1)
+    sets = spark.createDataFrame([(k, bytearray(c.tobytes()), 500) for k, c in enumerate(code)], "_set long, _code binary, _size int")
+    assert [(r["a"], r["b"]) for r in neardup.candidate_links(sets).collect()] == [(1, 0)]
+    assert neardup.linked is simhash.linked
