@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, htmltext, licences, lmscore, packing, quality, secrets, simhash, topk, toxicity
+from carefold.llm import decontaminate, htmltext, licences, lmscore, negatives, packing, quality, secrets, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -128,5 +128,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(round(s, 4), 0) AS lo
 FROM doc LEFT JOIN (SELECT doc_id, sum(s) AS s FROM every GROUP BY doc_id) USING (doc_id)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_lmscore": op3_lmscore, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op9_licences": op9_licences, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {"op3_lmscore": OP3_SQL, "op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL}
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every fiftieth vector; every seventh label is moved on by one."""
+    rows = _table(spark, folder, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+neg AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+        FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_lmscore": op3_lmscore, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op9_licences": op9_licences, "op10_packing": op10_packing,
+           "op11_hard_negatives": op11_hard_negatives}
+ORACLES: dict[str, str] = {"op3_lmscore": OP3_SQL, "op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL, "op11_hard_negatives": OP11_SQL}
