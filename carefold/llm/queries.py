@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import decontaminate, htmltext, licences, lmscore, negatives, packing, quality, secrets, simhash, topk, toxicity
+from carefold.llm import collocations, decontaminate, htmltext, licences, lmscore, negatives, packing, quality, secrets, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -151,6 +151,31 @@ neg AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, sc
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
 """
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best phrases of two or three words of every language."""
+    return collocations.mine(_table(spark, folder, "documents"))
+
+
+OP13_SQL = f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+run AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+gram AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS g, count(*)::HUGEINT AS f
+         FROM run, (SELECT unnest([1, 2, 3]) AS k), unnest(generate_series(1, len(w) - k + 1)) AS t(s) GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM gram WHERE k = 1 GROUP BY 1),
+cand AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM gram WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.k, c.g, a, j, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+        FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM cand) c
+        JOIN gram x ON x.lang = c.lang AND x.g = array_to_string(w[:j], ' ') JOIN gram y ON y.lang = c.lang AND y.g = array_to_string(w[j + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[:2], ' ') AS g, a FROM cand WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:], ' '), a FROM cand WHERE k = 3),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = low.lang AND i.g = low.g AND low.k = 2 AND 100 * i.a >= 50 * low.a)),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_lmscore": op3_lmscore, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op9_licences": op9_licences, "op10_packing": op10_packing,
-           "op11_hard_negatives": op11_hard_negatives}
-ORACLES: dict[str, str] = {"op3_lmscore": OP3_SQL, "op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL, "op11_hard_negatives": OP11_SQL}
+           "op11_hard_negatives": op11_hard_negatives,
+           "op13_collocations": op13_collocations}
+ORACLES: dict[str, str] = {"op3_lmscore": OP3_SQL, "op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL, "op11_hard_negatives": OP11_SQL,
+                           "op13_collocations": OP13_SQL}
