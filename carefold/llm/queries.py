@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from carefold.llm import collocations, decontaminate, htmltext, licences, lmscore, negatives, packing, quality, secrets, simhash, topk, toxicity
+from carefold.llm import collocations, decontaminate, htmltext, licences, lmscore, negatives, packing, quality, rules, secrets, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -151,6 +151,54 @@ neg AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, sc
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
 """
 
+def op12_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's base measures, its distances from its language and the verdict."""
+    found = rules.judge(_table(spark, folder, "documents"))
+    return found.withColumn("class_distance", F.round("class_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
+
+
+def _rules_sql() -> str:
+    """The same in SQL: windows, lines, classes and words as rows, references as grouped rows."""
+    rest, counts = "t", []
+    for pattern in rules.CLASSES.values():
+        pattern = pattern.replace("'", "''")
+        counts.append(f"length({rest}) - length(regexp_replace({rest}, '{pattern}', '', 'g'))")
+        rest = f"regexp_replace({rest}, '{pattern}', '', 'g')"
+    counts.append(f"length({rest})")
+    term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (p + q)) ELSE 0 END"
+    part = f"{term('p')} + {term('q')}"
+    return f"""
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS id, *, length(t) AS chars, [{', '.join(counts)}] AS c FROM (
+         SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+                regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS a FROM documents)),
+win AS (SELECT id, s, array_to_string(w[s:s + 2], ' ') AS g FROM doc, unnest(generate_series(1, len(w) - 2)) AS x(s)),
+rep AS (SELECT id, count(DISTINCT s + o) AS n FROM (SELECT *, count(*) OVER (PARTITION BY id, g) AS times FROM win), unnest([0, 1, 2]) AS x(o) WHERE times > 1 GROUP BY id),
+base AS (SELECT id, doc_id, lang, chars, c, a, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM doc LEFT JOIN rep USING (id)),
+fit AS (SELECT * FROM base WHERE n_words >= {rules.BASE_WORDS} AND len(a) > 0),
+med AS (SELECT lang, kind, quantile_cont(share, 0.5) AS m, count(*) AS docs FROM (SELECT lang, kind, c[kind] * 1000 // chars AS share FROM fit, unnest(generate_series(1, len(c))) AS x(kind)) GROUP BY ALL),
+cls AS (SELECT lang, kind, m / sum(m) OVER (PARTITION BY lang) AS q FROM med WHERE docs >= {rules.LEAST_DOCS}),
+tok AS (SELECT lang, v, sum(unit) AS weight FROM (SELECT lang, unnest(a) AS v, {2**30} // len(a) AS unit FROM fit) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, v) AS bin FROM tok),
+ref AS (SELECT lang, v, bin, weight / sum(weight) OVER (PARTITION BY lang) AS q FROM top),
+com AS (SELECT lang, v, bin, q FROM ref WHERE bin <= {rules.COMMON}),
+oth AS (SELECT lang, sum(q) FILTER (bin > {rules.COMMON}) AS q FROM ref GROUP BY lang),
+cd AS (SELECT id, sqrt(greatest(0, sum({part}) / 2)) AS d FROM (SELECT id, q, c[kind] / chars AS p FROM base JOIN cls USING (lang) WHERE chars >= {rules.LEAST_CHARS}) GROUP BY id),
+bins AS (SELECT id, lang, len(a) AS total, coalesce(bin, 0) AS bin, coalesce(com.q, oth.q) AS q
+         FROM (SELECT id, lang, a, unnest(a) AS v FROM base WHERE len(a) >= {rules.LEAST_WORDS}) JOIN (SELECT DISTINCT lang FROM cls) USING (lang) LEFT JOIN com USING (lang, v) LEFT JOIN oth USING (lang)),
+wd AS (SELECT id, sqrt(greatest(0, (sum({part}) + 1 - sum(q)) / 2)) AS d FROM (SELECT id, bin, q, count(*) / any_value(total) AS p FROM bins GROUP BY id, bin, q) GROUP BY id),
+out AS (SELECT *, cd.d AS class_distance, wd.d AS word_distance, n_words < {rules.BASE_WORDS} OR 100 * n_repeat_words > {rules.BASE_REPEATED} * n_words AS base_failed
+        FROM base LEFT JOIN cd USING (id) LEFT JOIN wd USING (id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance,
+       NOT base_failed AND coalesce(class_distance, 0) <= {rules.MAX_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {rules.MAX_WORD_DISTANCE} AS kept FROM out
+"""
+
+
+OP12_SQL = _rules_sql()
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The 2,000 best phrases of two or three words of every language."""
     return collocations.mine(_table(spark, folder, "documents"))
@@ -158,7 +206,7 @@ def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 OP13_SQL = f"""
 WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
-run AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+run AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece),
 gram AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS g, count(*)::HUGEINT AS f
          FROM run, (SELECT unnest([1, 2, 3]) AS k), unnest(generate_series(1, len(w) - k + 1)) AS t(s) GROUP BY ALL),
 total AS (SELECT lang, sum(f) AS n FROM gram WHERE k = 1 GROUP BY 1),
@@ -176,6 +224,6 @@ FROM best JOIN total USING (lang) WHERE rank <= 2000
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_lmscore": op3_lmscore, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_html": op7_html, "op8_decontaminate": op8_decontaminate, "op9_licences": op9_licences, "op10_packing": op10_packing,
            "op11_hard_negatives": op11_hard_negatives,
-           "op13_collocations": op13_collocations}
-ORACLES: dict[str, str] = {"op3_lmscore": OP3_SQL, "op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL, "op11_hard_negatives": OP11_SQL,
+           "op12_rules": op12_rules, "op13_collocations": op13_collocations}
+ORACLES: dict[str, str] = {"op3_lmscore": OP3_SQL, "op2_topk": OP2_SQL, "op8_decontaminate": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_rules": OP12_SQL,
                            "op13_collocations": OP13_SQL}
