@@ -25,8 +25,9 @@ LEAST = 10
 BITS = 1 << 25
 #: Words that a task numbers, and occurrences that it holds, before it hands on what it has counted; words that it looks up at once.
 VOCABULARY, HELD, SLICE = 1 << 18, 1 << 21, 1 << 17
-#: Prefixes that every language expands in the first round, as a multiple of the phrases asked for; eight times more each round.
-FIRST, GROWTH = 2, 8
+#: Prefixes that every language expands in the first round, as a multiple of the phrases asked for, and how many times more in the
+#: next. A round is a pass over the texts, which costs far more than the triples around some more prefixes.
+FIRST, GROWTH = 16, 8
 
 _CUT = b"\xff"  # no byte of UTF-8
 _CLEAN = bytearray(bytes(range(256)).lower())
