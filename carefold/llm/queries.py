@@ -170,23 +170,22 @@ def _rules_sql() -> str:
     return f"""
 WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS id, *, length(t) AS chars, [{', '.join(counts)}] AS c FROM (
          SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
-                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
-                regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS a FROM documents)),
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents)),
 win AS (SELECT id, s, array_to_string(w[s:s + 2], ' ') AS g FROM doc, unnest(generate_series(1, len(w) - 2)) AS x(s)),
 rep AS (SELECT id, count(DISTINCT s + o) AS n FROM (SELECT *, count(*) OVER (PARTITION BY id, g) AS times FROM win), unnest([0, 1, 2]) AS x(o) WHERE times > 1 GROUP BY id),
-base AS (SELECT id, doc_id, lang, chars, c, a, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+base AS (SELECT id, doc_id, lang, chars, c, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                 len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM doc LEFT JOIN rep USING (id)),
-fit AS (SELECT * FROM base WHERE n_words >= {rules.BASE_WORDS} AND len(a) > 0),
+fit AS (SELECT * FROM base WHERE n_words >= {rules.BASE_WORDS}),
 med AS (SELECT lang, kind, quantile_cont(share, 0.5) AS m, count(*) AS docs FROM (SELECT lang, kind, c[kind] * 1000 // chars AS share FROM fit, unnest(generate_series(1, len(c))) AS x(kind)) GROUP BY ALL),
 cls AS (SELECT lang, kind, m / sum(m) OVER (PARTITION BY lang) AS q FROM med WHERE docs >= {rules.LEAST_DOCS}),
-tok AS (SELECT lang, v, sum(unit) AS weight FROM (SELECT lang, unnest(a) AS v, {2**30} // len(a) AS unit FROM fit) GROUP BY ALL),
+tok AS (SELECT lang, v, sum(unit) AS weight FROM (SELECT lang, unnest(w) AS v, {2**30} // len(w) AS unit FROM fit) GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, v) AS bin FROM tok),
 ref AS (SELECT lang, v, bin, weight / sum(weight) OVER (PARTITION BY lang) AS q FROM top),
 com AS (SELECT lang, v, bin, q FROM ref WHERE bin <= {rules.COMMON}),
 oth AS (SELECT lang, sum(q) FILTER (bin > {rules.COMMON}) AS q FROM ref GROUP BY lang),
 cd AS (SELECT id, sqrt(greatest(0, sum({part}) / 2)) AS d FROM (SELECT id, q, c[kind] / chars AS p FROM base JOIN cls USING (lang) WHERE chars >= {rules.LEAST_CHARS}) GROUP BY id),
-bins AS (SELECT id, lang, len(a) AS total, coalesce(bin, 0) AS bin, coalesce(com.q, oth.q) AS q
-         FROM (SELECT id, lang, a, unnest(a) AS v FROM base WHERE len(a) >= {rules.LEAST_WORDS}) JOIN (SELECT DISTINCT lang FROM cls) USING (lang) LEFT JOIN com USING (lang, v) LEFT JOIN oth USING (lang)),
+bins AS (SELECT id, lang, len(w) AS total, coalesce(bin, 0) AS bin, coalesce(com.q, oth.q) AS q
+         FROM (SELECT id, lang, w, unnest(w) AS v FROM base WHERE len(w) >= {rules.LEAST_WORDS}) JOIN (SELECT DISTINCT lang FROM cls) USING (lang) LEFT JOIN com USING (lang, v) LEFT JOIN oth USING (lang)),
 wd AS (SELECT id, sqrt(greatest(0, (sum({part}) + 1 - sum(q)) / 2)) AS d FROM (SELECT id, bin, q, count(*) / any_value(total) AS p FROM bins GROUP BY id, bin, q) GROUP BY id),
 out AS (SELECT *, cd.d AS class_distance, wd.d AS word_distance, n_words < {rules.BASE_WORDS} OR 100 * n_repeat_words > {rules.BASE_REPEATED} * n_words AS base_failed
         FROM base LEFT JOIN cd USING (id) LEFT JOIN wd USING (id))

@@ -4,8 +4,9 @@ Two histograms describe a text: its characters by class, and its words by the mo
 come from the corpus: of every class the median share over a language's documents, which a third of odd documents cannot move far, and
 the common words with their mean shares. A text whose Jensen-Shannon distance from a reference is too large is rejected. Short
 texts are noisy, so each distance has a least length below which it says nothing, and a language with few documents has no
-reference. Shares are added up as whole numbers, so references do not depend on the order of rows. Texts are never shuffled:
-word counts are combined before the shuffle and the references, one row a language, are joined back to the texts.
+reference. Shares are added up as whole numbers, so references do not depend on the order of rows. Texts are read twice, for the
+common words and for all measures, and never shuffled: word counts are combined before the shuffle, the common words, one row a
+language, are joined back to the texts, and the median shares come from the measures, which are written without the texts.
 """
 
 from __future__ import annotations
@@ -19,74 +20,88 @@ CLASSES = {"lower": r"\p{Ll}+", "space": r"[\x20\x09-\x0D]+", "upper": r"[\p{Lu}
            "marks": r"""[.,;:!?'"()\[\]\-–—…“”„‘’«»¿¡。、，]+"""}
 #: Words of a language that its word histogram tells apart; all others share a bin.
 COMMON = 32
+#: Slots, a power of two, that tell most words apart from the common ones by hash.
+SLOTS = 256
 #: Largest distances that a kept text has, 0 to 1. The chance of the draw alone puts a text of LEAST_WORDS words at about 0.24.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.35
-#: Least characters and words of letters for which a distance counts, and least documents of a language with a reference.
+#: Least characters and words for which a distance counts, and least documents of a language with a reference.
 LEAST_CHARS, LEAST_WORDS, LEAST_DOCS = 200, 100, 20
 #: The base rule: least words, and the largest share of words in repeated windows.
 BASE_WORDS, BASE_REPEATED = 50, 50
 
-_WORD = r"[^\x20\x09-\x0D]+"
 _UNIT = 2**30
 
 
+def _split(text: Column, between: str) -> Column:
+    """Runs of what ``between`` does not match; splitting is quicker than matching them."""
+    return F.array_remove(F.split(text, between, -1), "")
+
+
+def _words(text: Column) -> Column:
+    return _split(text, r"[\x20\x09-\x0D]+")
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once a row, however often the body's lambdas use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside three-word windows that occur twice or more, found by sorting the windows' 64-bit hashes."""
-    def count(h: Column) -> Column:
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+def _hashes(words: Column) -> Column:
+    """64-bit hashes of all three-word windows."""
+    some = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 3)), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) >= 4, some).otherwise(F.array().cast("array<bigint>"))
 
-        def twice(s: Column) -> Column:
-            same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
-            return F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
-        places = F.sort_array(F.transform(_let(pairs, twice), lambda x: x["i"]))
-        start = F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n"))
-        return F.aggregate(places, start, lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3), p - a["at"])).alias("n")), lambda a: a["n"])
 
-    hashes = _let(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    some = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), count(h)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(words) >= 4, some).otherwise(F.lit(0).cast("long"))
+def _repeated(h: Column) -> Column:
+    """Words inside windows whose hash occurs twice or more, from the sorted hashes."""
+    def twice(s: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        return F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
+    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    places = F.sort_array(F.transform(_let(pairs, twice), lambda x: x["i"]))
+    start = F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(places, start, lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3), p - a["at"])).alias("n")), lambda a: a["n"])
 
 
 def _classes(df: DataFrame) -> DataFrame:
-    """``df (text, ...)`` with ``classes``, the number of characters of each class. What a class takes is removed before the next."""
+    """``df (text, ...)`` with ``classes``, the number of characters of each class, and ``signs``, the characters of the last. What a
+    class takes is removed before the next looks, so only the first pattern meets the whole text."""
     rest = df.withColumn("_r0", F.col("text"))
     for k, pattern in enumerate(CLASSES.values()):
         rest = rest.withColumn(f"_r{k + 1}", F.regexp_replace(f"_r{k}", pattern, ""))
     n = len(CLASSES)
     counts = [F.length(f"_r{k}") - F.length(f"_r{k + 1}") for k in range(n)] + [F.length(f"_r{n}")]
-    return rest.select(*df.columns, F.array(*counts).alias("classes"))
-
-
-def _letters(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-
-
-def references(texts: DataFrame, common: int = COMMON, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, class_shares, common, word_shares) of ``texts (lang, text)``: the median share of every class, brought to a sum of one;
-    the ``common`` most common words by mean share, ties to the smaller word; the share of all other words, then of these. Texts
-    below the base rule's length are left out; languages with fewer than ``least_docs`` texts have no row."""
-    long = _classes(texts.filter(F.size(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))) >= BASE_WORDS).withColumn("words", _letters(F.col("text"))))
-    chars, number = F.aggregate("classes", F.lit(0), lambda a, x: a + x), F.size("words")
-    shares = F.transform("classes", lambda c, k: F.struct(k.alias("kind"), (c.cast("long") * 1000 / chars).cast("int").alias("share"), F.lit("").alias("word"), F.lit(1).cast("long").alias("weight")))
-    unit = F.expr(f"{_UNIT} div size(words)")
-    tokens = F.transform("words", lambda w: F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("share"), w.alias("word"), F.col("unit").alias("weight")))
-    entries = long.filter(number > 0).withColumn("unit", unit).withColumn("chars", chars).select("lang", F.inline(F.concat(shares, tokens)))
-    counts = cut_lineage(entries.groupBy("lang", "kind", "share", "word").agg(F.sum("weight").alias("weight")))
-    median = counts.filter("kind >= 0").groupBy("lang", "kind").agg(F.percentile("share", F.lit(0.5), F.col("weight")).alias("m"), F.sum("weight").alias("docs"))
-    whole = lambda a: F.transform(a, lambda x: x["m"] / F.aggregate(a, F.lit(0.0), lambda s, y: s + y["m"]))
-    classes = median.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("kind", "m"))).alias("a"), F.max("docs").alias("docs")).filter(F.col("docs") >= least_docs)
-    words = counts.filter("kind = -1")
-    total = words.groupBy("lang").agg(F.sum("weight").alias("total"))
-    top = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("weight"), "word"))).filter(F.col("rank") <= common)
+    return rest.select(*df.columns, F.array(*counts).alias("classes"), F.col(f"_r{n}").alias("signs"))
+
+
+def word_references(texts: DataFrame, common: int = COMMON) -> DataFrame:
+    """(lang, common, word_shares, slots) of ``texts (lang, text)``: the ``common`` words with the largest mean share, ties to the
+    smaller word; the share of all other words, then of these; for every value of a word's hash modulo SLOTS the place of the one
+    common word with it, 0 if there is none, -1 if several. Texts with fewer words than the base rule asks for are left out."""
+    words = texts.select("lang", _words(F.col("text")).alias("words")).filter(F.size("words") >= BASE_WORDS)
+    each = words.select("lang", F.expr(f"{_UNIT} div size(words)").alias("unit"), F.explode("words").alias("word"))
+    counts = cut_lineage(each.groupBy("lang", "word").agg(F.sum("unit").alias("weight")))
+    total = counts.groupBy("lang").agg(F.sum("weight").alias("total"))
+    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("weight"), "word"))).filter(F.col("rank") <= common)
     best = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "weight"))).alias("b")).join(total, "lang")
     own = F.transform("b", lambda x: x["weight"] / F.col("total"))
     other = (F.col("total") - F.aggregate("b", F.lit(0).cast("long"), lambda s, x: s + x["weight"])) / F.col("total")
-    return cut_lineage(classes.join(best, "lang").select("lang", whole(F.col("a")).alias("class_shares"), F.col("b.word").alias("common"), F.concat(F.array(other), own).alias("word_shares")))
+    here = lambda i: F.filter("b", lambda x: _slot(x["word"]) == i)
+    place = lambda i: F.when(F.size(here(i)) > 1, -1).otherwise(F.coalesce(F.get(here(i), F.lit(0))["rank"], F.lit(0)))
+    return cut_lineage(best.select("lang", F.col("b.word").alias("common"), F.concat(F.array(other), own).alias("word_shares"), F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), place).alias("slots")))
+
+
+def class_references(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, class_shares) of ``measured (lang, n_words, classes)``: the median share (in thousandths, cut) of every class over texts
+    of the base rule's length, brought to a sum of one. Languages with fewer than ``least_docs`` such texts have no row."""
+    chars = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
+    shares = measured.filter(F.col("n_words") >= BASE_WORDS).withColumn("chars", chars).select(
+        "lang", F.posexplode(F.transform("classes", lambda c: (c.cast("long") * 1000 / F.col("chars")).cast("int"))).alias("kind", "share"))
+    counts = shares.groupBy("lang", "kind", "share").agg(F.count("*").alias("n"))  # at most 1,001 shares a class
+    median = counts.groupBy("lang", "kind").agg(F.percentile("share", F.lit(0.5), F.col("n")).alias("m"), F.sum("n").alias("docs"))
+    whole = lambda a: F.transform(a, lambda x: x["m"] / F.aggregate(a, F.lit(0.0), lambda s, y: s + y["m"]))
+    found = median.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("kind", "m"))).alias("a"), F.max("docs").alias("docs"))
+    return found.filter(F.col("docs") >= least_docs).select("lang", whole(F.col("a")).alias("class_shares"))
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -101,18 +116,32 @@ def class_distance(counts: Column, shares: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), both / 2))
 
 
-def word_distance(words: Column, common: Column, shares: Column) -> Column:
-    """Jensen-Shannon distance (0 to 1) of a text's words, sorted into the common words and the rest, from the reference."""
+def _slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def _bins(words: Column, common: Column, slots: Column) -> Column:
+    """The sorted places of the words among the common ones, 0 for others. The slot of a word's hash says which place to look at."""
+    def place(w: Column) -> Column:
+        k = F.get(slots, _slot(w))
+        return F.coalesce(F.when(k == 0, 0).when(k < 0, F.array_position(common, w).cast("int")).when(F.get(common, k - 1) == w, k), F.lit(0))
+    return F.sort_array(F.transform(words, place))
+
+
+def word_distance(bins: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance (0 to 1) of sorted bins from reference shares. Runs of common words are found one by one; what is
+    before them are other words; common words that the text lacks add half their share."""
     def of(s: Column) -> Column:
         def runs(r: Column) -> Column:
-            part = lambda i, j: _let(F.get(shares, F.get(s, i)), lambda q: F.struct(
-                _part((F.coalesce(F.get(r, j + 1), F.size(s)) - i) / F.size(s), q).alias("d"), q.alias("q")))
-            start = F.struct(F.lit(0.0).alias("d"), F.lit(1.0).alias("q"))  # bins that the text lacks add their share
-            return F.aggregate(F.transform(r, part), start, lambda a, x: F.struct((a["d"] + x["d"]).alias("d"), (a["q"] - x["q"]).alias("q")), lambda a: a["d"] + a["q"])
-        return _let(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))), runs)
+            n = F.size(s)
+            part = lambda count, k: _let(F.get(shares, k), lambda q: F.struct(_part(count / n, q).alias("d"), q.alias("q")))
+            each = F.concat(F.when(F.coalesce(F.get(r, F.lit(0)), n) > 0, F.array(part(F.coalesce(F.get(r, F.lit(0)), n), F.lit(0)))).otherwise(F.array()),
+                            F.transform(r, lambda i, j: part(F.coalesce(F.get(r, j + 1), n) - i, F.get(s, i))))
+            start = F.struct(F.lit(0.0).alias("d"), F.lit(1.0).alias("q"))
+            return F.aggregate(each, start, lambda a, x: F.struct((a["d"] + x["d"]).alias("d"), (a["q"] - x["q"]).alias("q")), lambda a: a["d"] + a["q"])
+        return _let(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.when(F.get(s, i) > 0, F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True))).otherwise(False)), runs)
 
-    bins = F.sort_array(F.transform(words, lambda w: F.array_position(common, w).cast("int")))
-    return F.when(F.size(words) > 0, F.sqrt(F.greatest(F.lit(0.0), _let(bins, of) / 2)))
+    return F.when(F.size(bins) > 0, F.sqrt(F.greatest(F.lit(0.0), of(bins) / 2)))
 
 
 def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", lang_col: str = "lang", common: int = COMMON,
@@ -121,21 +150,27 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str =
     """The ``carry`` columns of every row with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, word_distance and kept.
 
-    Words are runs without white space; the word histogram takes runs of letters, lowered. A distance is null where the text is too
+    Words are runs without white space, as they stand. A distance is null where the text is too
     short for it or its language has too few documents, and then rejects nothing. A null text is empty and fails the base
     rule; a null language is ``und``; repeated rows are judged each and count each in the references. ``carry`` may name any
-    columns. Windows are told apart by 64-bit hashes within a text. No rows, no rows."""
+    columns, which are written once to the shared folder. Windows are told apart by 64-bit hashes within a text. No rows, no rows."""
     slim = docs.select(F.struct(*[F.col(c) for c in carry]).alias("doc"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = slim.join(references(slim.select("lang", "text"), common, least_docs), "lang", "left")
-    words, lines = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD))
-    rows = _classes(rows.withColumn("words", words).withColumn("lines", lines).withColumn("letters", _letters(F.col("text"))))
+    rows = slim.join(word_references(slim.select("lang", "text"), common), "lang", "left")
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    rows = _classes(rows.withColumn("words", _words(F.col("text"))).withColumn("lines", lines))
+    rows = rows.withColumn("hashes", _hashes(F.col("words"))).withColumn("bins", _bins(F.col("words"), F.col("common"), F.col("slots")))
     long = lambda c: c.cast("long")
-    measured = rows.select(
-        "doc", long(F.size("words")).alias("n_words"), long(F.length(F.array_join("words", ""))).alias("word_chars"), long(F.regexp_count("text", F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
-        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.when((F.length("text") >= least_chars) & F.col("class_shares").isNotNull(), class_distance(F.col("classes"), F.col("class_shares"))).alias("class_distance"),
-        F.when((F.size("letters") >= least_words) & F.col("word_shares").isNotNull(), word_distance(F.col("letters"), F.col("common"), F.col("word_shares"))).alias("word_distance"))
+    again = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _repeated(F.col("hashes"))).otherwise(long(F.lit(0)))
+    measured = cut_lineage(rows.select(
+        "doc", "lang", "classes", F.length("text").alias("chars"), long(F.size("words")).alias("n_words"), long(F.length(F.array_join("words", ""))).alias("word_chars"),
+        long(F.length("signs") - F.length(F.translate("signs", "#*$%&|<>", ""))).alias("n_symbols"),
+        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), again.alias("n_repeat_words"),
+        F.when((F.size("words") >= least_words) & F.col("word_shares").isNotNull(), word_distance(F.col("bins"), F.col("word_shares"))).alias("word_distance")))
+    measured = measured.join(class_references(measured, least_docs), "lang", "left")
+    known = F.col("class_shares").isNotNull()
+    measured = measured.withColumn("class_distance", F.when(known & (F.col("chars") >= least_chars), class_distance(F.col("classes"), F.col("class_shares")))) \
+        .withColumn("word_distance", F.when(known, F.col("word_distance")))
     failed = (F.col("n_words") < BASE_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * BASE_REPEATED)
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
     measured = measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)

@@ -37,22 +37,22 @@ def distance(p, q):
     return math.sqrt(max(0.0, sum(part(x, y) + part(y, x) for x, y in zip(p, q)) / 2))
 
 
-def letters(text):
-    return re.findall(r"[^\W\d_]+", text.lower())
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
 
 
 def brute(rows, common=8, least_docs=20):
     texts = [(lang or "und", text or "") for _, text, lang in rows]
     refs = {}
     for lang in {x for x, _ in texts}:
-        own = [t for g, t in texts if g == lang and base(t)[0] >= 50 and letters(t)]
+        own = [t for g, t in texts if g == lang and len(words(t)) >= 50]
         if len(own) < least_docs:
             continue
         medians = [statistics.median(int(1000 * classes(t)[k] / len(t)) for t in own) for k in range(7)]
         weight = Counter()
         for t in own:
-            for w in letters(t):
-                weight[w] += 2**30 // len(letters(t))
+            for w in words(t):
+                weight[w] += 2**30 // len(words(t))
         top = sorted(weight, key=lambda w: (-weight[w], w.encode()))[:common]
         total = sum(weight.values())
         refs[lang] = [m / sum(medians) for m in medians], top, [(total - sum(weight[w] for w in top)) / total, *(weight[w] / total for w in top)]
@@ -64,9 +64,9 @@ def brute(rows, common=8, least_docs=20):
             shares, top, own = refs[lang]
             if len(t) >= 200:
                 cd = distance([x / len(t) for x in classes(t)], shares)
-            if len(letters(t)) >= 100:
-                c = Counter(top.index(w) + 1 if w in top else 0 for w in letters(t))
-                wd = distance([c[k] / len(letters(t)) for k in range(len(top) + 1)], own)
+            if len(words(t)) >= 100:
+                c = Counter(top.index(w) + 1 if w in top else 0 for w in words(t))
+                wd = distance([c[k] / len(words(t)) for k in range(len(top) + 1)], own)
         kept = not failed and (cd or 0) <= rules.MAX_CLASS_DISTANCE and (wd or 0) <= rules.MAX_WORD_DISTANCE
         out.append((doc, n, *rest, failed, cd and round(cd, 6), wd and round(wd, 6), kept))
     return sorted(out, key=str)
