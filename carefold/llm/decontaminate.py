@@ -133,30 +133,46 @@ _FOUND_SQL = "array<struct<item: string, item_start: bigint, start: bigint, leng
 _RANGES_SQL = "array<struct<start: bigint, end: bigint>>"
 
 
+def _find(texts: list[bytes | None], tests: Tests | None) -> tuple[list[int], dict[int, list]]:
+    """Words of every text of a shard, and per text with matches (item, item_start, start, length) of the longest ones."""
+    lengths, parts = [], []
+    get = tests.vocabulary.get if tests else {}.get
+    for text in texts:
+        own = words_of(text)
+        lengths.append(len(own))
+        parts += [np.fromiter((get(w, 0) for w in own), np.uint32, len(own)), np.zeros(1, np.uint32)]
+    hits: dict[int, list] = {}
+    if tests and texts:
+        base = np.cumsum([0] + [n + 1 for n in lengths])
+        key, place = search_shard(np.concatenate(parts), tests)
+        row, at = _spans(key, tests.first[key], tests.first[key + 1] - tests.first[key])
+        item, start, where, size = longest(tests.items[at], tests.starts[at], place[row], tests.sizes[key][row])
+        doc = np.searchsorted(base, where, "right") - 1
+        for d, *hit in zip(doc.tolist(), item.tolist(), start.tolist(), (where - base[doc]).tolist(), size.tolist()):
+            hits.setdefault(d, []).append(hit)
+    return lengths, hits
+
+
+def _shards(batch: pa.RecordBatch, text: pa.Array) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of a batch and of its texts of about SHARD_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    full = np.cumsum(sizes, dtype=np.int64) // SHARD_BYTES
+    cuts = [0, *(np.flatnonzero(full[1:] != full[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a), text.slice(a, b - a)
+
+
 def _pass(block, id_col: str, last: bool):
     """Adds the matches of one broadcast block of tests to rows (id, _text, spans, found)."""
     def shard(part: pa.RecordBatch) -> pa.RecordBatch:
         names, tests = block.value
         texts, spans, found = (part.column(c).to_pylist() for c in ("_text", "spans", "found"))
-        lengths, parts = [], []
-        get = tests.vocabulary.get if tests else {}.get
-        for text in texts:
-            own = words_of(text)
-            lengths.append(len(own))
-            parts += [np.fromiter((get(w, 0) for w in own), np.uint32, len(own)), np.zeros(1, np.uint32)]
-        if tests:
-            base = np.cumsum([0] + [n + 1 for n in lengths])
-            key, place = search_shard(np.concatenate(parts), tests)
-            row, at = _spans(key, tests.first[key], tests.first[key + 1] - tests.first[key])
-            item, start, where, size = longest(tests.items[at], tests.starts[at], place[row], tests.sizes[key][row])
-            doc = np.searchsorted(base, where, "right") - 1
-            hits: dict[int, list] = {}
-            for d, *hit in zip(doc.tolist(), item.tolist(), start.tolist(), (where - base[doc]).tolist(), size.tolist()):
-                hits.setdefault(d, []).append(hit)
-            for d, new in hits.items():
-                found[d] = (found[d] or []) + [{"item": names[i], "item_start": s, "start": w, "length": n} for i, s, w, n in new]
-                old = [(x["start"], x["end"]) for x in spans[d] or []]
-                spans[d] = [{"start": a, "end": b} for a, b in _merged(old + [(w, w + n) for *_, w, n in new])]
+        lengths, hits = _find(texts, tests)
+        for d, new in hits.items():
+            found[d] = (found[d] or []) + [{"item": names[i], "item_start": s, "start": w, "length": n} for i, s, w, n in new]
+            old = [(x["start"], x["end"]) for x in spans[d] or []]
+            spans[d] = [{"start": a, "end": b} for a, b in _merged(old + [(w, w + n) for *_, w, n in new])]
         columns = {id_col: part.column(id_col), "n_words": pa.array(lengths, pa.int64()),
                    "spans": pa.array([x or [] for x in spans], _RANGES), "found": pa.array([x or [] for x in found], _FOUND)}
         if not last:
@@ -165,15 +181,22 @@ def _pass(block, id_col: str, last: bool):
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
-            full = np.cumsum(sizes) // SHARD_BYTES
-            cuts = [0, *(np.flatnonzero(full[1:] != full[:-1]) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a:
-                    yield shard(batch.slice(a, b - a))
+            for part, _ in _shards(batch, batch.column("_text")):
+                yield shard(part)
     return stage
 
 
+def _blocks(tests: DataFrame, item_col: str, item_text: str, window: int, pass_bytes: int) -> Iterator:
+    """Broadcasts of (item ids as text, index), one for about ``pass_bytes`` bytes of tests."""
+    tests = tests.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(
+        F.col(item_col).cast("string").alias("_item"), F.col(item_text).cast("binary").alias("_t"))
+    passes = 1 + tests.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0] // pass_bytes
+    for k in range(passes):
+        rows = tests.filter(F.pmod(F.xxhash64("_item", "_t"), F.lit(passes)) == k).collect()
+        index = index_tests([(i, bytes(r["_t"])) for i, r in enumerate(rows)], window)
+        yield tests.sparkSession.sparkContext.broadcast(([r["_item"] for r in rows], index)), k == passes - 1
+
+
 def matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
             item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row for every row of ``docs``: id_col, n_words, spans (ranges of hit words, end exclusive, apart from each
@@ -183,25 +206,33 @@ def matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col:
     A null text has no words; a test item without words or without an id matches nothing; repeated rows come out as often
     as they came in; equal items all match. Without tests every document comes out clean. Other columns are not looked at.
     Tests are broadcast in blocks of about ``pass_bytes`` bytes, one pass each, so what a task holds has a fixed bound."""
-    spark, item_kind = docs.sparkSession, tests.schema[item_col].dataType
-    tests = tests.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(
-        F.col(item_col).cast("string").alias("_item"), F.col(item_text).cast("binary").alias("_t"))
-    passes = 1 + tests.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0] // pass_bytes
+    item_kind = tests.schema[item_col].dataType
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"),
                       F.lit(None).cast(_RANGES_SQL).alias("spans"), F.lit(None).cast(_FOUND_SQL).alias("found"))
-    for k in range(passes):
-        rows = tests.filter(F.pmod(F.xxhash64("_item", "_t"), F.lit(passes)) == k).collect()
-        block = spark.sparkContext.broadcast(([r["_item"] for r in rows], index_tests([(i, bytes(r["_t"])) for i, r in enumerate(rows)], window)))
-        schema = f"`{id_col}` {kind}, n_words bigint, spans {_RANGES_SQL}, found {_FOUND_SQL}" + (", _text binary" if k < passes - 1 else "")
-        out = out.select(id_col, "_text", "spans", "found").mapInArrow(_pass(block, id_col, k == passes - 1), schema)
+    for block, last in _blocks(tests, item_col, item_text, window, pass_bytes):
+        schema = f"`{id_col}` {kind}, n_words bigint, spans {_RANGES_SQL}, found {_FOUND_SQL}" + ("" if last else ", _text binary")
+        out = out.select(id_col, "_text", "spans", "found").mapInArrow(_pass(block, id_col, last), schema)
     named = F.transform("found", lambda m: F.struct(
         m["item"].cast(item_kind).alias(item_col), m["item_start"].alias("item_start"), m["start"].alias("start"), m["length"].alias("length")))
     return out.select(id_col, "n_words", "spans", named.alias("matches"))
 
 
-def clean(docs: DataFrame, tests: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without any match, all columns kept. The whole row travels in place of the id, so ids may repeat
-    or be null."""
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_own"))
-    return matches(whole, tests, "_row", "_own", **options).filter(F.size("matches") == 0).select("_row.*")
+def clean(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
+          pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any match, unchanged, whatever their columns are called. Texts are read in place, shard by
+    shard, and only rows that stay go back. A null or empty text has no match; repeated rows stay or go alike; without tests, or for
+    an empty table, nothing goes."""
+    def keep(block):
+        def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, text in _shards(batch, batch.column(text_col).cast(pa.binary())):
+                    _, hits = _find(text.to_pylist(), block.value[1])
+                    stays = np.ones(part.num_rows, bool)
+                    stays[list(hits)] = False
+                    yield part.filter(pa.array(stays))
+        return stage
+
+    for block, _ in _blocks(tests, item_col, item_text, window, pass_bytes):
+        docs = docs.mapInArrow(keep(block), docs.schema)
+    return docs

@@ -247,9 +247,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     found = components(sure.unionByName(more))
     classes = sets.select("_set", "_best").join(found.withColumnRenamed("node", "_set"), "_set", "left")
     kept = classes.groupBy(F.coalesce("component", "_set").alias("_class")).agg(F.min("_best").alias("_best")).select("_best.*")
+    # the caller's row travels as one struct, so that its columns may have any names
     keys = [F.col("_d._kid").eqNullSafe(F.col("_k._id")), F.col("_d._kmark") == F.col("_k._mark")]
-    rows = docs.withColumn("_kid", F.col(id_col)).withColumn("_kmark", mark).alias("_d").join(kept.alias("_k"), keys, "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_kid"), mark.alias("_kmark")).alias("_d").join(kept.alias("_k"), keys, "left_semi")
     again = cut_lineage(signed.groupBy("_id", "_mark").agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_mark"))
     twice = rows.alias("_d").join(again.alias("_k"), keys, "left_semi").dropDuplicates(["_kid", "_kmark"])
     once = rows.alias("_d").join(again.alias("_k"), keys, "left_anti")
-    return once.unionByName(twice).select(*docs.columns)
+    return once.unionByName(twice).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
