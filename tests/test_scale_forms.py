@@ -100,7 +100,7 @@ def _brute(train, query, k, own=False):
 
 
 def test_neighbours_exact(spark, monkeypatch):
-    monkeypatch.setattr(NN, "STRIP", 60)  # many strips, and a hot strip split into tiles
+    monkeypatch.setattr(NN, "CELL", 30)  # many cells, and a hot cell split into tiles
     rng = random.Random(5)
     pts = {i: (1.0, 1.0) if i % 3 == 0 else (float(rng.randint(-20, 20)), float(rng.randint(-20, 20))) for i in range(600)}
     df = spark.createDataFrame([(i, *p) for i, p in pts.items()], "id long, a double, b double")
@@ -116,6 +116,37 @@ def test_neighbours_exact(spark, monkeypatch):
     assert mine == _brute(pts, pts, 3, own=True)
 
 
+@pytest.mark.parametrize("width", [7, 20])
+def test_neighbours_in_many_dimensions(spark, monkeypatch, width):
+    """Rows in clusters, as patients are: most cells are out of reach, and the result is that of comparing all pairs."""
+    monkeypatch.setattr(NN, "CELL", 50)
+    rng = random.Random(width)
+    centres = [[rng.uniform(-50, 50) for _ in range(width)] for _ in range(40)]
+    pts = {i: tuple(x + rng.gauss(0, 1) for x in centres[rng.randrange(40)]) for i in range(3000)}
+    names = [f"f{n}" for n in range(width)]
+    df = spark.createDataFrame([(i, *p) for i, p in pts.items()], "id long, " + ", ".join(f"{c} double" for c in names))
+    train, query = df.filter("id % 10 <> 0"), df.filter("id % 10 = 0")
+    assert NN.pairs_searched(train, query, "id", names) < 0.2 * 2700 * 300
+    got = {}
+    for r in NN.nearest(train, query, "id", names, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["train_id"])
+    assert got == _brute({i: p for i, p in pts.items() if i % 10}, {i: p for i, p in pts.items() if i % 10 == 0}, 5)
+
+
+def test_neighbours_groups_missing_values_and_few_rows(spark):
+    rows = [(i, float(i % 13), float(i % 7), "a" if i % 3 else "b") for i in range(60)] + [(100, None, 1.0, "a"), (101, float("nan"), 1.0, "a"), (102, 1.0, 1.0, "c"), (103, 2.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, g string")
+    got = {}
+    for r in NN.nearest(df, df, "id", ["x", "y"], 4, exclude_self=True, by=["g"]).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["train_id"])
+    want = {}
+    for g in "ab":
+        some = {i: (x, y) for i, x, y, h in rows if h == g and i < 100}
+        want |= _brute(some, some, 4, own=True)
+    assert got == want
+    assert NN.nearest(df.limit(0), df, "id", ["x", "y"]).collect() == [] == NN.nearest(df, df.limit(0), "id", ["x", "y"]).collect()
+
+
 def test_smote(spark):
     rng = random.Random(1)
     rows = [(i, 1 if i % 10 == 0 else 0, rng.random(), rng.random()) for i in range(400)]
