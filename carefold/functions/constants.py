@@ -79,6 +79,9 @@ AGE_EDGES = [0, 18, 35, 50, 65, 80, 100]
 ORDINAL_SENTINELS = ["UK", "-", "88", "9"]
 DASH_SENTINEL = ["-"]
 
+# Active-diagnosis items that write a dash for a missing answer (fixed values).
+DASH_COLUMNS = ["Active_Diagnoses_Diabetes_Mellitus", "Active_Diagnoses_PVD_or_PAD"]
+
 # Ordinal assessment items that carry the sentinels above (fixed values).
 ORDINAL_COLUMNS = [
     "Ability_To_Hear",

@@ -8,9 +8,20 @@ from carefold.operators import ordered
 from carefold.operators.aggregates import modes_by
 
 
-def levels_of(df: DataFrame, cols: list[str]) -> dict[str, list]:
-    """Sorted distinct values per column from one aggregate. Every level becomes a column, so callers choose columns
-    by ``split_by_cardinality`` or pass the levels."""
+#: Levels of a column up to which it may be spread over columns.
+MAX_LEVELS = 10_000
+
+
+def levels_of(df: DataFrame, cols: list[str], limit: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted distinct values per column. Every level becomes a column, so callers choose columns by ``split_by_cardinality``
+    or pass the levels.
+
+    Levels are estimated first, in buffers of fixed size; a column clearly above ``limit`` (over 5/4 of it, the estimate
+    being off by 5 %) is an error, so what is collected is bounded."""
+    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    wide = {c: row[c] for c in cols if row[c] * 4 > limit * 5}
+    if wide:
+        raise ValueError(f"more than {limit} levels, use binary_encode: {wide}")
     row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
     return {c: list(row[c]) for c in cols}
 

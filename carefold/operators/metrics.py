@@ -42,6 +42,12 @@ def report_averages(report: DataFrame, by: list[str] | None = None) -> DataFrame
     return report.groupBy(*(by or [])).agg(*macro, *weighted, F.sum("support").alias("support"))
 
 
+def report_summary(report: DataFrame, positive=1) -> DataFrame:
+    """One row of a class report: macro F1, and precision and recall of the positive class (null if no row has or gets it)."""
+    own = {c: F.max(F.when(F.col("class") == positive, F.col(c))) for c in ["precision", "recall"]}
+    return report.agg(F.avg("f1").alias("macro_f1"), *[own[c].alias(c) for c in own])
+
+
 def accuracy(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
 
@@ -51,19 +57,27 @@ def score_counts(df: DataFrame, label: str = "label", prob: str = "probability",
     return df.groupBy(*(by or []), prob).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
+def _ranked(df: DataFrame, label: str, prob: str, by: list[str] | None) -> DataFrame:
+    """Distinct scores with the true and false positives (``tp``, ``fp``) of a cut at each of them."""
+    return ordered.running_totals(score_counts(df, label, prob, by), prob, {"tp": "pos", "fp": "neg"}, by, descending=True)
+
+
+def curve_measures(df: DataFrame, label: str = "label", prob: str = "probability", by: list[str] | None = None) -> DataFrame:
+    """``roc_auc`` (rank-sum area, tied scores count half) and ``average_precision`` (step sum of precision over recall, ties
+    taken together) from one ranking of the scores; null where a class has no row."""
+    lost = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / F.lit(2.0)))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return _ranked(df, label, prob, by).groupBy(*(by or [])).agg(
+        (1 - F.try_divide(lost, pairs)).alias("roc_auc"), F.try_divide(steps, F.sum("pos")).alias("average_precision"))
+
+
 def roc_auc(df: DataFrame, label: str = "label", prob: str = "probability", by: list[str] | None = None) -> DataFrame:
-    """Rank-sum area; tied scores count half."""
-    cum = ordered.running_totals(score_counts(df, label, prob, by), prob, {"_neg_upto": "neg"}, by)
-    wins = F.sum(F.col("pos") * (F.col("_neg_upto") - F.col("neg") + F.col("neg") / F.lit(2.0)))
-    pairs = F.sum("pos") * F.sum("neg")
-    return cum.groupBy(*(by or [])).agg(F.try_divide(wins, pairs).alias("roc_auc"))
+    return curve_measures(df, label, prob, by).drop("average_precision")
 
 
 def average_precision(df: DataFrame, label: str = "label", prob: str = "probability", by: list[str] | None = None) -> DataFrame:
-    """Step sum of precision over recall, ties taken together."""
-    cum = ordered.running_totals(score_counts(df, label, prob, by), prob, {"_tp": "pos", "_fp": "neg"}, by, descending=True)
-    steps = F.sum(F.col("pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp")))
-    return cum.groupBy(*(by or [])).agg(F.try_divide(steps, F.sum("pos")).alias("average_precision"))
+    return curve_measures(df, label, prob, by).drop("roc_auc")
 
 
 def one_vs_rest(df: DataFrame, classes: dict, label: str = "label") -> DataFrame:
@@ -75,19 +89,17 @@ def one_vs_rest(df: DataFrame, classes: dict, label: str = "label") -> DataFrame
 
 def ovr_curves(df: DataFrame, classes: dict, label: str = "label") -> DataFrame:
     """ROC-AUC and average precision of every class against the rest."""
-    long = one_vs_rest(df, classes, label)
-    return roc_auc(long, "is_class", "probability", ["class"]).join(
-        average_precision(long, "is_class", "probability", ["class"]), "class")
+    return curve_measures(one_vs_rest(df, classes, label), "is_class", "probability", ["class"])
 
 
 def curve_points(df: DataFrame, label: str = "label", prob: str = "probability") -> DataFrame:
     """ROC and precision / recall points at every distinct threshold."""
-    counts = score_counts(df, label, prob)
-    cum = ordered.running_totals(counts, prob, {"tp": "pos", "fp": "neg"}, descending=True)
-    p, n = counts.agg(F.sum("pos")).scalar(), counts.agg(F.sum("neg")).scalar()
-    return cum.select(F.col(prob).alias("threshold"), "tp", "fp", F.try_divide(F.col("tp"), p).alias("tpr"),
-                      F.try_divide(F.col("fp"), n).alias("fpr"),
-                      (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    cum = _ranked(df, label, prob, None)
+    # one scalar for both totals, so the scores are counted a second time only once
+    totals = score_counts(df, label, prob).agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
+    return cum.withColumn("_all", totals).select(
+        F.col(prob).alias("threshold"), "tp", "fp", F.try_divide(F.col("tp"), F.col("_all.p")).alias("tpr"),
+        F.try_divide(F.col("fp"), F.col("_all.n")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def compare_models(df: DataFrame, model: str = "model", label: str = "label", pred: str = "prediction") -> DataFrame:

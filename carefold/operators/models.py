@@ -102,13 +102,15 @@ def soft_vote(scored: list[DataFrame], key: str, label: str) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, label: str, threshold: float | None = None) -> DataFrame:
-    """One row: ROC-AUC, average precision, accuracy and macro F1 (at the threshold when given)."""
+    """One row: accuracy, macro F1, precision and recall of class 1 (at the threshold when given), ROC-AUC and average precision."""
     scored = cut_lineage(scored)  # the model runs once, not once per measure
     s = scored if threshold is None else scored.withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
-    macro = M.report_averages(M.class_report(s, label)).select("macro_f1")
-    out = M.accuracy(s, label).withColumn("macro_f1", macro.scalar())
+    summary = M.report_summary(M.class_report(s, label))
+    out = M.accuracy(s, label).withColumn("_r", summary.select(F.struct("*")).scalar())
+    out = out.select("accuracy", "_r.macro_f1", "_r.precision", "_r.recall")
     if "probability" in scored.columns:
-        out = out.withColumns({"roc_auc": M.roc_auc(s, label).scalar(), "pr_auc": M.average_precision(s, label).scalar()})
+        curves = M.curve_measures(s, label).select(F.struct("*")).scalar()
+        out = out.withColumn("_c", curves).select("*", F.col("_c.roc_auc").alias("roc_auc"), F.col("_c.average_precision").alias("pr_auc")).drop("_c")
     return out
 
 

@@ -24,6 +24,11 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+def read_sections(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a folder per chapter. ``schema`` names the leading columns of the files; the folder gives ``section``, as text."""
+    return spark.read.schema(f"{schema}, section string").options(header=True, enforceSchema=True).csv(path)
+
+
 def read_feature_collection(spark: SparkSession, path: str, state: str | None = None, multi_line: bool = True) -> DataFrame:
     """One row per county of GeoJSON feature collections: id, name, state, geometry as text.
 

@@ -198,3 +198,16 @@ def test_binary_codes(spark):
     df = spark.createDataFrame([("c",), ("a",), (None,), ("b",), ("a",)], "v string")
     got = sorted((r["v_0"], r["v_1"]) for r in E.binary_encode(df, ["v"]).collect())
     assert got == [(0, 0), (0, 1), (0, 1), (1, 0), (1, 1)]
+
+
+def test_cohort_columns(spark):
+    """Dashes in the active diagnoses are missing values; of the code columns only those on severity stay, of the regimen none."""
+    from carefold.plans import jobs
+
+    day = dt.date
+    rows = [("p", day(2020, 1, 1), day(2020, 2, 1), "-", "1", "I10", "2", "x", 1), ("q", day(2020, 1, 1), day(2020, 3, 1), "0", "-", "E11", "3", "y", 0)]
+    df = spark.createDataFrame(rows, f"{jobs.ID} string, {jobs.SOC} date, {jobs.DAY} date, Active_Diagnoses_Diabetes_Mellitus string, Active_Diagnoses_PVD_or_PAD string, "
+                                     "Primary_Diagnosis_ICD_10_C_M_Code string, Other_Severity_ICD_10_C_M string, Regimen_Change_Severity string, target int")
+    out = jobs.encode_cohort(df, "target").orderBy("Assessment_Month")
+    assert "Other_Severity_ICD_10_C_M" in out.columns and "Regimen_Change_Severity" not in out.columns and "Primary_Diagnosis_ICD_10_C_M_Code" not in out.columns
+    assert [tuple(r) for r in out.select("Active_Diagnoses_Diabetes_Mellitus", "Active_Diagnoses_PVD_or_PAD", "dx_hypertension").collect()] == [(None, 1.0, 1), (0.0, None, 0)]

@@ -241,3 +241,34 @@ def test_every_line_reaches_the_code_rows(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     filled = sum((F.col(c).isNotNull().cast("int") for c in CODES), F.lit(0))
     assert t.wide().agg(F.sum(filled)).first()[0] == t("lineitem").count()
+
+
+def test_curve_measures_use_one_ranking(spark, skewed):
+    """Both areas come out of one ranking: no more exchanges than one of them needs alone."""
+    _, df = skewed
+
+    def exchanges(x):
+        return x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    both = M.ovr_curves(df.select("y", "x"), {1: "x", 0: "x"}, "y")
+    assert exchanges(both) <= 9
+    assert exchanges(both) == exchanges(both.select("class", "roc_auc"))
+    got = {r["class"]: r for r in both.collect()}
+    assert np.isclose(got[1]["roc_auc"], M.roc_auc(df, "y", "x").first()[0]) and np.isclose(got[0]["roc_auc"], 1 - got[1]["roc_auc"])
+    one = df.filter("y = 1")
+    assert M.curve_measures(one, "y", "x").first()["roc_auc"] is None  # no pairs without negatives
+
+
+def test_report_summary_names_the_positive_class(spark):
+    df = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0), (1, 1)], "label int, prediction int")
+    r = M.report_summary(M.class_report(df)).first()
+    assert np.allclose([r["precision"], r["recall"], r["macro_f1"]], [2 / 3, 2 / 3, (2 / 3 + 1 / 2) / 2])
+
+
+def test_levels_are_bounded(spark):
+    from carefold.operators import encoding as E
+
+    df = spark.range(1000).select(F.col("id").cast("string").alias("wide"), (F.col("id") % 3).alias("slim"))
+    assert E.levels_of(df, ["slim"], limit=100) == {"slim": [0, 1, 2]}
+    with pytest.raises(ValueError, match="wide"):
+        E.levels_of(df, ["wide", "slim"], limit=100)
