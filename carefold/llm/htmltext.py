@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,15 +48,43 @@ _NEVER = frozenset("html body main article".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "junk", "kind", "score", "links")
-
-    def __init__(self, tag, parent, path, junk, kind):
-        self.tag, self.parent, self.path, self.junk, self.kind, self.score, self.links = tag, parent, path, junk, kind, 0.0, 0
-
-
-def _describe(tag: str, attributes: str, parent: _Node | None) -> _Node:
-    """A node with its generalised path, whether it is outside the article, and what speaks for it."""
-    junk, classes, kind = parent is not None and parent.junk or tag in _DROPPED, "", 0
+    """An open element: its own ``step`` of the path, its nearest block (``block``), whether it lies in a link, and how far its
+    path agrees with the wanted one (``agreed`` characters, -1: not at all; ``inside``: at it or below)."""
+    __slots__ = ("tag", "parent", "step", "junk", "kind", "score", "block", "linked", "agreed", "inside")
+
+    def __init__(self, tag, parent, step, junk, kind):
+        self.tag, self.parent, self.step, self.junk, self.kind, self.score = tag, parent, step, junk, kind, 0.0
+        self.block = self if tag in _BLOCKS or parent is None else parent.block
+        self.linked = parent is not None and parent.linked or tag == "a"
+        self.agreed, self.inside = 0, False
+
+    @property
+    def path(self) -> str:
+        """The generalised path, put together only for the few nodes that are asked, so that deep pages stay cheap."""
+        steps, node = [], self
+        while node is not None:
+            steps.append(node.step)
+            node = node.parent
+        return ">".join(s for s in reversed(steps) if s)
+
+    def follow(self, wanted: str) -> None:
+        """Set ``agreed`` and ``inside`` from those of the parent."""
+        at, self.inside = self.parent.agreed, self.parent.inside
+        if self.inside or at < 0:
+            self.agreed = at
+            return
+        step = f">{self.step}" if self.parent.parent is not None else self.step
+        if wanted.startswith(step, at):
+            self.agreed = at + len(step)
+            self.inside = self.agreed == len(wanted)
+        else:
+            self.agreed = -1
+            self.inside = len(step) > len(wanted) - at and step.startswith(wanted[at:] + ">")
+
+
+def _describe(tag: str, attributes: str, parent: _Node) -> _Node:
+    """A node with its step of the path, whether it is outside the article, and what speaks for it."""
+    junk, classes, kind = parent.junk or tag in _DROPPED, "", 0
     if attributes and "=" in attributes or "hidden" in attributes:
         got = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
         words = [w.lower() for w in _NAMES.findall(got.get("class", "") + " " + got.get("id", ""))]
@@ -73,24 +102,21 @@ def _describe(tag: str, attributes: str, parent: _Node | None) -> _Node:
         elif not _GOOD.isdisjoint(marks):
             kind = 1
     kind = 3 if tag == "article" else max(kind, 2) if tag == "main" else kind
-    top = f"{parent.path}>" if parent is not None and parent.path else ""
-    return _Node(tag, parent, f"{top}{tag}.{classes}" if classes else f"{top}{tag}", junk, kind)
-
+    return _Node(tag, parent, f"{tag}.{classes}" if classes else tag, junk, kind)
 
-def blocks(page: str) -> Iterator[tuple[_Node, str, int]]:
-    """(innermost block element, text, characters of it inside links) for every run of text that is not outside the article."""
-    root = node = _Node("html", None, "", False, 0)
-    stack, text, links, place = [root], [], 0, 0
 
-    def owner() -> _Node:
-        return next((n for n in reversed(stack) if n.tag in _BLOCKS), root)
+def blocks(page: str, wanted: str = "") -> Iterator[tuple[_Node, str, int]]:
+    """(innermost block element, text, characters of it inside links) for every run of text that is not outside the article.
+    With a path, the elements know whether they lie inside it."""
+    root = _Node("html", None, "", False, 0)
+    stack, text, links, place, opened = [root], [], 0, 0, Counter()
 
     def flush():
         nonlocal text, links
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                yield owner(), whole, links
+                yield stack[-1].block, whole, links
         text, links = [], 0
 
     def say(raw: str):
@@ -98,14 +124,17 @@ def blocks(page: str) -> Iterator[tuple[_Node, str, int]]:
         if raw and not stack[-1].junk:
             plain = entities.unescape(raw) if "&" in raw else raw
             text.append(plain)
-            if any(n.tag == "a" for n in stack):
+            if stack[-1].linked:
                 links += len(plain)
 
     def close(names, until=frozenset()):
+        if not any(opened[n] for n in names):  # nothing to close, however deep the page is
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in until:
                 return
             if stack[i].tag in names:
+                opened.subtract(n.tag for n in stack[i:])
                 del stack[i:]
                 return
 
@@ -129,7 +158,7 @@ def blocks(page: str) -> Iterator[tuple[_Node, str, int]]:
         if tag in ("html", "body"):
             if tag == "body":
                 close({"head"})
-            if any(n.tag == tag for n in stack[1:]) or tag == "html":
+            if opened[tag] or tag == "html":
                 continue
         if tag in _CLOSES_P:
             close({"p"}, frozenset({"td", "th", "table", "button"}))
@@ -138,6 +167,9 @@ def blocks(page: str) -> Iterator[tuple[_Node, str, int]]:
         if tag in _VOID or found[3].rstrip().endswith("/") and tag not in _BLOCKS and tag not in _RAW:
             continue
         stack.append(_describe(tag, found[3], stack[-1]))
+        opened[tag] += 1
+        if wanted:
+            stack[-1].follow(wanted)
         if tag in _RAW:
             end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, place)
             place = end.start() if end else len(page)
@@ -174,8 +206,7 @@ def text_at(page: str | None, path: str | None) -> str:
             if own is None:
                 return ""
             wanted = own[0]
-        below = f"{wanted}>"
-        lines = [text for node, text, _ in blocks(page or "") if node.path == wanted or node.path.startswith(below) or not wanted]
+        lines = [text for node, text, _ in blocks(page or "", wanted) if node.inside or not wanted]
         if lines:
             return "\n".join(lines)
     return ""
