@@ -8,6 +8,7 @@ bigrams. Texts are read in place; nothing is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,35 @@ def _line_pairs(lines: list[list[bytes]], get) -> list[list[int]]:
     return out
 
 
+class _Fresh:
+    """Where a run of lines meets pairs that it does not hold yet. ``seen[j]``: the smallest line, among the last lines before ``j``
+    that hold the pairs of line ``j``; a run from line ``i`` learns nothing from a line with ``seen[j] > i``."""
+
+    def __init__(self, chains: list[list[int]]):
+        last: dict[int, int] = {}
+        self.seen = np.full(len(chains), len(chains), np.int64)
+        for j, chain in enumerate(chains):
+            distinct = set(chain)
+            if distinct:
+                self.seen[j] = min(last.get(p, -1) for p in distinct)
+            last.update(dict.fromkeys(distinct, j))
+        self.step = max(16, math.isqrt(len(chains)))
+        self.low = np.array([self.seen[k:k + self.step].min() for k in range(0, len(chains), self.step)], np.int64)
+
+    def after(self, j: int, i: int) -> int:
+        """The next line after ``j`` that may add to a run from line ``i``; the number of lines if there is none."""
+        j += 1
+        block = j // self.step
+        own = np.flatnonzero(self.seen[j:(block + 1) * self.step] <= i)
+        if len(own):
+            return j + int(own[0])
+        later = np.flatnonzero(self.low[block + 1:] <= i)
+        if not len(later):
+            return len(self.seen)
+        start = (block + 1 + int(later[0])) * self.step
+        return start + int(np.flatnonzero(self.seen[start:start + self.step] <= i)[0])
+
+
 def best_runs(text: bytes | None, templates: Templates) -> list[tuple[str, float, int, int]]:
     """(licence, Dice, first line, line after the last) of the best run of lines for every licence that reaches the
     coefficient, unless another licence matches some of these lines better."""
@@ -107,13 +137,14 @@ def best_runs(text: bytes | None, templates: Templates) -> list[tuple[str, float
     own = [upto[max(b, b + n - 1)] - upto[b] if n > 1 else 0 for b, n in zip(begin, sizes)]
     starts = [i for i, (m, n) in enumerate(zip(own, sizes)) if n == 1 or n > 1 and m >= half * (n - 1)]
     chains, found = _line_pairs(lines, get), {}
+    fresh_lines = _Fresh(chains)
     for name, wanted, low, high in templates.rows:
         for i in starts:
             inner = chains[i][1:] if len(chains[i]) >= len(lines[i]) else chains[i]
             if len(inner) > 0 and len(wanted.intersection(inner)) < half * len(set(inner)):
                 continue
-            run, same = set(), 0
-            for j in range(i, len(lines)):
+            run, same, j = set(), 0, i
+            while j < len(lines):
                 fresh = set(inner if j == i else chains[j]) - run
                 run |= fresh
                 same += len(fresh & wanted)
@@ -122,6 +153,7 @@ def best_runs(text: bytes | None, templates: Templates) -> list[tuple[str, float
                 dice = 2 * same / (len(run) + len(wanted))
                 if len(run) >= low and dice >= templates.dice and dice > found.get(name, (0,))[0]:
                     found[name] = (dice, i, j + 1)
+                j = fresh_lines.after(j, i)
     rows = [(name, *rest) for name, rest in found.items()]
     return sorted(r for r in rows if not any(o[1] > r[1] and o[2] < r[3] and r[2] < o[3] for o in rows))
 
