@@ -109,8 +109,10 @@ def digest(found: DataFrame) -> list[Column]:
 
 
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[secret]", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """``docs`` with every span of ``scan`` that is live replaced by ``mark``; copied examples, all rows and all columns stay."""
-    found = scan(docs, text_col, owner_col, repo_col, tuple(docs.columns), max_owners)
+    """``docs`` with every span of ``scan`` that is live replaced by ``mark``; copied examples, all rows and all columns stay,
+    whatever the columns are called. Null texts stay null; repeated rows come out each; spans that overlap become one mark; an empty table stays empty."""
+    own = {c: f"_r{i}" for i, c in enumerate(docs.columns)}  # free of names that the scan adds
+    found = scan(docs.toDF(*own.values()), own[text_col], own[owner_col], own[repo_col], tuple(own.values()), max_owners)
     live = F.filter("_spans", lambda s: s["live"])
     text = F.col("_text")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -121,6 +123,6 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", r
         return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(fresh, out).otherwise(s["out"]).alias("out"))
 
     clean = F.aggregate(live, state, cut, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    held = found.select(F.struct(*docs.columns).alias("_doc"), F.col("spans").alias("_spans"), F.col(text_col).cast("string").alias("_text"))
+    held = found.select(*own.values(), F.col("spans").alias("_spans"), F.col(own[text_col]).cast("string").alias("_text"))
     held = held.withColumn("_clean", F.when(F.size(live) > 0, clean).otherwise(text))
-    return held.select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    return held.select(*[F.col("_clean" if c == text_col else own[c]).alias(c) for c in docs.columns])

@@ -29,8 +29,12 @@ def score(docs: DataFrame, model: linear.Model, text_col: str = "text", name: st
 
 
 def keep_civil(docs: DataFrame, model: linear.Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` scored below the threshold, all columns as they are. Null and empty texts stay."""
+    """The rows of ``docs`` scored below the threshold, all columns as they are. Null and empty texts stay. A model without
+    weights, as from a table without labels, tells no rows apart and rejects none."""
+    if not len(model.slots):
+        return docs
     name = "_toxicity"
     while name in docs.columns:
         name += "_"
-    return score(docs, model, text_col, name).filter(F.col(name) < threshold).drop(name)
+    blank = F.coalesce(F.length(F.col(text_col)), F.lit(0)) == 0
+    return score(docs, model, text_col, name).filter((F.col(name) < threshold) | blank).drop(name)
