@@ -59,6 +59,7 @@ DX_PREFIXES = {
     "dx_weakness": ["M62.81", "R53.1"],
 }
 
+# Code labels (fixed values).
 GENDER = {1: "Male", 2: "Female"}
 DISCIPLINE = {1: "RN", 2: "PT", 3: "SLP/ST", 4: "OT"}
 
@@ -71,11 +72,14 @@ BMI_CLASSES = [
     (35.0, 39.9, "Obese-Class2"),
 ]
 BMI_REST = "Obese-Class3"
+# Factors for pounds and inches (fixed values).
 BMI_FACTOR_CEIL = 704.5
 BMI_FACTOR = 703.0
 
+# Age bins (fixed values).
 AGE_EDGES = [0, 18, 35, 50, 65, 80, 100]
 
+# Texts that stand for a missing answer (fixed values).
 ORDINAL_SENTINELS = ["UK", "-", "88", "9"]
 DASH_SENTINEL = ["-"]
 
@@ -112,6 +116,7 @@ LEAK_COLUMNS = [
     "Resumption_of_Care_Date_NA",
     "Emergent_care_use_since_most_recent_SOC_ROC",
 ]
+# Identifiers (fixed values).
 ID_COLUMNS = [
     "Beneficiary_ID",
     "Episode_ID",
@@ -123,6 +128,7 @@ ID_COLUMNS = [
     "Patient_State",
     "Patient_Overall_Status",
 ]
+# Administrative columns (fixed values).
 ADMIN_COLUMNS = [
     "Assessment_ID",
     "HHA_Assessment_Internal_ID",
@@ -135,10 +141,12 @@ ADMIN_COLUMNS = [
     "ZCTA",
     "POINT_ZIP",
 ]
+# Columns without variance, words of payment columns, prefixes of social indicators (fixed values).
 ZERO_VARIANCE_COLUMNS = ["V00-Y99", "diab", "diabwc", "msld", "blane", "diabc", "diabunc", "pud_elixhauser"]
 PAYMENT_WORDS = ["payment", "pymnt", "hipps", "medicare_fee", "medicare_hmo", "medicare_hha"]
 SDOH_PREFIXES = ["ACS_", "CEN_", "POS_", "HIFLD_"]
 
+# Race flags (fixed values).
 RACE_COLUMNS = [
     "White",
     "Black_or_African_American",
@@ -148,6 +156,7 @@ RACE_COLUMNS = [
     "Native_Hawiian_or_Pacific_Islander",
 ]
 
+# Diagnosis code columns (fixed values).
 CODE_COLUMNS = [
     "Primary_Diagnosis_ICD_10_C_M_Code",
     "Other_Diagnosis_Code_1_ICD_10_C_M",
@@ -157,6 +166,7 @@ CODE_COLUMNS = [
     "Other_Diagnosis_Code_5_ICD_10_C_M",
 ]
 
+# Outcome classes (fixed values).
 OUTCOMES = ["Stable", "ED Only", "Hospitalized"]
 
 # Item codes of the core assessment columns and their readable names (fixed values). The full

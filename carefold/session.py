@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +29,18 @@ def build_session(app: str = "carefold", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Session setting that names the current scratch area.
+_AREA = "carefold.scratch.area"
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local master may go without one; a cluster job that has no shared folder fails here
-    rather than writing to a disk the other machines cannot see."""
+    rather than writing to a disk the other machines cannot see. Inside ``scratch_area`` it is that area."""
+    folder = spark.conf.get(_AREA, None)
+    if folder:
+        return folder
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
@@ -42,6 +51,26 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def scratch_area(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own below the shared one for all that operators write inside the block. It goes at the end, after an
+    error too, so a job leaves nothing behind. Results are tables over these files: write or collect them inside the block.
+
+    Areas may be nested; a job that is killed outright leaves its area behind."""
+    outer = spark.conf.get(_AREA, None)
+    folder = f"{work_dir(spark)}/area-{uuid.uuid4().hex}"
+    spark.conf.set(_AREA, folder)
+    try:
+        yield folder
+    finally:
+        if outer:
+            spark.conf.set(_AREA, outer)
+        else:
+            spark.conf.unset(_AREA)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -272,3 +272,29 @@ def test_levels_are_bounded(spark):
     assert E.levels_of(df, ["slim"], limit=100) == {"slim": [0, 1, 2]}
     with pytest.raises(ValueError, match="wide"):
         E.levels_of(df, ["wide", "slim"], limit=100)
+
+
+def test_scratch_area_is_gone_after_a_job(spark):
+    """Tables that operators write in an area vanish with it, also after an error; an inner area leaves the outer one alone."""
+    import os
+
+    from carefold.operators.graph import components
+    from carefold.session import scratch_area, scratch_path, work_dir
+
+    shared = work_dir(spark)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    with scratch_area(spark) as area:
+        assert area.startswith(shared) and scratch_path(spark, "x").startswith(area)
+        with scratch_area(spark) as inner:
+            assert inner.startswith(area)
+            got = {r["node"]: r["component"] for r in components(edges).collect()}
+            assert len(os.listdir(inner.removeprefix("file:"))) > 0
+        assert not os.path.exists(inner.removeprefix("file:")) and work_dir(spark) == area
+        edges.write.parquet(f"{area}/kept")
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert not os.path.exists(area.removeprefix("file:")) and work_dir(spark) == shared
+    with pytest.raises(RuntimeError):
+        with scratch_area(spark) as area:
+            edges.write.parquet(f"{area}/kept")
+            raise RuntimeError
+    assert not os.path.exists(area.removeprefix("file:"))
