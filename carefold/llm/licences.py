@@ -137,7 +137,7 @@ def best_runs(text: bytes | None, templates: Templates) -> list[tuple[str, float
     own = [upto[max(b, b + n - 1)] - upto[b] if n > 1 else 0 for b, n in zip(begin, sizes)]
     starts = [i for i, (m, n) in enumerate(zip(own, sizes)) if n == 1 or n > 1 and m >= half * (n - 1)]
     chains, found = _line_pairs(lines, get), {}
-    fresh_lines = _Fresh(chains)
+    fresh_lines = None  # made for the few texts that get as far as growing a run
     for name, wanted, low, high in templates.rows:
         for i in starts:
             inner = chains[i][1:] if len(chains[i]) >= len(lines[i]) else chains[i]
@@ -153,6 +153,7 @@ def best_runs(text: bytes | None, templates: Templates) -> list[tuple[str, float
                 dice = 2 * same / (len(run) + len(wanted))
                 if len(run) >= low and dice >= templates.dice and dice > found.get(name, (0,))[0]:
                     found[name] = (dice, i, j + 1)
+                fresh_lines = fresh_lines or _Fresh(chains)
                 j = fresh_lines.after(j, i)
     rows = [(name, *rest) for name, rest in found.items()]
     return sorted(r for r in rows if not any(o[1] > r[1] and o[2] < r[3] and r[2] < o[3] for o in rows))
