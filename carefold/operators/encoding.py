@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from carefold.operators import ordered
 from carefold.operators.aggregates import modes_by
+from carefold.operators.joins import attach_counted, attach_groups
+from carefold.session import cut_lineage
 
 
 #: Levels of a column up to which it may be spread over columns.
@@ -39,18 +41,42 @@ def codebook(df: DataFrame, col: str) -> DataFrame:
     return ordered.dense_ordinal(df, col, "ordinal")
 
 
+def codebooks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, ordinal) rows of several columns of one type: the distinct values of every column, numbered from 1 in
+    sorted order. All columns are read, made distinct and numbered together, whatever their number."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in cols])).alias("p")
+    distinct = df.select(pairs).select("p.*").filter("value IS NOT NULL").distinct().withColumn("_one", F.lit(1))
+    numbered = ordered.running_totals(distinct, "value", {"ordinal": "_one"}, ["column"])
+    return numbered.select("column", "value", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+def _with_ordinals(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, str], dict[str, int]]:
+    """``df`` with the ordinal of every column's value, the names of those columns, and the number of values per column.
+
+    The codebooks of all columns of a type are one table, written once; a column's part of it is sent to every executor up to a
+    counted size, and joined with salt beyond it."""
+    types = dict(df.dtypes)
+    out, names, sizes = df, {}, dict.fromkeys(cols, 0)
+    for kind in dict.fromkeys(types[c] for c in cols):
+        same = [c for c in cols if types[c] == kind]
+        book = cut_lineage(codebooks(df, same))
+        sizes |= {r["column"]: r["n"] for r in book.groupBy("column").agg(F.max("ordinal").alias("n")).collect()}
+        for c in same:
+            names[c] = f"_ordinal_{len(names)}"
+            own = book.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("ordinal").alias(names[c]))
+            out = attach_counted(out, own, [c], sizes[c])
+    return out, names, sizes
+
+
 def binary_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Ordinal bits, most significant first, named ``column_0, column_1, ...``; null gives zeros."""
-    out = df
-    sizes = df.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
+    out, names, sizes = _with_ordinals(df, cols)
+    bits = []
     for c in cols:
         width = max(1, int(sizes[c]).bit_length())
-        book = codebook(df, c).withColumnRenamed("ordinal", "_o")
-        ordinal = F.coalesce(F.col("_o"), F.lit(0))
-        bits = [F.getbit(ordinal, F.lit(width - 1 - b)).cast("int").alias(f"{c}_{b}") for b in range(width)]
-        keep = [x for x in out.columns if x != c]
-        out = out.join(book, c, "left").select(*keep, *bits)
-    return out
+        ordinal = F.coalesce(F.col(names[c]), F.lit(0).cast("bigint"))
+        bits += [F.getbit(ordinal, F.lit(width - 1 - b)).cast("int").alias(f"{c}_{b}") for b in range(width)]
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in cols], *bits)
 
 
 def split_by_cardinality(df: DataFrame, cols: list[str], limit: int = 55) -> tuple[list[str], list[str]]:
@@ -61,11 +87,8 @@ def split_by_cardinality(df: DataFrame, cols: list[str], limit: int = 55) -> tup
 
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Text -> position in sorted order from 0; null stays null."""
-    out = df
-    for c in cols:
-        book = codebook(df, c).select(c, (F.col("ordinal") - 1).alias("_o"))
-        out = out.join(book, c, "left").withColumn(c, F.col("_o")).drop("_o").select(*df.columns)
-    return out
+    out, names, _ = _with_ordinals(df, cols)
+    return out.select(*[(F.col(names[c]) - 1).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns])
 
 
 def fit_scale(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -98,7 +121,7 @@ def impute_mode(df: DataFrame, cols: list[str], patient: str, groups: list[str],
     """Fill from the patient's mode, then from the mode of the group, then with the default."""
     own = modes_by(df, [patient], cols).withColumnsRenamed({c: f"_own_{c}" for c in cols})
     grp = modes_by(df, groups, cols).withColumnsRenamed({c: f"_grp_{c}" for c in cols})
-    joined = df.join(own, patient, "left").join(grp, groups, "left")
+    joined = attach_groups(df.join(own, patient, "left"), grp, groups)
     filled = {c: F.coalesce(F.col(c), F.col(f"_own_{c}"), F.col(f"_grp_{c}"), F.lit(default)) for c in cols}
     return joined.select(*[filled[c].alias(c) if c in cols else F.col(c) for c in df.columns])
 
@@ -120,7 +143,7 @@ def impute_race(df: DataFrame, race_cols: list[str], county: str, age_group: str
     first = df.filter(F.col(county).isNotNull()).groupBy(county).agg(*[F.avg(c).alias(f"_c{i}") for i, c in enumerate(race_cols)])
     second = df.filter(F.col(age_group).isNotNull() & F.col(gender).isNotNull()).groupBy(age_group, gender).agg(
         *[F.avg(c).alias(f"_g{i}") for i, c in enumerate(race_cols)])
-    joined = df.join(first, county, "left").join(second, [age_group, gender], "left")
+    joined = attach_groups(attach_groups(df, first, [county]), second, [age_group, gender])
     scored = joined.withColumns({f"_p{i}": F.col(f"_c{i}") * F.col(f"_g{i}") for i in range(len(race_cols))})
     scored = scored.withColumn("_best", first_argmax([f"_p{i}" for i in range(len(race_cols))]))
     gaps = [F.col(c).isNull() for c in race_cols]

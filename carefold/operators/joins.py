@@ -1,11 +1,18 @@
-"""Joins. Only the constant code tables carry a broadcast hint (their size is fixed by the
-constants); every other side is left to the optimizer's own size check and adaptive execution."""
+"""Joins. Broadcast hints go to the constant code tables (their size is fixed by the constants) and to
+tables of group values that were counted first; every other side is left to the optimizer's own size check
+and adaptive execution."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from carefold.functions.codes import bare_code
+from carefold.session import cut_lineage
+
+#: Rows up to which a table of group values is sent to every executor. Beyond it the join is salted.
+SMALL_GROUPS = 50_000
+SALTS = 64
 
 
 def with_last_date(df: DataFrame, key: str, date: str, name: str = "last_date") -> DataFrame:
@@ -96,9 +103,34 @@ def label_pairs(df: DataFrame, arr: str) -> DataFrame:
     return first.select(*rest, "a", F.explode(tail).alias("b"))
 
 
+def attach_counted(df: DataFrame, groups: DataFrame, on: list[str], rows: int, limit: int = SMALL_GROUPS, salts: int = SALTS) -> DataFrame:
+    """``groups`` (one narrow row per key, ``rows`` of them) joined to the rows; rows without a group, also those with a null
+    key, get nulls.
+
+    A key may have few values and one of them most of the rows, so the rows are never shuffled by the key alone. Up to ``limit``
+    groups go to every executor and the rows stay where they are; beyond it every group is repeated ``salts`` times and the
+    rows of a group are dealt over its copies by their hash."""
+    if rows <= limit:
+        return df.join(F.broadcast(groups), on, "left")
+    salt = "_salt"
+    while salt in df.columns or salt in groups.columns:
+        salt += "_"
+    hashed = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    dealt = df.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
+    copies = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, salt], "left").drop(salt)
+
+
+def attach_groups(df: DataFrame, groups: DataFrame, on: list[str], limit: int = SMALL_GROUPS, salts: int = SALTS) -> DataFrame:
+    """``attach_counted`` for groups of unknown number: they are written once and counted first."""
+    small = cut_lineage(groups)
+    return attach_counted(df, small, on, small.limit(limit + 1).count(), limit, salts)
+
+
 def attach_priors(df: DataFrame, first: DataFrame, first_on: list[str], second: DataFrame,
                   second_on: list[str]) -> DataFrame:
-    return df.join(first, first_on, "left").join(second, second_on, "left")
+    """Two priors on every row, each by its own group."""
+    return attach_groups(attach_groups(df, first, first_on), second, second_on)
 
 
 def attach_constants(agg: DataFrame, df: DataFrame, key: str, cols: list[str]) -> DataFrame:

@@ -16,7 +16,12 @@ from carefold.session import cut_lineage
 
 # Tree settings by their usual names -> pyspark.ml parameter.
 PARAM_NAMES = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "min_child_samples": "minInstancesPerNode",
-               "subsample": "subsamplingRate"}
+               "subsample": "subsamplingRate", "colsample": "featureSubsetStrategy"}
+
+
+def setting(name: str, value):
+    """A setting in the form its parameter takes: the share of columns that a node looks at is text there."""
+    return str(value) if PARAM_NAMES.get(name, name) == "featureSubsetStrategy" else value
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -56,7 +61,7 @@ def fit_random_forest(train: DataFrame, cols: list[str], label: str, trees: int
 
 def gbt(label: str, weight: str | None = None, validation: str | None = None, seed: int = 42, **params) -> GBTClassifier:
     """Boosted trees; settings may use the usual names of boosting libraries."""
-    est = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **{PARAM_NAMES.get(k, k): v for k, v in params.items()})
+    est = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **{PARAM_NAMES.get(k, k): setting(k, v) for k, v in params.items()})
     if weight:
         est = est.setWeightCol(weight)
     return est.setValidationIndicatorCol(validation) if validation else est

@@ -9,13 +9,14 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
 from pyspark.sql import DataFrame
 
-from carefold.operators.models import PARAM_NAMES, training_table
+from carefold.operators.models import PARAM_NAMES, setting, training_table
 
-# Search spaces (fixed values). Leaves and regularisation have no counterpart in pyspark.ml trees.
+# Search spaces (fixed values). Leaves and regularisation have no counterpart in pyspark.ml trees;
+# the share of columns is drawn per node there.
 RANDOM_SPACE = {"learning_rate": [0.01, 0.05, 0.1, 0.2], "n_estimators": [100, 200, 500], "max_depth": [5, 10, 15], "subsample": [0.6, 0.8, 1.0],
-                "min_child_samples": [10, 20, 50]}
-RANGE_SPACE = {"n_estimators": (300, 1200, "int"), "learning_rate": (0.01, 0.3, "log"), "min_child_samples": (50, 300, "int"), "subsample": (0.4, 1.0, "float")}
-CHOICE_SPACE = {"n_estimators": [100, 300, 500], "learning_rate": [0.05, 0.1, 0.2], "max_depth": [5, 10], "min_child_samples": [50, 100], "subsample": [0.8, 1.0]}
+                "min_child_samples": [10, 20, 50], "colsample": [0.6, 0.8, 1.0]}
+RANGE_SPACE = {"n_estimators": (300, 1200, "int"), "learning_rate": (0.01, 0.3, "log"), "min_child_samples": (50, 300, "int"), "subsample": (0.4, 1.0, "float"), "colsample": (0.4, 1.0, "float")}
+CHOICE_SPACE = {"n_estimators": [100, 300, 500], "learning_rate": [0.05, 0.1, 0.2], "max_depth": [5, 10], "min_child_samples": [50, 100], "subsample": [0.8, 1.0], "colsample": [0.8, 1.0]}
 
 
 def _value(rng: random.Random, spec):
@@ -32,7 +33,7 @@ def _value(rng: random.Random, spec):
 def draws(estimator, space: dict, n: int, seed: int = 42) -> list[dict]:
     """``n`` seeded parameter maps from lists of choices or (low, high, kind) ranges."""
     rng = random.Random(seed)
-    return [{estimator.getParam(PARAM_NAMES.get(k, k)): _value(rng, spec) for k, spec in space.items()} for _ in range(n)]
+    return [{estimator.getParam(PARAM_NAMES.get(k, k)): setting(k, _value(rng, spec)) for k, spec in space.items()} for _ in range(n)]
 
 
 def _auc(label: str) -> BinaryClassificationEvaluator:
@@ -49,7 +50,7 @@ def random_search(train: DataFrame, cols: list[str], label: str, estimator, spac
 def grid_search(train: DataFrame, cols: list[str], label: str, estimator, grid: dict[str, list], folds: int = 3, seed: int = 42, parallelism: int = 4) -> CrossValidatorModel:
     builder = ParamGridBuilder()
     for k, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(PARAM_NAMES.get(k, k)), values)
+        builder = builder.addGrid(estimator.getParam(PARAM_NAMES.get(k, k)), [setting(k, v) for v in values])
     return CrossValidator(estimator=estimator, estimatorParamMaps=builder.build(), evaluator=_auc(label), numFolds=folds, seed=seed, parallelism=parallelism).fit(training_table(train, cols))
 
 

@@ -10,10 +10,12 @@ from carefold.functions import scalars as S
 from carefold.operators import columns as P
 from carefold.operators import diagnosis as D
 from carefold.operators import reshape as RS
+from carefold.operators import risk as RK
+from carefold.operators import visits as V
 from carefold.plans import jobs
 from carefold.plans.domain import BLOCK, CODES, q6, r6
 from carefold.plans.queries_columns import AGE_SQL, BMI_CLASS, ZIP_SQL
-from carefold.plans.queries_domain import HAD_ED, HAD_HOSP, OUTCOME, UNIT_WEIGHTS, _risk_sql, _spans_sql
+from carefold.plans.queries_domain import CHARLSON, HAD_ED, HAD_HOSP, OUTCOME, UNIT_WEIGHTS, _risk_sql, _spans_sql
 from carefold.plans.queries_models import SMALL
 from carefold.plans.registry import query
 from carefold.session import scratch_path
@@ -204,8 +206,77 @@ def job_12(t):
                     out["rows"].select(F.lit("rows").alias("part"), F.col("num_missing").cast("string").alias("name"), "n"))
 
 
-@query("job_13")
+# -- patient table: scores, gaps, encoding, reduction -------------------------------------------------
+FLAGS = C.RACE_COLUMNS
+LABELS = ["Facility_Internal_ID", "Assessment_Effective_Year", "Assessment_Effective_Month", *FLAGS]
+CODED = ["Submitted_HIPPS_Code", C.CODE_COLUMNS[0]]
+RAW_CODE = {CODED[0]: "CASE WHEN f.Beneficiary_ID % 10 <> 0 AND Assessment_ID % 3 <> 0 THEN Submitted_HIPPS_Code END",
+            CODED[1]: f"CASE WHEN Assessment_ID % 7 <> 0 THEN {CODED[1]} END"}
+READMITTED = "CAST(coalesce(Resumption_of_Care_Date - Assessment_Effective_Date BETWEEN 0 AND 29, FALSE) AS INT)"
+GENDER_TEXT = "CASE Gender WHEN 1 THEN 'Male' ELSE 'Female' END"
+RACE_BEST = "CASE " + " ".join(f"WHEN p{i} = greatest({', '.join(f'p{j}' for j in range(6))}) THEN {i}" for i in range(6)) + " END"
+
+
+def _patient_mode(keys: str, c: str) -> str:
+    return f"(SELECT {keys}, {c} AS m FROM (SELECT {keys}, {c}, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, {c}) AS rn FROM src WHERE {c} IS NOT NULL GROUP BY {keys}, {c}) WHERE rn = 1)"
+
+
+def _label_rows(cols: list[str]) -> str:
+    """(position, column, order, value) of every label column; numbers are ordered as numbers."""
+    rows = [f"{{'p': {i}, 'c': '{c}', 'k': {c if c in LABELS else 'NULL'}::BIGINT, 'v': CAST({c} AS VARCHAR)}}" for i, c in enumerate(cols)]
+    return f"[{', '.join(rows)}]"
+
+
+IDS = "Beneficiary_ID, READMISSION"
+JOB_13 = f""", first_rows AS (SELECT *, {READMITTED} AS READMISSION, row_number() OVER (PARTITION BY Beneficiary_ID, {READMITTED} ORDER BY Assessment_Effective_Date, Assessment_ID) AS rn FROM asm),
+    src AS (SELECT *, {AGE_SQL.replace('age', '"Age"')} AS grp FROM (SELECT f.Beneficiary_ID, READMISSION, Facility_Internal_ID, year(Assessment_Effective_Date) AS Assessment_Effective_Year,
+        month(Assessment_Effective_Date) AS Assessment_Effective_Month, {AGE} AS "Age", {GENDER_TEXT} AS Gender, p.county_key, p.balance AS Balance, f.Wound_Items AS Wound_Items, {', '.join(FLAGS)},
+        {', '.join(f'{RAW_CODE[c]} AS {c}' for c in CODED)}, s.comorbidity_score AS score_charlson
+        FROM (SELECT *, coalesce(Wound_Count, 0) AS Wound_Items FROM first_rows WHERE rn = 1) f JOIN patient p ON f.Beneficiary_ID = p.beneficiary_id JOIN ({{charlson}}) s ON f.Beneficiary_ID = s.beneficiary_id)),
+    county AS (SELECT county_key, {', '.join(f'avg({r}) AS c{i}' for i, r in enumerate(FLAGS))} FROM src GROUP BY 1),
+    aged AS (SELECT grp, Gender, {', '.join(f'avg({r}) AS g{i}' for i, r in enumerate(FLAGS))} FROM src WHERE grp IS NOT NULL GROUP BY 1, 2),
+    priors AS (SELECT src.*, {', '.join(f'c{i} * g{i} AS p{i}' for i in range(6))} FROM src LEFT JOIN county USING (county_key) LEFT JOIN aged ON src.grp = aged.grp AND src.Gender = aged.Gender),
+    raced AS (SELECT * EXCLUDE ({', '.join(FLAGS)}), {', '.join(f'CAST(CASE WHEN ({" OR ".join(f"{x} IS NULL" for x in FLAGS)}) AND {RACE_BEST} IS NOT NULL THEN CAST({RACE_BEST} = {i} AS INT) ELSE {r} END AS INT) AS {r}' for i, r in enumerate(FLAGS))} FROM priors),
+    filled AS (SELECT r.* EXCLUDE ({', '.join(CODED)}), {', '.join(f"coalesce(r.{c}, own{i}.m, grp{i}.m, 'UNKNOWN') AS {c}" for i, c in enumerate(CODED))} FROM raced r
+        {' '.join(f"LEFT JOIN {_patient_mode('Beneficiary_ID', c)} own{i} ON r.Beneficiary_ID = own{i}.Beneficiary_ID LEFT JOIN {_patient_mode('grp, Gender', c)} grp{i} ON r.grp = grp{i}.grp AND r.Gender = grp{i}.Gender" for i, c in enumerate(CODED))}),
+    whole AS (SELECT * FROM filled WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ['"Age"', 'Gender', 'county_key', 'Balance', 'score_charlson', *FLAGS])}),
+    labels AS (SELECT {IDS}, x.p AS p, x.c AS c, x.k AS k, x.v AS v FROM (SELECT {IDS}, unnest({_label_rows(['Gender', *CODED, *LABELS])}) AS x FROM whole)),
+    books AS (SELECT p, c, v, row_number() OVER (PARTITION BY c ORDER BY k, v) AS o, count(*) OVER (PARTITION BY c) AS n FROM (SELECT DISTINCT p, c, k, v FROM labels)),
+    encoded AS (SELECT {IDS}, 0 AS kind, x.p AS p, 0 AS o, x.f AS feature, x.v AS value FROM (SELECT {IDS}, unnest([{', '.join(f"{{'p': {i}, 'f': '{c}', 'v': {c}::DOUBLE}}" for i, c in enumerate(['Age', 'county_key', 'Balance', 'Wound_Items', 'score_charlson']))}]) AS x FROM whole)
+        UNION ALL SELECT {IDS}, 1, p, b, c || '_' || b, CAST((o >> (w - 1 - b)) & 1 AS DOUBLE) FROM (SELECT l.{IDS.replace(', ', ', l.')}, l.p, l.c, o, w, unnest(range(w)) AS b FROM labels l JOIN (SELECT *, CAST(floor(log2(n)) + 1 AS BIGINT) AS w FROM books WHERE n > 55) k ON l.c = k.c AND l.v = k.v)
+        UNION ALL SELECT l.{IDS.replace(', ', ', l.')}, 2, l.p, o, l.c || '_' || l.v, 1.0 FROM labels l JOIN books k ON l.c = k.c AND l.v = k.v WHERE n <= 55),
+    sums AS (SELECT kind, p, o, feature, sum(value) AS s, sum(value * value) AS q, (SELECT count(*) FROM whole) AS n FROM encoded GROUP BY 1, 2, 3, 4),
+    products AS (SELECT a.feature AS i, b.feature AS j, sum(a.value * b.value) AS xy FROM encoded a JOIN encoded b USING ({IDS}) GROUP BY 1, 2),
+    gone AS (SELECT DISTINCT y.feature FROM sums x JOIN sums y ON (x.kind, x.p, x.o) < (y.kind, y.p, y.o) LEFT JOIN products ON i = x.feature AND j = y.feature
+        WHERE x.n * x.q - x.s * x.s > 1e-6 AND y.n * y.q - y.s * y.s > 1e-6
+        AND abs(x.n * coalesce(xy, 0) - x.s * y.s) > 0.7 * sqrt(x.n * x.q - x.s * x.s) * sqrt(y.n * y.q - y.s * y.s))
+    SELECT Beneficiary_ID, READMISSION, feature, {q6('value', 'value')} FROM encoded WHERE value <> 0 AND feature NOT IN (SELECT feature FROM gone)"""
+
+
+@query("job_13", JOB_13.replace("{charlson}", CHARLSON), "asm patient long charlson_codes")
 def job_13(t):
+    """The reduced patient matrix, one row per patient, readmission flag and feature that is not zero."""
+    a = t.assessments()
+    flag = S.readmitted(F.col("Resumption_of_Care_Date"), F.col(jobs.DAY)).alias("READMISSION")
+    one = V.one_per_key(a.select("*", flag), [jobs.ID, "READMISSION"], [jobs.DAY, jobs.ROW])
+    areas = t.patient().select(F.col("beneficiary_id").alias(jobs.ID), "county_key", F.col("balance").alias("Balance"))
+    df = one.join(areas, jobs.ID).select(
+        jobs.ID, "READMISSION", "Facility_Internal_ID", jobs.DAY, S.age_years(F.col(jobs.DAY), F.col("Patient_Birth_Date")).alias("Age"),
+        S.decode(F.col("Gender"), C.GENDER).alias("Gender"), "county_key", "Balance", F.coalesce("Wound_Count", F.lit(0)).alias("Wound_Items"), *FLAGS,
+        F.when((F.col(jobs.ID) % 10 != 0) & (F.col(jobs.ROW) % 3 != 0), F.col(CODED[0])).alias(CODED[0]),
+        F.when(F.col(jobs.ROW) % 7 != 0, F.col(CODED[1])).alias(CODED[1]))
+    codes = t.long().select(F.col("beneficiary_id").alias(jobs.ID), "code")
+    scores = RK.comorbidity(codes, jobs.ID, "code", "charlson").select(jobs.ID, F.col("comorbidity_score").alias("score_charlson"))
+    whole = jobs.complete_patients(df, scores, FLAGS, CODED, "county_key")
+    keep = [jobs.ID, "READMISSION"]
+    out = jobs.encode_patients(whole, keep, labels=LABELS)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), r6(F.col(f"`{c}`"), "value")) for c in out.columns if c not in keep])
+    return out.select(*keep, F.inline(cells)).filter("value <> 0")
+
+
+@query("job_13_text")
+def job_13_text(t):
+    """Encoding and reduction of a table as it stands, text columns only."""
     p = t.patient()
     df = p.select("beneficiary_id", "zip", "segment", "balance", (F.col("balance") * 3.0).alias("balance_copy"), "gender_code", F.col("county_key").cast("string").alias("county"))
     return jobs.encode_patients(df, ["beneficiary_id"], limit=10)

@@ -41,3 +41,17 @@ def test_smallest_tables_entry(spark):
 
     df = entry.entry(spark)
     assert df.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name,labels", [("imp_02", ("segment", "gender_code")), ("imp_03", ("county_key", "grp")), ("jn_11", ("county_key", "segment"))])
+def test_no_row_is_shuffled_by_its_label(spark, name, labels):
+    """Also with broadcasts off by default: group values are counted and sent, rows stay where they are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES[name](spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in text
+    for label in labels:
+        assert f"hashpartitioning({label}#" not in text

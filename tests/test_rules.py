@@ -15,10 +15,14 @@ from carefold.operators import diagnosis as D
 from carefold.operators import disparity as DS
 from carefold.operators import encoding as E
 from carefold.operators import feature_selection as FS
+from carefold.operators import joins as J
 from carefold.operators import metrics as M
+from carefold.operators import models as ML
 from carefold.operators import profile as PR
 from carefold.operators import risk as RK
+from carefold.operators import tuning as TU
 from carefold.operators import visits as V
+from carefold.plans import jobs
 
 
 def one(df, col):
@@ -121,6 +125,60 @@ def test_race_fill(spark):
     assert {r["id"]: r["r0"] for r in E.impute_race(df, ["r0", "r1"], "county", "grp", "g", any_gap=True).collect()}[5] == 1.0
 
 
+def test_group_values_reach_every_row_on_both_ways(spark):
+    """Sent to all executors or dealt over salted copies: the same rows, null keys and keys without a group included."""
+    rows = [(i, "hot" if i % 3 else "cold", i % 2) for i in range(300)] + [(1000, None, 1), (1001, "lost", 0), (1001, "lost", 0)]
+    df = spark.createDataFrame(rows, "id int, g string, _salt int")
+    groups = spark.createDataFrame([("hot", 1.0), ("cold", 2.0)], "g string, v double")
+    want = sorted((i, g, s, {"hot": 1.0, "cold": 2.0}.get(g)) for i, g, s in rows)
+    for limit in (0, 1, 2, 100):
+        got = J.attach_groups(df, groups, ["g"], limit=limit).select("id", "g", "_salt", "v").collect()
+        assert sorted(map(tuple, got), key=lambda r: (r[0], r[1] or "")) == sorted(want, key=lambda r: (r[0], r[1] or ""))
+    assert J.attach_groups(df.limit(0), groups, ["g"]).count() == 0
+    assert {r["v"] for r in J.attach_groups(df, groups.limit(0), ["g"]).collect()} == {None}
+
+
+def test_codebooks_of_many_columns_in_one_pass(spark):
+    """Text and numbers, nulls, a column without values, one value on most rows: bits and positions as counted by hand."""
+    rows = [(i, "hot" if i % 3 else f"v{i:03d}", None if i % 5 == 0 else "ab"[i % 2], i % 12, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, `a.b` string, c string, m int, e string").withColumnRenamed("a.b", "a")
+    place = {k: {v: n for n, v in enumerate(sorted({r[j] for r in rows if r[j] is not None}), 1)} for k, j in [("a", 1), ("c", 2), ("m", 3), ("e", 4)]}
+    got = {r["id"]: r for r in E.label_encode(df, ["a", "c", "e"]).collect()}
+    bits = {r["id"]: r for r in E.binary_encode(df, ["a", "m", "e"]).collect()}
+    for i, a, c, m, _ in rows:
+        assert (got[i]["a"], got[i]["c"], got[i]["m"], got[i]["e"]) == (place["a"][a] - 1, None if c is None else place["c"][c] - 1, m, None)
+        for name, value in (("a", a), ("m", m)):
+            width = len(place[name]).bit_length()
+            assert [bits[i][f"{name}_{b}"] for b in range(width)] == [int(x) for x in f"{place[name][value]:0{width}b}"]
+        assert bits[i]["e_0"] == 0 and bits[i]["c"] == c
+    assert E.label_encode(df.limit(0), ["a", "c"]).count() == 0
+
+
+def test_patient_gaps_are_filled_before_rows_are_dropped(spark):
+    """Scores are merged, flags come from county and age group, codes from patient, group, default; flags without a prior stay."""
+    day = dt.date(2020, 3, 4)
+    rows = [(1, day, 40, "F", "c", 1.0, 0.0, "x"), (1, day, 40, "F", "c", 1.0, 0.0, None), (2, day, 41, "F", "c", None, None, None), (3, day, 70, "M", "d", None, None, None),
+            (4, day, 42, "F", "c", 0.0, None, "x"), (9, day, 40, "F", "c", 0.0, 1.0, "y")]
+    df = spark.createDataFrame(rows, "Beneficiary_ID int, Assessment_Effective_Date date, Age int, Gender string, county string, r0 double, r1 double, code string")
+    scores = spark.createDataFrame([(i, i * 10) for i in (1, 2, 3, 4)], "Beneficiary_ID int, score int")
+    out = jobs.complete_patients(df, scores, ["r0", "r1"], ["code"], "county")
+    got = {(r["Beneficiary_ID"], r["r0"], r["r1"], r["code"], r["score"], r["Assessment_Effective_Year"], r["Assessment_Effective_Month"]) for r in out.collect()}
+    assert got == {(1, 1, 0, "x", 10, 2020, 3), (2, 1, 0, "x", 20, 2020, 3), (3, None, None, "UNKNOWN", 30, 2020, 3), (4, 1, 0, "x", 40, 2020, 3)}
+    assert out.count() == 5 and "Assessment_Effective_Date" not in out.columns
+    assert jobs.complete_patients(df.limit(0), scores, ["r0", "r1"], ["code"], "county").count() == 0
+
+
+def test_share_of_columns_is_drawn(spark):
+    """Every described space draws the share of columns, and a search trains with it."""
+    for space in (TU.RANDOM_SPACE, TU.RANGE_SPACE, TU.CHOICE_SPACE):
+        maps = TU.draws(ML.gbt("y"), space, 20)
+        shares = {float(v) for m in maps for p, v in m.items() if p.name == "featureSubsetStrategy"}
+        assert len(maps) == 20 and len(shares) > 1 and min(shares) >= 0.4 and max(shares) <= 1.0
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), i % 2) for i in range(200)], "a double, b double, y int")
+    model = TU.random_search(df, ["a", "b"], "y", ML.gbt("y"), {"n_estimators": [2], "colsample": (0.4, 0.6, "float")}, n=1, folds=2)
+    assert 0.4 <= float(model.bestModel.getOrDefault("featureSubsetStrategy")) <= 0.6
+
+
 def test_constant_and_empty_columns(spark):
     rows = [(1.0, 5.0, None, 1, float(i), i % 2) for i in range(100)] + [(2.0, 5.0, None, None, 200.0, 1)]
     df = spark.createDataFrame(rows, "almost double, const double, empty double, flag int, ok double, target int")
