@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from carefold.operators import ordered
+from carefold.operators.joins import attach_groups
 
 
 def last_date(df: DataFrame, key: str, date: str) -> DataFrame:
@@ -139,7 +140,8 @@ def histogram(df: DataFrame, col: str, by: str, bins: int = 50) -> DataFrame:
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     raw = F.floor(F.try_divide(F.col(col) - F.col("_lo"), width))
     bin_no = F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
-    return (values.join(edges, by).withColumn("bin", bin_no).withColumn("_width", width)
+    ranged = attach_groups(values, edges.filter(F.col(by).isNotNull()), [by]).filter(F.col("_total").isNotNull())
+    return (ranged.withColumn("bin", bin_no).withColumn("_width", width)
             .groupBy(by, "bin").agg(F.sum("_n").alias("n"), F.min("_total").alias("_t"), F.min("_width").alias("_w"))
             .select(by, "bin", "n", F.try_divide(F.col("n"), F.col("_t") * F.col("_w")).alias("density")))
 

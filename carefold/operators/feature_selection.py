@@ -62,6 +62,10 @@ def variance_threshold(df: DataFrame, cols: list[str], t: float = 0.1) -> DataFr
     return df.agg(rows.alias("r")).select(F.inline("r")).filter(F.col("score") > t)
 
 
+#: Scores that agree to so many places are a tie, which goes to the first column: sums depend on the order of the rows in the last digits.
+TIE_PLACES = 10
+
+
 # -- model based --------------------------------------------------------------------------------
 def _ranking(df: DataFrame, method: str, kind: str, pairs: list[tuple[str, float]]) -> DataFrame:
     rows = [(method, kind, f, float(s) if s is not None else None) for f, s in pairs]
@@ -117,7 +121,10 @@ def permutation_importance_rf(train: DataFrame, test: DataFrame, cols: list[str]
 
 def permutation_importance_ridge(train: DataFrame, test: DataFrame, cols: list[str], target: str, key: str, alpha: float = 1.0,
                                  repeats: int = 10, seed: int = 1) -> DataFrame:
-    model = LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=0.0, regParam=alpha / max(1, train.count()),
+    """The penalty is ``alpha`` times the squared coefficients next to the plain sum of squared errors. The solver divides its own
+    by the rows and by the target's deviation, which is undone here."""
+    row = train.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("s")).first()
+    model = LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=0.0, regParam=alpha * (row["s"] or 1.0) / max(1, row["n"]),
                              standardization=False).fit(training_table(train, cols))
     return permutation_importance(model, test, cols, target, key, repeats, seed)
 
@@ -202,7 +209,7 @@ def sfs_ridge(df: DataFrame, cols: list[str], target: str, fold: str, keep: int
             idx = [*picked, c]
             return float(np.mean([r2_from_gram(g, idx, *ridge_from_gram(total - g, idx, alpha)) for g in folds.values()]))
         tried = {c: value(c) for c in range(len(cols)) if c not in picked}
-        best = max(tried, key=tried.get)
+        best = max(tried, key=lambda c: round(tried[c], TIE_PLACES))
         picked.append(best)
         scores.append(tried[best])
     return _ranking(df, "SFS (Ridge)", "R2", [(cols[c], s) for c, s in zip(picked, scores)])
@@ -228,7 +235,7 @@ def sfs_knn(df: DataFrame, cols: list[str], target: str, key: str, fold: str, fo
         guess = near.join(truth.withColumnRenamed("_key", "train_id"), "train_id").groupBy("query_id", "cand", "f").agg(F.avg("_y").alias("_g"))
         error = guess.join(truth.withColumnRenamed("_key", "query_id"), "query_id").groupBy("cand", "f").agg(
             (1 - F.try_divide(F.sum((F.col("_y") - F.col("_g")) ** 2), F.var_pop("_y") * F.count("_y"))).alias("r2"))
-        best = error.groupBy("cand").agg(F.avg("r2").alias("r2")).orderBy(F.col("r2").desc_nulls_last(), "cand").first()
+        best = error.groupBy("cand").agg(F.avg("r2").alias("r2")).orderBy(F.round("r2", TIE_PLACES).desc_nulls_last(), "cand").first()
         picked.append(trial[best["cand"]])
         scores.append(best["r2"])
     return _ranking(df, "SFS (KNN)", "R2", list(zip(picked, scores)))

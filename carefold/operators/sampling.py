@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from carefold.functions.scalars import hash_bucket
 from carefold.operators import ordered
+from carefold.operators.joins import attach_groups
 from carefold.operators.neighbours import nearest
 from carefold.session import cut_lineage
 
@@ -55,7 +56,7 @@ def stratified_split(df: DataFrame, label: str, key: str, parts: tuple[float, ..
     hashed = df.withColumn("_h", hash_bucket(F.col(key), salt=_salt(seed)))
     ranked = ordered.numbered(hashed, "_h", key, "_rn", [label])
     sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
-    joined = ranked.join(sizes, label)
+    joined = attach_groups(ranked, sizes.filter(F.col(label).isNotNull()), [label]).filter(F.col("_size").isNotNull())
     upto, chain = 0.0, None
     for i, share in enumerate(parts[:-1]):
         upto += share
@@ -88,8 +89,8 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     sizes = class_sizes(df, label)
     target = sizes.agg(F.max("_size")).scalar()
     hashed = df.withColumn("_h", hash_bucket(F.col(key), salt=_salt(seed)))
-    ranked = ordered.numbered(hashed, "_h", key, "_rn", [label]).join(
-        sizes.withColumn("_target", target), label)
+    ranked = ordered.numbered(hashed, "_h", key, "_rn", [label])
+    ranked = attach_groups(ranked, sizes.withColumn("_target", target), [label]).filter(F.col("_size").isNotNull())
     extra = (F.col("_rn") <= F.pmod(F.col("_target"), F.col("_size"))).cast("int")
     copies = F.floor(F.col("_target") / F.col("_size")).cast("int") + extra
     return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(*df.columns, "copy")
@@ -112,7 +113,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    return df.join(class_weights(df, label).select(label, F.col("weight").alias(name)), label)
+    """The weight of its class on every row; rows without a label go."""
+    weights = class_weights(df, label).select(label, F.col("weight").alias(name))
+    return attach_groups(df.filter(F.col(label).isNotNull()), weights, [label])
 
 
 def pos_weight(df: DataFrame, label: str) -> DataFrame:

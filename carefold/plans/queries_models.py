@@ -12,6 +12,7 @@ from carefold.operators import neighbours as NN
 from carefold.operators import reshape as RS
 from carefold.operators import sampling as SM
 from carefold.operators import tuning as TU
+from carefold.plans import linear_sql as LS
 from carefold.plans.domain import md5_sql, q6, r6
 from carefold.plans.queries_domain import ap_sql, auc_sql
 from carefold.plans.registry import query
@@ -22,6 +23,17 @@ COLS = ["f_quantity", "f_price", "f_discount", "f_tax", "f_line", "f_signal", "A
 SMALL = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3}
 
 
+#: (row_key, fold) as ``assign_folds`` deals them, and the parts of an 80 / 20 split.
+FOLDED = f"folded AS (SELECT * EXCLUDE (rn), (rn - 1) % 5 AS fold FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {md5_sql('row_key')}, row_key) AS rn FROM matrix))"
+PARTS = f"parts_80 AS (SELECT *, {md5_sql('row_key')} < 0.8 * 4294967296 AS first FROM matrix), train AS (SELECT * FROM parts_80 WHERE first), test AS (SELECT * FROM parts_80 WHERE NOT first)"
+NUMBER = md5_sql("{}")
+
+
+def _scores(ranking, places=8):
+    """A ranking with its scores to so many places: sums are taken in another order elsewhere."""
+    return ranking.withColumn("score", F.round("score", places) + F.lit(0.0))
+
+
 def _parts(t, shares=(0.8, 0.1, 0.1)):
     m = SM.split(t.matrix(), "row_key", shares)
     return [SM.take(m, "split", i) for i in range(len(shares))]
@@ -73,10 +85,13 @@ def fs_09(t):
     return FS.permutation_importance_rf(train, test, COLS, "target", "row_key")
 
 
-@query("fs_10")
+PERMUTED = f", {PARTS}, {LS.permutation('train', 'test', COLS, 'target', 'row_key', NUMBER)}"
+
+
+@query("fs_10", PERMUTED, "matrix")
 def fs_10(t):
     train, test = _parts(t, (0.8, 0.2))
-    return FS.permutation_importance_ridge(train, test, COLS, "target", "row_key")
+    return _scores(FS.permutation_importance_ridge(train, test, COLS, "target", "row_key"))
 
 
 @query("fs_11")
@@ -84,14 +99,14 @@ def fs_11(t):
     return FS.rfe_rf(t.matrix(), COLS, "target", keep=5)
 
 
-@query("fs_12")
+@query("fs_12", f", rfe AS (WITH {LS.elimination('matrix', COLS, 'target', 5)}) SELECT 'RFE (Ridge)' AS method, 'Coefficient' AS score_type, * FROM rfe", "matrix")
 def fs_12(t):
-    return FS.rfe_ridge(t.matrix(), COLS, "target", keep=5)
+    return _scores(FS.rfe_ridge(t.matrix(), COLS, "target", keep=5))
 
 
-@query("fs_13")
+@query("fs_13", f", {FOLDED}, sfs AS (WITH {LS.forward('folded', COLS, 'target', 'fold', 5)}) SELECT 'SFS (Ridge)' AS method, 'R2' AS score_type, * FROM sfs", "matrix")
 def fs_13(t):
-    return FS.sfs_ridge(SM.assign_folds(t.matrix(), "target", "row_key"), COLS, "target", "fold")
+    return _scores(FS.sfs_ridge(SM.assign_folds(t.matrix(), "target", "row_key"), COLS, "target", "fold"))
 
 
 def _labelled(t):
@@ -100,10 +115,28 @@ def _labelled(t):
     return t("labels").join(d, "doc_id").select("doc_id", "quality", F.col("toxic").cast("double").alias("toxic"), "chars", "source_len")
 
 
-@query("fs_14")
+def _knn_forward(cols: list[str], keep: int, k: int = 5) -> str:
+    """Forward selection over (doc_id, quality, fold) rows: distances to all rows of the other folds."""
+    ctes = ["p0 AS (SELECT CAST([] AS BIGINT[]) AS picked, CAST(NULL AS DOUBLE) AS score)",
+            f"r AS (SELECT doc_id, quality, fold, [{', '.join(cols)}] AS x FROM rows_14)"]
+    for s in range(keep):
+        tried = f"(SELECT c, list_append(picked, c) AS idx FROM p{s}, unnest(range(1, {len(cols) + 1})) AS u(c) WHERE NOT list_contains(picked, c))"
+        dist = "sqrt(list_sum(list_transform(idx, lambda i: (q.x[i] - t.x[i]) ** 2)))"
+        ctes.append(f"n{s} AS (SELECT * FROM (SELECT c, idx, q.fold, q.doc_id, any_value(q.quality) OVER (PARTITION BY c, q.doc_id) AS y, t.quality AS near, row_number() OVER (PARTITION BY c, q.doc_id ORDER BY {dist}, t.doc_id) AS rn "
+                    f"FROM {tried} CROSS JOIN r q JOIN r t ON q.fold <> t.fold) WHERE rn <= {k})")
+        ctes.append(f"p{s + 1} AS (SELECT idx AS picked, avg(r2) AS score FROM (SELECT c, idx, fold, 1 - sum((y - guess) ** 2) / nullif(var_pop(y) * count(*), 0) AS r2 FROM (SELECT c, idx, fold, doc_id, any_value(y)::DOUBLE AS y, avg(near) AS guess FROM n{s} GROUP BY ALL) GROUP BY 1, 2, 3) GROUP BY c, idx ORDER BY round(score, 10) DESC NULLS LAST, c LIMIT 1)")
+    rows = " UNION ALL ".join(f"SELECT [{', '.join(repr(c) for c in cols)}][picked[{s}]] AS feature, round(score, 8) AS score FROM p{s}" for s in range(1, keep + 1))
+    return ", ".join(ctes) + " " + rows
+
+
+ROWS_14 = f"""rows_14 AS (SELECT * EXCLUDE (rn), (rn - 1) % 5 AS fold FROM (SELECT l.doc_id, l.quality, l.toxic::DOUBLE AS toxic, d.n_chars::DOUBLE AS chars, length(d.source)::DOUBLE AS source_len,
+    row_number() OVER (PARTITION BY l.quality ORDER BY {md5_sql('l.doc_id')}, l.doc_id) AS rn FROM labels l JOIN documents d ON l.doc_id = d.doc_id))"""
+
+
+@query("fs_14", f"WITH {ROWS_14}, sfs AS (WITH {_knn_forward(['toxic', 'chars', 'source_len'], 2)}) SELECT 'SFS (KNN)' AS method, 'R2' AS score_type, * FROM sfs")
 def fs_14(t):
     df = SM.assign_folds(_labelled(t), "quality", "doc_id")
-    return FS.sfs_knn(df, ["toxic", "chars", "source_len"], "quality", "doc_id", "fold", keep=2)
+    return _scores(FS.sfs_knn(df, ["toxic", "chars", "source_len"], "quality", "doc_id", "fold", keep=2))
 
 
 @query("fs_16")
@@ -238,7 +271,7 @@ def tun_06(t):
     return ML.refit_and_score(lambda d: _gbt(d, COLS), train, val, test, COLS, "target")
 
 
-@query("met_10")
+@query("met_10", f", {PARTS}, ranked AS (WITH {LS.permutation('train', 'test', COLS, 'target', 'row_key', NUMBER)} ORDER BY abs(score) DESC, feature LIMIT 3) SELECT * FROM ranked", "matrix")
 def met_10(t):
     train, test = _parts(t, (0.8, 0.2))
-    return FS.rank_attribution(FS.permutation_importance_ridge(train, test, COLS, "target", "row_key"), 3)
+    return _scores(FS.rank_attribution(FS.permutation_importance_ridge(train, test, COLS, "target", "row_key"), 3))

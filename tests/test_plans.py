@@ -1,5 +1,7 @@
 """Plans: no product joins, no Python in native operators, filters and columns reach the scan."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,15 @@ def test_no_row_is_shuffled_by_its_label(spark, name, labels):
     assert "BroadcastHashJoin" in text
     for label in labels:
         assert f"hashpartitioning({label}#" not in text
+
+
+@pytest.mark.parametrize("name,label", [("spl_01", "o_orderstatus"), ("spl_02", "o_orderstatus"), ("bal_02", "o_orderstatus"), ("ag_28", "status"), ("jn_11", "segment")])
+def test_no_join_by_label_alone(spark, name, label):
+    """Sizes and edges of a class reach its rows without a join that brings the class together."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES[name](spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(rf"(SortMergeJoin|ShuffledHashJoin) \[{label}#\d+\]", text)

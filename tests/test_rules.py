@@ -1,7 +1,9 @@
 """Behaviour on small frames with awkward values."""
 
 import datetime as dt
+import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from carefold.functions import codes as K
@@ -168,6 +170,31 @@ def test_patient_gaps_are_filled_before_rows_are_dropped(spark):
     assert jobs.complete_patients(df.limit(0), scores, ["r0", "r1"], ["code"], "county").count() == 0
 
 
+def test_ridge_penalty_stands_next_to_the_plain_squared_error(spark):
+    """Permutation importance of a small, strongly penalised table equals the one computed by hand from the normal equations."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2)) * [0.3, 2.0]
+    y = 3 * x[:, 0] - x[:, 1] + 10 + rng.normal(size=60)
+    df = spark.createDataFrame([(f"k{i:03d}", float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y))], "k string, a double, b double, y double")
+    got = {r["feature"]: r["score"] for r in FS.permutation_importance_ridge(df, df, ["a", "b"], "y", "k", alpha=20.0, repeats=3).collect()}
+    xc = x - x.mean(0)
+    w = np.linalg.solve(xc.T @ xc + 20.0 * np.eye(2), xc.T @ (y - y.mean()))
+    guess = xc @ w + y.mean()
+    place = lambda mark: [int(k[1:]) for k in sorted((f"k{i:03d}" for i in range(60)), key=lambda k: (int(hashlib.md5((k + mark).encode()).hexdigest()[:8], 16), k))]
+    first = place("")
+    for j, name in enumerate("ab"):
+        lost = [sum((guess[i] + w[j] * (x[o, j] - x[i, j]) - y[i]) ** 2 for i, o in zip(first, place(f"#p1.{r}"))) for r in range(3)]
+        assert abs(got[name] - (np.mean(lost) - ((guess - y) ** 2).sum()) / ((y - y.mean()) ** 2).sum()) < 1e-9
+
+
+def test_forward_selection_gives_ties_to_the_first_column(spark):
+    """A column and its copy reach the same score; the first one is taken whatever the order of the rows."""
+    rows = [(i, float(i % 7), float(i % 7), float(i % 3), float(i % 7) * 2 + i % 3, i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, a double, copy double, c double, y double, fold int")
+    for parts in (1, 5):
+        assert [r["feature"] for r in FS.sfs_ridge(df.repartition(parts), ["a", "copy", "c"], "y", "fold", keep=2).collect()] == ["a", "c"]
+
+
 def test_share_of_columns_is_drawn(spark):
     """Every described space draws the share of columns, and a search trains with it."""
     for space in (TU.RANDOM_SPACE, TU.RANGE_SPACE, TU.CHOICE_SPACE):
