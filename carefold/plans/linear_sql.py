@@ -61,6 +61,20 @@ def forward(source: str, cols: list[str], target: str, fold: str, keep: int) ->
     return ", ".join(ctes) + " " + rows
 
 
+def lasso(source: str, cols: list[str], target: str, alpha: float = 0.01, sweeps: int = 400) -> str:
+    """(feature, coefficient) of an L1 fit: the coordinates in turn, a fixed number of sweeps."""
+    p = len(cols)
+    y, n = p + 1, p + 2
+    cov = lambda i, j: f"(g[{i}][{j}] - g[{i}][{n}] * g[{j}][{n}] / g[{n}][{n}]) / g[{n}][{n}]"
+    j = "CAST(s[1] AS INT)"
+    pull = f"q[{j}][{y}] - list_sum(list_transform(w, lambda v, i: CASE WHEN i = {j} THEN 0.0::DOUBLE ELSE v * q[{j}][i] END))"
+    step = f"lambda w, s: list_transform(w, lambda o, k: CASE WHEN k <> {j} THEN o ELSE sign({pull}) * greatest(abs({pull}) - {alpha}::DOUBLE, 0.0::DOUBLE) / q[k][k] END)"
+    turns = f"list_transform(range({sweeps * p}), lambda k: [CAST(k % {p} + 1 AS DOUBLE)])"
+    return (f"q AS (SELECT list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 2}), lambda j: {cov('i', 'j')})) AS q FROM ({moments(source, cols, target)})), "
+            f"fitted AS (SELECT list_reduce(list_concat([list_transform(range({p}), lambda k: 0.0::DOUBLE)], {turns}), {step}) AS w FROM q) "
+            f"SELECT {_names(cols)}[f] AS feature, round(w[f], 8) + 0.0::DOUBLE AS score FROM fitted, unnest(range(1, {p + 1})) AS u(f) WHERE w[f] <> 0")
+
+
 def permutation(train: str, test: str, cols: list[str], target: str, key: str, number: str, repeats: int = 10, seed: int = 1) -> str:
     """(feature, mean loss of R2 on ``test`` when a column takes another row's values) for a ridge fit on ``train``.
 

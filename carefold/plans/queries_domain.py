@@ -359,7 +359,8 @@ RISK_TABLE = f"""SELECT s.weight, s.beneficiary_id, s.comorbidity_score, h.hfrs,
 
 @query("rsk_08", RISK_TABLE, "long charlson_codes elix_codes hfrs_points disab_codes")
 def rsk_08(t):
-    return RK.risk_table(*_risk_parts(t), "beneficiary_id")
+    rows = RK.risk_rows(_scored_codes(t), "beneficiary_id", "code", UNIT_WEIGHTS, second_label="Unit weights")
+    return rows.select("weight", "beneficiary_id", "comorbidity_score", "hfrs", *R.DISABILITY_CODES)
 
 
 RISK_ROWS = f"r AS (SELECT h.hfrs, d.* FROM ({HFRS.format(src='long')}) h JOIN ({DISAB}) d USING (beneficiary_id))"

@@ -64,9 +64,9 @@ def snk_08(t):
 
 
 # -- model-based selection ------------------------------------------------------------------------
-@query("fs_06")
+@query("fs_06", f", l1 AS (WITH {LS.lasso('matrix', COLS, 'target')}) SELECT 'Lasso' AS method, 'Coefficient' AS score_type, * FROM l1", "matrix")
 def fs_06(t):
-    return FS.lasso(t.matrix(), COLS, "target")
+    return _scores(FS.lasso(t.matrix(), COLS, "target"))
 
 
 @query("fs_07")

@@ -69,3 +69,15 @@ def test_no_join_by_label_alone(spark, name, label):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not re.search(rf"(SortMergeJoin|ShuffledHashJoin) \[{label}#\d+\]", text)
+
+
+@pytest.mark.parametrize("name,most", [("rsk_08", 3), ("rsk_03", 3), ("rsk_07", 4)])
+def test_risk_scores_take_one_aggregate(spark, name, most):
+    """Codes meet their orders, then patients: no exchange per scheme, no repeated rows, no sort-based aggregate."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES[name](spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("Exchange hashpartitioning") <= most and "SortAggregate" not in text and "explode" not in text

@@ -127,6 +127,49 @@ def test_race_fill(spark):
     assert {r["id"]: r["r0"] for r in E.impute_race(df, ["r0", "r1"], "county", "grp", "g", any_gap=True).collect()}[5] == 1.0
 
 
+def test_one_risk_aggregate_equals_the_joined_tables(spark):
+    """All schemes from a patient's bits: the same table as separate aggregates, stacked and joined, with null and repeated codes,
+    ages on both sides of the limit, patients without conditions."""
+    codes = [p for text in [*R.CHARLSON_CODES.values(), *R.ELIXHAUSER_CODES.values(), *R.DISABILITY_CODES.values()] for p in K.expand_codes(text)] + list(R.HFRS_POINTS) + ["Q00", None, "", "i1", "E1"]
+    rows = [(i % 37, 60 + i % 37, c if not c or i % 3 else f"{c[:3]}.{c[3:]}9".lower() if i % 2 else c) for i, c in enumerate(codes * 2)] + [(100, None, "I50.9"), (101, 90, None)]
+    df = spark.createDataFrame(rows, "id int, age int, code string")
+    weights = {c: i % 5 for i, c in enumerate(R.ELIXHAUSER_CODES)}
+    schemes, disability = RK.all_schemes(df, "id", "code", weights, "age")
+    want = RK.risk_table(schemes, RK.hfrs(df, "id", "code", 75, "age"), disability, "id")
+    got = RK.risk_rows(df, "id", "code", weights, "age", 75)
+    assert sorted(want.columns) == sorted(got.columns)
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, want.select(cols).collect())) == sorted(map(tuple, got.select(cols).collect()))
+    assert RK.risk_rows(df.limit(0), "id", "code", weights, "age", 75).count() == 0
+
+
+def test_conditions_as_bits_equal_prefixes_by_hand(spark):
+    rng = np.random.default_rng(3)
+    known = [p for text in R.ELIXHAUSER_CODES.values() for p in K.expand_codes(text)]
+    rows = [(int(rng.integers(50)), str(rng.choice(known)) + str(rng.integers(10))) for _ in range(400)] + [(99, None), (98, "I5")]
+    got = {r["id"]: r for r in RK.elixhauser(spark.createDataFrame(rows, "id int, code string"), "id", "code", assign0=False).collect()}
+    for id in {i for i, _ in rows}:
+        mine = [c for i, c in rows if i == id and c]
+        for name, text in R.ELIXHAUSER_CODES.items():
+            assert got[id][name] == int(any(c[:n] in K.expand_codes(text) for c in mine for n in (3, 4)))
+
+
+def test_lasso_meets_its_conditions(spark):
+    """At the minimum the pull of every column is alpha in the coefficient's direction, or below it at zero."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    x[:, 3] = x[:, 0] + 0.01 * rng.normal(size=300)
+    y = 2 * x[:, 0] - 0.5 * x[:, 1] + 7 + 0.1 * rng.normal(size=300)
+    df = spark.createDataFrame([(*map(float, r), 5.0, float(v)) for r, v in zip(x, y)], "a double, b double, c double, d double, e double, y double")
+    w = {r["feature"]: r["score"] for r in FS.lasso(df, ["a", "b", "c", "d", "e"], "y", 0.05).collect()}
+    assert set(w) <= {"a", "b", "c", "d"} and "b" in w
+    xc, yc = x - x.mean(0), y - y.mean()
+    pull = xc.T @ (yc - xc @ np.array([w.get(c, 0.0) for c in "abcd"])) / 300
+    for c, p in zip("abcd", pull):
+        assert abs(p - 0.05 * np.sign(w[c])) < 1e-9 if c in w else abs(p) <= 0.05 + 1e-9
+    assert FS.lasso(df.limit(0), ["a", "b"], "y").count() == 0
+
+
 def test_group_values_reach_every_row_on_both_ways(spark):
     """Sent to all executors or dealt over salted copies: the same rows, null keys and keys without a group included."""
     rows = [(i, "hot" if i % 3 else "cold", i % 2) for i in range(300)] + [(1000, None, 1), (1001, "lost", 0), (1001, "lost", 0)]
