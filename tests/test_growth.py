@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from carefold.operators import feature_selection as FS
 from carefold.operators import models as ML
+from carefold.operators import tuning as TU
 from carefold.session import small_splits
 
 
@@ -27,7 +28,7 @@ def test_parcels_keep_every_row(table):
     cells = ML.binned(df.select("a", "b", "c", "y"), ["a", "b", "c"], edges)
     twice = cells.unionByName(cells).unionByName(cells)
     for largest in (None, 2):
-        got = ML.parcels(twice, ["a", "b", "c"], "y", largest).toPandas()
+        got = ML.parcels(twice, ["a", "b", "c", "y"], largest).toPandas()
         assert got["weight"].sum() == 3 * len(pdf) and got.query("y == 1")["weight"].sum() == 3 * pdf["y"].sum()
         assert len(got) < 3 * len(pdf) and (largest is None or got["weight"].max() <= largest)
 
@@ -69,3 +70,29 @@ def test_training_scans_take_small_parts(spark, table, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_searches_on_parcels_agree(table, monkeypatch):
+    """Trials on bins and weights: the same folds give the same measures to a small error, with class weights too."""
+    _, df = table
+    rows = df.withColumn("fold", (F.col("id") % 3).cast("int")).withColumn("w", F.when(F.col("y") == 1, 1.5).otherwise(0.5))
+    for weight in (None, "w"):
+        def trial():
+            est = ML.gbt("y", weight=weight, n_estimators=3, max_depth=3)
+            model = TU.random_search(rows, ["a", "b", "c"], "y", est, {"learning_rate": [0.1, 0.3], "min_child_samples": [1, 5]}, n=2, folds=3, fold_col="fold")
+            return model.avgMetrics, TU.search_table(rows, model).collect()
+        monkeypatch.setattr(ML, "DRAWN_ROWS", 2_000_000)
+        plain = trial()
+        monkeypatch.setattr(ML, "DRAWN_ROWS", 3000)
+        binned = trial()
+        assert np.allclose(plain[0], binned[0], atol=0.02)
+        assert [r["params"] for r in plain[1]] == [r["params"] for r in binned[1]]
+
+
+def test_search_rows_keep_the_weight_of_all(table, monkeypatch):
+    pdf, df = table
+    monkeypatch.setattr(ML, "DRAWN_ROWS", 1000)
+    out, count = TU.search_rows(df.withColumn("w", F.lit(2.0)), ["a", "c"], "y", folds=4, weight="w")
+    got = out.toPandas()
+    assert count == TU.ROWS and got[TU.ROWS].sum() == len(pdf) and got["w"].sum() == 2 * len(pdf)
+    assert set(got["fold"]) == {0, 1, 2, 3} and len(got) < len(pdf)
