@@ -298,3 +298,38 @@ def test_scratch_area_is_gone_after_a_job(spark):
             edges.write.parquet(f"{area}/kept")
             raise RuntimeError
     assert not os.path.exists(area.removeprefix("file:"))
+
+
+def test_copies_are_not_searched(spark):
+    """Forty copies of every point: searched pairs do not grow, and neighbours are still those of the rows."""
+    few = [(i, float(i % 17), float(i % 5)) for i in range(85)]
+    many = [(i + 1000 * c, x, y) for c in range(40) for i, x, y in few]
+    small, large = (spark.createDataFrame(r, "id long, a double, b double") for r in (few, many))
+    assert NN.pairs_searched(large, large, "id", ["a", "b"], 1) == NN.pairs_searched(small, small, "id", ["a", "b"], 1)
+    assert NN.pairs_searched(large, large, "id", ["a", "b"], 3) <= 3 * NN.pairs_searched(small, small, "id", ["a", "b"], 3)
+    query = large.filter("id % 97 = 0")
+    got = {}
+    for r in NN.nearest(large, query, "id", ["a", "b"], 3, exclude_self=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["train_id"])
+    points = {i: (x, y) for i, x, y in many}
+    assert got == _brute(points, {r["id"]: points[r["id"]] for r in query.collect()}, 3, own=True)
+
+
+def test_knn_forward_selection_of_copies(spark):
+    """Equal rows in all folds, ties by id, against the rule itself."""
+    rng = random.Random(11)
+    rows = [(i, float(rng.randint(0, 3)), float(rng.randint(0, 2)), rng.randint(0, 1), rng.randint(0, 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int, fold int")
+
+    def r2(col):
+        out = []
+        for f in range(5):
+            own, rest = [r for r in rows if r[4] == f], [r for r in rows if r[4] != f]
+            guess = [np.mean([t[3] for t in sorted(rest, key=lambda t: (abs(t[col] - q[col]), t[0]))[:5]]) for q in own]
+            y = np.array([q[3] for q in own], float)
+            out.append(1 - ((y - guess) ** 2).sum() / (y.var() * len(y)))
+        return float(np.mean(out))
+
+    got = FS.sfs_knn(df, ["a", "b"], "y", "id", "fold", keep=1).first()
+    want = {"a": r2(1), "b": r2(2)}
+    assert got["feature"] == max(want, key=want.get) and np.isclose(got["score"], max(want.values()))
