@@ -96,3 +96,16 @@ def test_search_rows_keep_the_weight_of_all(table, monkeypatch):
     got = out.toPandas()
     assert count == TU.ROWS and got[TU.ROWS].sum() == len(pdf) and got["w"].sum() == 2 * len(pdf)
     assert set(got["fold"]) == {0, 1, 2, 3} and len(got) < len(pdf)
+
+
+def test_scans_of_equal_rows_stay_small(spark, monkeypatch):
+    """Rows that a file packs into next to nothing are no more a task for that."""
+    monkeypatch.setattr(ML, "FILE_ROWS", 500, raising=False)
+    most = []
+    for n in (20_000, 100_000):
+        written = ML.training_table(spark.range(n).select((F.col("id") % 3).cast("double").alias("a"), F.lit(1).alias("y")), ["a"])
+        with ML.small_splits(spark):
+            sizes = written.select("y").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == n
+        most.append(max(sizes))
+    assert max(most) <= 4 * 500
