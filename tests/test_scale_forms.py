@@ -333,3 +333,15 @@ def test_knn_forward_selection_of_copies(spark):
     got = FS.sfs_knn(df, ["a", "b"], "y", "id", "fold", keep=1).first()
     want = {"a": r2(1), "b": r2(2)}
     assert got["feature"] == max(want, key=want.get) and np.isclose(got["score"], max(want.values()))
+
+
+def test_joins_of_hot_keys_are_spread(spark):
+    """No part makes most of the joined rows, and none is lost or made twice."""
+    from carefold.operators import joins as J
+    a = spark.range(900).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 9).alias("k"), F.col("id").alias("x"))
+    b = spark.range(300).select(F.when(F.col("id") < 250, 1).otherwise(F.col("id") % 9).alias("k"), F.col("id").alias("y"))
+    want = a.join(b, "k").count()
+    out = J.spread_join(a, b, ["k"], pairs=2000)
+    assert out.columns == ["k", "x", "y"] and out.exceptAll(a.join(b, "k")).isEmpty() and out.count() == want
+    most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < want / 8
