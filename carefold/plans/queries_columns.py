@@ -11,7 +11,7 @@ from carefold.operators import aggregates as AG
 from carefold.operators import columns as P
 from carefold.plans.domain import CODES, q6, r6
 from carefold.plans.registry import query
-from carefold.session import scratch_path
+from carefold.session import dealt, scratch_path
 from carefold.sources import readers, sinks
 
 ORDERS_CSV = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double"
@@ -91,7 +91,7 @@ def snk_01(t):
 def _section_flags(t):
     """Per assessment one flag column per chapter."""
     from carefold.operators.diagnosis import chapter_counts
-    return chapter_counts(t.wide(), "assessment_id", CODES)
+    return chapter_counts(dealt(t.wide(), t("lineitem").count(), "assessment_id"), "assessment_id", CODES)
 
 
 SECTION_SQL = """SELECT section, count(*) AS num_rows FROM (SELECT DISTINCT w.assessment_id, c.code_range AS section

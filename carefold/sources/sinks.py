@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.util import MLWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from carefold.functions import constants as C
 
 
+@contextmanager
+def open_files(spark: SparkSession, n: int) -> Iterator[None]:
+    """Partitioned writes that start inside the block keep up to ``n`` files open in a task instead of sorting its rows."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(n, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """``single`` writes one part file, for results that are small by construction."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
@@ -53,8 +68,10 @@ def section_rows(df: DataFrame, sections: list[str] | None = None) -> DataFrame:
 
 def split_by_section(df: DataFrame, path: str, sections: list[str] | None = None) -> None:
     """One folder per chapter in a single pass; empty chapters get no folder. Writing by partition
-    needs no shuffle, so a chapter that holds most of the rows stays spread over the writers."""
-    section_rows(df, sections).write.mode("overwrite").partitionBy("section").option("header", True).csv(path)
+    needs no shuffle, so a chapter that holds most of the rows stays spread over the writers. A task keeps a file of every
+    chapter open, so its rows need not be sorted by chapter, which would hold them all in memory."""
+    with open_files(df.sparkSession, len(sections or C.ICD_CHAPTERS)):
+        section_rows(df, sections).write.mode("overwrite").partitionBy("section").option("header", True).csv(path)
 
 
 def section_counts(df: DataFrame, sections: list[str] | None = None) -> DataFrame:

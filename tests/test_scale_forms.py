@@ -345,3 +345,18 @@ def test_joins_of_hot_keys_are_spread(spark):
     assert out.columns == ["k", "x", "y"] and out.exceptAll(a.join(b, "k")).isEmpty() and out.count() == want
     most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < want / 8
+
+
+def test_chapters_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    from carefold import session
+    from carefold.sources import sinks
+    flags = spark.range(200).select(F.col("id"), (F.col("id") % 2).alias("one"), (F.col("id") % 3).alias("two"))
+    seen = []
+    write = sinks.section_rows
+    monkeypatch.setattr(sinks, "section_rows", lambda *x: seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) or write(*x))
+    sinks.split_by_section(flags, str(tmp_path / "out"), ["one", "two"])
+    assert seen == ["2"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    got = {r["section"]: r["n"] for r in spark.read.option("header", True).csv(str(tmp_path / "out")).groupBy("section").agg(F.count("*").alias("n")).collect()}
+    assert got == {"one": 100, "two": 133}
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    assert session.dealt(flags, 200, "id").rdd.getNumPartitions() == 20 and session.dealt(flags, 50, "id") is flags
