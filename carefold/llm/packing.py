@@ -40,15 +40,16 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_file: str, end
     ids_type = pa.list_(pa.int32())
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(shared).encode, int(end_id).to_bytes(4, "little")
+        own, last = encoder(shared), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                own = encode(texts[i].as_py() or "") + last
-                total = len(own) // 4
+            held, begins = own.encode_all(batch.column(1))
+            begins = begins.tolist()
+            for i, (begin, end) in enumerate(zip(begins, begins[1:])):
+                total = (end - begin) // 4 + 1
                 for start in range(0, total, capacity):
-                    part = own[4 * start:4 * (start + capacity)]
+                    part = bytes(held[begin + 4 * start:min(end, begin + 4 * (start + capacity))])
+                    part += last if start + capacity >= total else b""
                     rows.append(i), starts.append(start), lengths.append(len(part) // 4), totals.append(total)
                     crcs.append(zlib.crc32(part))
                     if with_ids:

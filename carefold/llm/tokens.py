@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import re
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Words a worker remembers; a full memo is emptied, which costs time only.
 MEMO = 300_000
 
-#: Words whose normal form is their lower case and which the pattern of the vocabulary keeps whole, then punctuation that it
-#: keeps whole as well.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|%*#&$()]*)")
+#: Punctuation that the pattern of the vocabulary keeps whole, and parts that are a word, whose normal form is its lower case and
+#: which the pattern keeps whole as well, and such punctuation.
+_MARKS = ".,;:!?|%*#&$()"
+_LETTERS = "".join(chr(c) for c in range(256) if chr(c).isalpha() and (chr(c).isascii() or c >= 0xC0))
+_PLAIN = rf"^[A-Za-zÀ-ÖØ-öø-ÿ]*[{_MARKS}]*\z"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -25,38 +29,50 @@ def _byte_alphabet() -> dict[int, str]:
 class WordEncoder:
     """Ids of a vocabulary that drops white space, so that a text's ids are those of its space-separated parts in turn.
 
-    Parts of plain letters and punctuation go straight to the merges, everything else through the whole tokenizer."""
+    Parts of plain letters and punctuation go straight to the merges, everything else through the whole tokenizer. The parts of many texts
+    are told apart and cut by Arrow, so that only distinct words are handled one by one."""
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.alphabet = _byte_alphabet()
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         if (known := self.words.get(word)) is None:
             spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
             if len(self.words) >= MEMO:
                 self.words.clear()
-            known = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+            known = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return known
 
-    def _part(self, part: str) -> bytes:
-        if plain := _PLAIN.fullmatch(part):
-            return b"".join(self._word(w) for w in (plain[1].lower(), plain[2]) if w)
+    def _other(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        """The ids of distinct parts as bytes."""
+        plain = pc.match_substring_regex(parts, _PLAIN)
+        known = pc.if_else(plain, parts, "")
+        words = pc.utf8_rtrim(known, characters=_MARKS)
+        marks = pc.utf8_ltrim(known, characters=_LETTERS)
+        ids = []
+        for coded in (pc.utf8_lower(words).dictionary_encode(), marks.dictionary_encode()):
+            ids.append(pa.array([self._word(w) if w else b"" for w in coded.dictionary.to_pylist()], pa.binary()).take(coded.indices))
+        joined = pc.binary_join_element_wise(*ids, b"")
+        rest = pc.filter(parts, pc.invert(plain)).to_pylist()
+        return pc.replace_with_mask(joined, pc.invert(plain), pa.array([self._other(p) for p in rest], pa.binary()))
+
+    def encode_all(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """(little-endian unsigned 32-bit ids of all texts one after another, byte where each text begins and the last ends). Null is an empty text."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._parts(coded.dictionary).cast(pa.large_binary()).take(coded.indices)
+        begins = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        return memoryview(ids.buffers()[2] or b""), begins[np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]]
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        own, out = self.parts, []
-        for line in text.split("\n"):
-            for part in line.split(" "):
-                if (ids := own.get(part)) is None:
-                    if len(own) >= MEMO:
-                        own.clear()
-                    ids = own[part] = self._part(part)
-                out.append(ids)
-        return b"".join(out)
+        return bytes(self.encode_all(pa.array([text]))[0])
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -175,6 +176,20 @@ def test_ids_are_the_tokenizers_own():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_many_texts_are_encoded_at_once():
+    """Ids of a batch are those of its texts, and a word is met once however often it stands there."""
+    definition = open(VOCABULARY).read()
+    own, whole = tokens.WordEncoder(definition), Tokenizer.from_file(VOCABULARY)
+    texts = ["one, two", None, "", "Two one\n three!", "x'ss \x1c", *["one two"] * 500]
+    met, word = [], own._word
+    own._word = lambda w: met.append(w) or word(w)
+    ids, begins = own.encode_all(pa.array(["left out", *texts]).slice(1))
+    assert len(begins) == len(texts) + 1 and len(met) == len(set(met))
+    for text, a, b in zip(texts, begins, begins[1:]):
+        assert np.frombuffer(ids[a:b], "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert own.encode_all(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 def test_packing_is_whole_and_tight(docs, none):
     whole = Tokenizer.from_file(VOCABULARY)
     got = packing.pack(docs, VOCABULARY, with_ids=True).collect()
