@@ -166,6 +166,17 @@ def test_verbatim_matches(spark, docs, none):
     assert {r["n_words"] for r in decontaminate.matches(docs, items.filter("item_id = 99")).collect()} >= {0, 4, 30_000}
 
 
+def test_hashes_are_found_where_they_stand():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 50_000):
+        hashes = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        hashes = np.r_[hashes, hashes[::3], np.zeros(2, np.uint64), np.full(int(n > 0), 2**64 - 1, np.uint64)]
+        found, place = np.unique(hashes, return_inverse=True)
+        assert (lmscore.distinct(hashes) == found).all() and (lmscore.places(found, hashes) == place).all()
+    empty = np.empty(0, np.uint64)
+    assert len(lmscore.distinct(empty)) == len(lmscore.places(empty, empty)) == 0
+
+
 # --- packing -------------------------------------------------------------------------------------------------------
 
 def test_ids_are_the_tokenizers_own():
