@@ -6,6 +6,10 @@ distance that this index can search covers a similarity of 0.8, where codes diff
 work: sets that reach the similarity share one of their rarest shingles (prefix filter), and all sets of such a shingle that no
 verified link connects yet are compared. Exact Jaccard on the whole shingle sets decides every link. Equal shingle sets are
 reduced to one row first. A shingle of more sets than ``GROUP_ROWS`` is searched in tiles.
+
+Whole sets are larger than the texts, so they are made for few links only. Two small sketches of a set, the number of its hashes by
+their upper bits and a bitmap of their lower bits, bound from above what two sets can have in common; links whose bound is
+below the similarity are dropped before, which loses none.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ DISTANCE = 2
 GROUP_ROWS = 8192
 #: Slots in which occurrences of shingles are counted.
 SLOTS = 1 << 20
+#: Bins in which a set's hashes are counted by their upper bits, a byte each; FULL in a bin says that many or more.
+BINS, FULL = 64, 255
+#: Pairs whose counts are compared at once.
+PAIRS = 1 << 17
 _EMPTY = np.uint64(0)
 
 
@@ -53,6 +61,40 @@ def set_id(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def spread(whole: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of ``BINS`` bins, cut at ``FULL``."""
+    return np.minimum(np.bincount((whole >> np.uint64(58)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
+
+
+def most_by_spread(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that sets with the counts in the rows of ``x`` and ``y`` can have in common; a bin that is full in both sets no bound."""
+    least = np.minimum(x, y)
+    return np.where((least == FULL).any(1), np.iinfo(np.int64).max, least.sum(1, dtype=np.int64))
+
+
+def bits(whole: np.ndarray) -> bytes:
+    """A bitmap of a set's hashes by their lower bits, of 64 times a power of two and at least two bits a hash."""
+    m = 64 << ((2 * len(whole) - 1) // 64).bit_length() if len(whole) else 64
+    there = np.zeros(m, bool)
+    there[(whole & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(there, bitorder="little").tobytes()
+
+
+def most_by_bits(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """The most that sets of ``n`` and ``m`` hashes with these bitmaps (64-bit words) can have in common: every bit that only one of them
+    has is a hash that the other lacks. The longer bitmap is folded to the length of the other."""
+    while len(x) > len(y):
+        x = x[:len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] | y[len(y) // 2:]
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _needed(n, m, similarity: float):
+    """What sets of these sizes have in common at least if they reach the similarity."""
+    return similarity / (1 + similarity) * (n + m) - 1e-6
+
+
 def _codes(column, parts: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, parts)
 
@@ -144,25 +186,35 @@ def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*held)] if held else [np.empty(0, np.int64)] * n
 
 
-def links_between(shared: DataFrame, found: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _spreads(columns: list[pa.Array]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in columns])
+
+
+def links_between(shared: DataFrame, found: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, sets: DataFrame | None = None) -> DataFrame:
     """(a, b): every two sets of different components ``found (node, component)`` that share a shingle of ``shared`` and may reach
-    the similarity by their sizes and by what is left of them after that shingle.
+    the similarity by their sizes, by what is left of them after that shingle and, where ``sets (_set, _spread)`` are given, by their
+    hashes' counts.
 
     A shingle of more than ``group_rows`` sets is cut by hash into pieces, and every two pieces meet in a task of their own."""
+    counted = sets is not None
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, low, high, piece, row, size, place, label = _columns(batches, 8)
+        held = [b for b in batches if b.num_rows]
+        key, low, high, piece, row, size, place, label = _columns((b.select(range(8)) for b in held), 8)
         if not len(key):
             return
+        counts = _spreads([b.column("_spread") for b in held]) if counted else None
+        del held
         order = np.lexsort((size, high, low, key))
         key, low, high, piece, row, size, place, label = (x[order] for x in (key, low, high, piece, row, size, place, label))
         group = np.cumsum(np.r_[False, (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)])
         # the largest component of every group: pairs have at most one end in it, so only the other rows search
-        order = np.lexsort((label, group))
-        runs = np.flatnonzero(np.r_[True, (np.diff(group[order]) != 0) | (np.diff(label[order]) != 0)])
-        length, of = np.diff(np.r_[runs, len(order)]), group[order[runs]]
+        by_label = np.lexsort((label, group))
+        runs = np.flatnonzero(np.r_[True, (np.diff(group[by_label]) != 0) | (np.diff(label[by_label]) != 0)])
+        length, of = np.diff(np.r_[runs, len(by_label)]), group[by_label[runs]]
         best = np.lexsort((length, of))
         best = best[np.r_[np.diff(of[best]) != 0, True]]
-        main = label == label[order[runs[best]]][group]
+        main = label == label[by_label[runs[best]]][group]
         who = np.flatnonzero(~main)
         at = group.astype(np.int64) << 32 | size.astype(np.int64)
         base = group[who].astype(np.int64) << 32
@@ -177,15 +229,23 @@ def links_between(shared: DataFrame, found: DataFrame, similarity: float = SIMIL
             b = np.repeat(begin[part] - np.cumsum(n[part]) + n[part], n[part]) + np.arange(len(a))
             keep = (label[a] != label[b]) & (main[b] | (a < b)) & ((low[a] == high[a]) | (piece[a] != piece[b]))
             a, b = a[keep], b[keep]
-            need = similarity / (1 + similarity) * (size[a].astype(np.int64) + size[b]) - 1e-6
+            need = _needed(size[a].astype(np.int64), size[b], similarity)
             keep = np.minimum(size[a] - place[a], size[b] - place[b]) >= need
-            a, b = row[a[keep]], row[b[keep]]
+            a, b, need = a[keep], b[keep], need[keep]
+            if counts is not None:
+                cuts = range(0, len(a), PAIRS)
+                most = [most_by_spread(counts[order[a[i:i + PAIRS]]], counts[order[b[i:i + PAIRS]]]) for i in cuts]
+                keep = np.concatenate([np.empty(0, np.int64), *most]) >= need
+                a, b = a[keep], b[keep]
+            a, b = row[a], row[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     named = shared.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row"))
     piece = named.withColumn("pieces", F.ceil(F.col("n") / group_rows).cast("int")).withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
+    if counted:
+        piece = piece.join(sets.select(F.col("_set").alias("row"), "_spread"), "row")
     every = piece.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = every.select("key", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "row", "size", "place", "label")
+    dealt = every.select("key", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "row", "size", "place", "label", *["_spread"] * counted)
     return dealt.repartition("key", "low", "high").mapInArrow(search, "a long, b long").distinct()
 
 
@@ -194,6 +254,19 @@ def first_links(shared: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return shared.filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
 
 
+def promising(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The links whose ends may reach the similarity by the bitmaps of ``sets (_set, _size, _bits)``; no link that reaches it is lost."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())
+            words = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("ba"), batch.column("bb")))
+            good = [most_by_bits(x, y, n, m) >= _needed(n, m, similarity) for (x, y), (n, m) in zip(words, sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    end = lambda x: sets.select(F.col("_set").alias(x), F.col("_size").alias(f"n{x}"), F.col("_bits").alias(f"b{x}"))
+    return links.join(end("a"), "a").join(end("b"), "b").mapInArrow(keep, "a long, b long")
+
+
 def shingle_sets(links: DataFrame, sets: DataFrame, slim: DataFrame, words: int = WORDS) -> DataFrame:
     """(_set, _hashes): the whole sorted shingle set of every end of the links, made again from the text of its row."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,16 +306,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, code, _, size = zip(*(signature(t.as_py(), words) for t in batch.column("_text"))) if batch.num_rows else ([], [], [], [])
+            digest, code, whole, size = zip(*(signature(t.as_py(), words) for t in batch.column("_text"))) if batch.num_rows else ([], [], [], [])
+            whole = [np.frombuffer(w, np.uint64) for w in whole]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_mark"), pa.array([set_id(d) for d in digest], pa.int64()), pa.array(code, pa.binary()),
-                                              pa.array(size, pa.int32())], names=["_id", "_mark", "_set", "_code", "_size"])
+                                              pa.array(size, pa.int32()), pa.array(map(spread, whole), pa.binary()), pa.array(map(bits, whole), pa.binary())],
+                                             names=["_id", "_mark", "_set", "_code", "_size", "_spread", "_bits"])
 
-    signed = cut_lineage(slim.mapInArrow(sign, f"_id {kind}, _mark long, _set long, _code binary, _size int"))
-    sets = cut_lineage(signed.groupBy("_set").agg(F.min(F.struct("_id", "_mark")).alias("_best"), F.first("_code").alias("_code"), F.first("_size").alias("_size")))
+    signed = cut_lineage(slim.mapInArrow(sign, f"_id {kind}, _mark long, _set long, _code binary, _size int, _spread binary, _bits binary"))
+    of_set = [F.first(c).alias(c) for c in ("_code", "_size", "_spread", "_bits")]
+    sets = cut_lineage(signed.groupBy("_set").agg(F.min(F.struct("_id", "_mark")).alias("_best"), *of_set))
     shared = shared_shingles(slim, words, similarity)
-    near = cut_lineage(candidate_links(sets.filter("_size > 0")).unionByName(first_links(shared)).distinct())
+    near = candidate_links(sets.filter("_size > 0")).unionByName(first_links(shared)).distinct()
+    near = cut_lineage(promising(near, sets, similarity))
     sure = cut_lineage(similar(near, shingle_sets(near, sets, slim, words), similarity))
-    rest = cut_lineage(links_between(shared, components(sure), similarity))
+    rest = cut_lineage(promising(links_between(shared, components(sure), similarity, sets=sets), sets, similarity))
     more = similar(rest, shingle_sets(rest, sets, slim, words), similarity)
     found = components(sure.unionByName(more))
     classes = sets.select("_set", "_best").join(found.withColumnRenamed("node", "_set"), "_set", "left")

@@ -84,3 +84,31 @@ def test_the_gray_index_ties_close_copies(spark):
     sets = spark.createDataFrame([(k, bytearray(c.tobytes()), 500) for k, c in enumerate(code)], "_set long, _code binary, _size int")
     assert [(r["a"], r["b"]) for r in neardup.candidate_links(sets).collect()] == [(1, 0)]
     assert neardup.linked is simhash.linked
+
+
+def sets_at(rng, sizes, common):
+    """Sets of hashes that have ``common`` of them in common with the first."""
+    first = rng.integers(0, 2**64, sizes[0], np.uint64)
+    return [np.unique(first)] + [np.unique(np.r_[first[:common], rng.integers(0, 2**64, n - common, np.uint64)]) for n in sizes[1:]]
+
+
+def test_sketches_bound_what_two_sets_have_in_common():
+    rng = np.random.default_rng(11)
+    for n, m, common in [(1, 1, 0), (1, 1, 1), (32, 33, 20), (100, 90, 90), (500, 400, 10), (700, 900, 650), (20_000, 19_000, 18_000), (30_000, 70_000, 5)]:
+        x, y = sets_at(rng, [n, m], common)
+        by_bits = neardup.most_by_bits(*(np.frombuffer(neardup.bits(s), np.uint64) for s in (x, y)), len(x), len(y))
+        by_spread = neardup.most_by_spread(*(np.frombuffer(neardup.spread(s), np.uint8).reshape(1, -1) for s in (x, y)))[0]
+        assert min(by_bits, by_spread) >= common
+        if n == 500:
+            assert by_bits < 300 and by_spread < 400
+
+
+def test_links_out_of_reach_are_dropped_before_whole_sets_are_made(spark, monkeypatch):
+    """Texts that share a long passage are candidates, but their whole sets never leave the texts."""
+    rng = np.random.default_rng(6)
+    rows, made = family(rng, 60, 300, 150), []
+    real = neardup.similar
+    monkeypatch.setattr(neardup, "similar", lambda links, *more: (made.append(links.count()), real(links, *more))[1])
+    assert kept(spark, rows) == brute_kept(rows)
+    true = sum(jaccard(t, u) >= neardup.SIMILARITY for i, (_, t) in enumerate(rows) for _, u in rows[:i])
+    assert sum(made) <= 2 * true
