@@ -47,12 +47,13 @@ class Words(dict):
 
     def __init__(self, lang: str, bitmap: np.ndarray | None):
         super().__init__({_CUT: 0})
-        self.bitmap, self.names, self.hashes = bitmap, [b""], [0]
+        # bytes of the bitmap: words come one by one, for which numpy's calls cost more than the rest of the pass
+        self.bytes, self.names, self.hashes = None if bitmap is None else bitmap.astype("<u8", copy=False).data.cast("B"), [b""], [0]
         self.seed = xxhash.xxh64_intdigest(lang.encode(), 42)
 
     def __missing__(self, word: bytes) -> int:
         number = xxhash.xxh64_intdigest(word, self.seed)  # as Spark's xxhash64(lang, word)
-        if self.bitmap is not None and not has(self.bitmap, np.uint64(number)):
+        if self.bytes is not None and not self.bytes[(number & BITS - 1) >> 3] >> (number & 7) & 1:
             self[word] = 0
             return 0
         self[word] = len(self.names)
@@ -106,7 +107,7 @@ def _counted(n: int, may_grow, wanted: Callable[[list[np.ndarray]], np.ndarray]
                     columns, times = [pa.concat_arrays([columns[0], pa.array([""])])], np.r_[times, len(every)]
                 for a in range(0, len(times), 1 << 17):
                     part = [c.slice(a, 1 << 17) for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0])), *part, pa.array(times[a:a + (1 << 17)], pa.int64())],
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part[0])), *part, pa.array(times[a:a + (1 << 17)], pa.int64())],
                                                      names=["lang", *(f"w{i + 1}" for i in range(n)), "n"])
             keys.clear()
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -96,3 +97,16 @@ def test_products_beyond_64_bits(spark):
     big = 10**11
     df = spark.createDataFrame([(big, 2 * big, 3 * big + 1)], "a long, l long, r long")
     assert df.select(collocations._score("a", "l", "r")).first()[0] == 1000000 * big * big // (2 * big * (3 * big + 1))
+
+
+def test_words_are_looked_up_as_by_the_bitmap_without_numpy(monkeypatch):
+    """One word's look-up gives what ``has`` gives, and calls no numpy."""
+    words = [f"w{i}".encode() for i in range(2_000)]
+    hashes = np.array([collocations.xxhash.xxh64_intdigest(w, collocations.Words("en", None).seed) for w in words], np.uint64)
+    bitmap = np.zeros(collocations.BITS // 64, np.uint64)
+    slot = hashes[::3] & np.uint64(collocations.BITS - 1)
+    np.bitwise_or.at(bitmap, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    want = collocations.has(bitmap, hashes).tolist()
+    monkeypatch.delattr(collocations, "has")
+    own = collocations.Words("en", bitmap)
+    assert [own[w] > 0 for w in words] == want and own.names[1:] == [w for w, there in zip(words, want) if there]
