@@ -113,3 +113,19 @@ def test_long_texts_take_linear_time(spark, text):
     t0 = time.time()
     r = rules.judge(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), least_docs=1).first()
     assert time.time() - t0 < 30 and r["n_words"] == len(text.split())
+
+
+def test_repeated_windows_few_and_many(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(pool) for _ in range(n)) for pool, n in [("abcd", 400), ("abcdefgh", 30), ([f"w{i}" for i in range(12)], 3_000), ([f"w{i}" for i in range(300)], 500), ("a", 9)]]
+    got = {x["doc_id"]: x["n_repeat_words"] for x in rules.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    assert got == {i: base(t)[-1] for i, t in enumerate(texts)}
+
+
+def test_a_word_is_hashed_once(spark, monkeypatch):
+    """The measures take windows and places from one hash of every word."""
+    plans, real = [], rules.cut_lineage
+    monkeypatch.setattr(rules, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    rules.judge(spark.createDataFrame([(1, "some words here " * 30, "en")], "doc_id long, text string, lang string"))
+    measures = next(p for p in plans if "word_distance" in p and "xxhash64" in p)
+    assert measures.count("xxhash64(") == 2  # of a word, and of three such hashes
