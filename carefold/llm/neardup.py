@@ -7,9 +7,14 @@ work: sets that reach the similarity share one of their rarest shingles (prefix
 verified link connects yet are compared. Exact Jaccard on the whole shingle sets decides every link. Equal shingle sets are
 reduced to one row first. A shingle of more sets than ``GROUP_ROWS`` is searched in tiles.
 
-Whole sets are larger than the texts, so they are made for few links only. Two small sketches of a set, the number of its hashes by
-their upper bits and a bitmap of their lower bits, bound from above what two sets can have in common; links whose bound is
-below the similarity are dropped before, which loses none.
+Pairs of sets that may reach the similarity never leave the task that finds them, as a group of near copies has a number of them that
+grows with its square. The task hands on stars that connect the same sets; what these connect over all shingles is a clump, which
+holds both ends of every link. Each clump's whole sets then meet in one task, or in tiles, which again hands on no more links
+than connect them.
+
+Whole sets are larger than the texts, so they are made for few sets only. Two small sketches of a set, the number of its hashes by
+their upper bits and a bitmap of their lower bits, bound from above what two sets can have in common. Early links are dropped by both
+and later pairs by the first before whole sets are made, which loses none.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from carefold.llm.simhash import SHARD_ROWS, linked, majority, shingle_hashes
+from carefold.llm.simhash import SHARD_ROWS, Labels, linked, majority, shingle_hashes
 from carefold.operators.graph import components
 from carefold.session import cut_lineage
 
@@ -33,6 +38,8 @@ PARTS, INDEXED = 32, 8
 DISTANCE = 2
 #: Sets that share a shingle up to which one task compares them all.
 GROUP_ROWS = 8192
+#: Hashes of a clump's whole sets up to which one task compares them all.
+PIECE_HASHES = 1 << 19
 #: Slots in which occurrences of shingles are counted.
 SLOTS = 1 << 20
 #: Bins in which a set's hashes are counted by their upper bits, a byte each; FULL in a bin says that many or more.
@@ -190,10 +197,10 @@ def _spreads(columns: list[pa.Array]) -> np.ndarray:
     return np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in columns])
 
 
-def links_between(shared: DataFrame, found: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, sets: DataFrame | None = None) -> DataFrame:
+def links_between(shared: DataFrame, found: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, sets: DataFrame | None = None, stars: bool = False) -> DataFrame:
     """(a, b): every two sets of different components ``found (node, component)`` that share a shingle of ``shared`` and may reach
     the similarity by their sizes, by what is left of them after that shingle and, where ``sets (_set, _spread)`` are given, by their
-    hashes' counts.
+    hashes' counts. ``stars``: in place of all these pairs, stars that connect the same sets, at most one row for each set and task.
 
     A shingle of more than ``group_rows`` sets is cut by hash into pieces, and every two pieces meet in a task of their own."""
     counted = sets is not None
@@ -221,6 +228,8 @@ def links_between(shared: DataFrame, found: DataFrame, similarity: float = SIMIL
         begin = np.searchsorted(at, base + np.ceil(similarity * size[who] - 1e-6).astype(np.int64), "left")
         n = np.searchsorted(at, base + np.floor(size[who] / similarity + 1e-6).astype(np.int64), "right") - begin
         ends, done = np.cumsum(n), 0
+        names, name = np.unique(row, return_inverse=True)
+        tied = Labels(len(names))
         while done < len(who):
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 1_000_000, "right")))
             part = slice(done, stop)
@@ -228,6 +237,8 @@ def links_between(shared: DataFrame, found: DataFrame, similarity: float = SIMIL
             a = np.repeat(who[part], n[part])
             b = np.repeat(begin[part] - np.cumsum(n[part]) + n[part], n[part]) + np.arange(len(a))
             keep = (label[a] != label[b]) & (main[b] | (a < b)) & ((low[a] == high[a]) | (piece[a] != piece[b]))
+            if stars:
+                keep &= tied.of[name[a]] != tied.of[name[b]]
             a, b = a[keep], b[keep]
             need = _needed(size[a].astype(np.int64), size[b], similarity)
             keep = np.minimum(size[a] - place[a], size[b] - place[b]) >= need
@@ -237,8 +248,14 @@ def links_between(shared: DataFrame, found: DataFrame, similarity: float = SIMIL
                 most = [most_by_spread(counts[order[a[i:i + PAIRS]]], counts[order[b[i:i + PAIRS]]]) for i in cuts]
                 keep = np.concatenate([np.empty(0, np.int64), *most]) >= need
                 a, b = a[keep], b[keep]
+            if stars:
+                tied.join(name[a], name[b])
+                continue
             a, b = row[a], row[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        if stars:
+            child = np.flatnonzero(tied.of != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[tied.of[child]])], names=["a", "b"])
 
     named = shared.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row"))
     piece = named.withColumn("pieces", F.ceil(F.col("n") / group_rows).cast("int")).withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
@@ -294,6 +311,79 @@ def similar(links: DataFrame, whole: DataFrame, similarity: float = SIMILARITY)
     return links.join(end("a"), "a").join(end("b"), "b").mapInArrow(keep, "a long, b long")
 
 
+def links_among(whole: list[np.ndarray], label: np.ndarray, piece: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Places of pairs of the sorted sets ``whole`` that reach the similarity by exact Jaccard, as many as it takes to connect the labels as
+    all such pairs do. Only pairs of different pieces are looked at if there are several.
+
+    A set's hashes lead to the sets that have them too, so a set without a partner costs no more than its own hashes."""
+    size = np.array([len(w) for w in whole], np.int64)
+    every, owner = np.concatenate(whole), np.repeat(np.arange(len(whole)), size)
+    order = np.argsort(every, kind="stable")
+    sets = owner[order]
+    new = np.r_[True, np.diff(every[order]) != 0]
+    begin = np.flatnonzero(new)
+    length = np.diff(np.r_[begin, len(every)])
+    which = np.empty(len(every), np.int64)
+    which[order] = np.cumsum(new) - 1
+    ends = np.r_[0, np.cumsum(size)]
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    tied = Labels(len(whole))
+    tied.of = first[of]
+    apart = len(np.unique(piece)) > 1
+    links = []
+    for i in np.flatnonzero(tied.of != first[np.bincount(of).argmax()]):  # pairs have at most one end in the largest component
+        own = which[ends[i]:ends[i + 1]]
+        own = own[length[own] > 1]
+        n = length[own]
+        there = sets[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        same = np.bincount(there, minlength=len(whole))
+        good = (same >= similarity * (size[i] + size - same)) & (tied.of != tied.of[i])
+        if apart:
+            good &= piece != piece[i]
+        partner = np.flatnonzero(good)
+        partner = partner[np.unique(tied.of[partner], return_index=True)[1]]
+        links += [(int(i), int(j)) for j in partner]
+        tied.join(np.full(len(partner), i), partner)
+    return links
+
+
+def links_in_clumps(clumps: DataFrame, sets: DataFrame, whole: DataFrame, found: DataFrame, similarity: float = SIMILARITY, piece_hashes: int = PIECE_HASHES) -> DataFrame:
+    """(a, b): links that reach the similarity by exact Jaccard on ``whole (_set, _hashes)`` and connect the components ``found (node,
+    component)`` as all links inside the clumps ``clumps (node, component)`` do; at most one for each set and task.
+
+    A clump of more than ``piece_hashes`` hashes by ``sets (_set, _size)`` is cut into pieces, and every two pieces meet in a task of their own."""
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def solved() -> pa.RecordBatch:
+            row, piece, label, hashes = zip(*held)
+            links = links_among([np.frombuffer(h, np.uint64) for h in hashes], np.array(label, np.int64), np.array(piece), similarity)
+            a, b = ([row[link[k]] for link in links] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(map(max, a, b), pa.int64()), pa.array(map(min, a, b), pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *tile, row, piece, label, hashes in zip(*columns):
+                if tile != at and held:
+                    yield solved()
+                    held.clear()
+                at = tile
+                held.append((row, piece, label, hashes))
+        if held:
+            yield solved()
+
+    labels = found.select(F.col("node").alias("_set"), F.col("component").alias("label"))
+    named = clumps.select(F.col("node").alias("_set"), F.col("component").alias("clump")).join(sets.select("_set", "_size"), "_set").join(labels, "_set", "left")
+    named = cut_lineage(named.withColumn("label", F.coalesce("label", "_set")))
+    pieces = named.groupBy("clump").agg(F.ceil(F.sum("_size") / piece_hashes).cast("int").alias("pieces"))
+    own = named.join(pieces, "clump").withColumn("piece", F.pmod(F.xxhash64("_set"), F.col("pieces")).cast("int")).join(whole, "_set")
+    every = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = every.select("clump", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "_set", "piece", "label", "_hashes")
+    width = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: the rows are few, the work is not
+    tiles = dealt.repartition(width, "clump", "low", "high").sortWithinPartitions("clump", "low", "high")
+    return tiles.mapInArrow(search, "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group that links of at least ``similarity`` (Jaccard over
     distinct shingles of ``words`` words) connect, the one with the smallest id, null ids before others, stays as it is.
@@ -319,8 +409,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     near = candidate_links(sets.filter("_size > 0")).unionByName(first_links(shared)).distinct()
     near = cut_lineage(promising(near, sets, similarity))
     sure = cut_lineage(similar(near, shingle_sets(near, sets, slim, words), similarity))
-    rest = cut_lineage(promising(links_between(shared, components(sure), similarity, sets=sets), sets, similarity))
-    more = similar(rest, shingle_sets(rest, sets, slim, words), similarity)
+    early = cut_lineage(components(sure))
+    rest = cut_lineage(links_between(shared, early, similarity, sets=sets, stars=True))
+    more = links_in_clumps(components(rest), sets, shingle_sets(rest, sets, slim, words), early, similarity)
     found = components(sure.unionByName(more))
     classes = sets.select("_set", "_best").join(found.withColumnRenamed("node", "_set"), "_set", "left")
     kept = classes.groupBy(F.coalesce("component", "_set").alias("_class")).agg(F.min("_best").alias("_best")).select("_best.*")

@@ -112,3 +112,68 @@ def test_links_out_of_reach_are_dropped_before_whole_sets_are_made(spark, monkey
     assert kept(spark, rows) == brute_kept(rows)
     true = sum(jaccard(t, u) >= neardup.SIMILARITY for i, (_, t) in enumerate(rows) for _, u in rows[:i])
     assert sum(made) <= 2 * true
+
+
+def cloud(rng, n):
+    """Near copies of one text of 200 words, pairs of which lie on both sides of the limit; most are no link."""
+    base = [int(x) for x in rng.integers(0, 10**6, 200)]
+    rows = []
+    for k in range(n):
+        mine = list(base)
+        for at in rng.choice(200, int(rng.integers(1, 6)), replace=False):
+            mine[at] = 10**7 + 1000 * k + int(at)
+        rows.append((k, text_of(mine)))
+    return rows
+
+
+def test_rows_for_a_group_of_near_copies_grow_with_its_size_and_not_its_square(spark, monkeypatch):
+    """Counts the links that are sent to sketches, whole sets and the work folder."""
+    made = []
+    seen = lambda df: (made.append(df.count()) if df.columns == ["a", "b"] else None, df)[1]
+    for name in ("promising", "similar", "cut_lineage"):
+        real = getattr(neardup, name)
+        monkeypatch.setattr(neardup, name, lambda df, *more, real=real, **named: real(seen(df), *more, **named))
+    total = []
+    for n in (75, 300):
+        rows = cloud(np.random.default_rng(3), n)
+        made.clear()
+        left = kept(spark, rows)
+        total.append(sum(made))
+        if n == 75:
+            assert left == brute_kept(rows) and 1 < len(left) < n
+    assert total[1] <= 2 * 4 * total[0] and total[1] <= 20 * 300
+
+
+def joined(pairs, n) -> list[int]:
+    labels = simhash.Labels(n)
+    labels.join(*np.array(sorted(pairs), np.int64).reshape(-1, 2).T)
+    return labels.of.tolist()
+
+
+def test_stars_connect_what_all_pairs_connect(spark):
+    rng = np.random.default_rng(8)
+    posts = sorted({(int(k), int(r)) for k, r in zip(rng.integers(0, 40, 150), rng.integers(0, 120, 150))})
+    size = [100 + 20 * (r % 5) for r in range(120)]
+    n = {k: sum(k == x for x, _ in posts) for k, _ in posts}
+    shared = spark.createDataFrame([(k, r, size[r], 0, 0, n[k]) for k, r in posts], "key long, row long, size int, place int, first long, n long")
+    found = spark.createDataFrame([(r, r // 3 * 3) for r in range(0, 120, 2)], "node long, component long")
+    every, stars = ([(r["a"], r["b"]) for r in neardup.links_between(shared, found, group_rows=2, stars=s).collect()] for s in (False, True))
+    assert joined(every, 120) == joined(stars, 120) and len(set(joined(every, 120))) < 100
+    assert len(neardup.links_between(shared, found, stars=True).coalesce(1).collect()) <= len(every)
+
+
+def test_clumps_are_solved_in_tiles_as_by_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (3, 100), np.uint64)
+    whole = [np.unique(np.r_[base[k % 3][rng.permutation(100)[:100 - k % 17]], rng.integers(0, 2**63, k % 23, np.uint64)]) for k in range(60)]
+    label = [k if k % 4 else k % 3 for k in range(60)]
+    true = [(a, b) for a in range(60) for b in range(a) if (s := len(np.intersect1d(whole[a], whole[b]))) >= 0.8 * (len(whole[a]) + len(whole[b]) - s)]
+    known = [(k, x) for k, x in enumerate(label) if k != x]
+    sets = spark.createDataFrame([(k, len(w)) for k, w in enumerate(whole)], "_set long, _size int")
+    hashes = spark.createDataFrame([(k, bytearray(w.tobytes())) for k, w in enumerate(whole)], "_set long, _hashes binary")
+    clumps = spark.createDataFrame([(k, k % 3) for k in range(60)], "node long, component long")
+    found = spark.createDataFrame(known, "node long, component long")
+    for piece_hashes in (1 << 19, 500):
+        got = [(r["a"], r["b"]) for r in neardup.links_in_clumps(clumps, sets, hashes, found, piece_hashes=piece_hashes).collect()]
+        assert set(got) <= set(true) and joined(got + known, 60) == joined(true + known, 60)
+        assert piece_hashes < 1000 or len(got) < 60 < len(true)
