@@ -9,12 +9,12 @@ reduced to one row first. A shingle of more sets than ``GROUP_ROWS`` is searched
 
 Pairs of sets that may reach the similarity never leave the task that finds them, as a group of near copies has a number of them that
 grows with its square. The task hands on stars that connect the same sets; what these connect over all shingles is a clump, which
-holds both ends of every link. Each clump's whole sets then meet in one task, or in tiles, which again hands on no more links
-than connect them.
+holds both ends of every link. Sketches of each clump's sets then meet in one task, or in tiles, which cuts it to smaller clumps in
+the same way, and at last their whole sets do, which gives no more links than connect them.
 
 Whole sets are larger than the texts, so they are made for few sets only. Two small sketches of a set, the number of its hashes by
-their upper bits and a bitmap of their lower bits, bound from above what two sets can have in common. Early links are dropped by both
-and later pairs by the first before whole sets are made, which loses none.
+their upper bits and a bitmap of their lower bits, bound from above what two sets can have in common; pairs whose bound is
+below the similarity are dropped before, which loses none.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ PARTS, INDEXED = 32, 8
 DISTANCE = 2
 #: Sets that share a shingle up to which one task compares them all.
 GROUP_ROWS = 8192
-#: Hashes of a clump's whole sets up to which one task compares them all.
-PIECE_HASHES = 1 << 19
+#: Hashes and sets of a clump up to which one task compares them all.
+PIECE_HASHES, PIECE_ROWS = 1 << 20, 2048
 #: Slots in which occurrences of shingles are counted.
 SLOTS = 1 << 20
 #: Bins in which a set's hashes are counted by their upper bits, a byte each; FULL in a bin says that many or more.
@@ -311,12 +311,11 @@ def similar(links: DataFrame, whole: DataFrame, similarity: float = SIMILARITY)
     return links.join(end("a"), "a").join(end("b"), "b").mapInArrow(keep, "a long, b long")
 
 
-def links_among(whole: list[np.ndarray], label: np.ndarray, piece: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Places of pairs of the sorted sets ``whole`` that reach the similarity by exact Jaccard, as many as it takes to connect the labels as
+def links_among(whole: list[np.ndarray], size: np.ndarray, label: np.ndarray, piece: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Places of pairs of the sorted sets ``whole`` of these sizes that reach the similarity by exact Jaccard, as many as it takes to connect the labels as
     all such pairs do. Only pairs of different pieces are looked at if there are several.
 
     A set's hashes lead to the sets that have them too, so a set without a partner costs no more than its own hashes."""
-    size = np.array([len(w) for w in whole], np.int64)
     every, owner = np.concatenate(whole), np.repeat(np.arange(len(whole)), size)
     order = np.argsort(every, kind="stable")
     sets = owner[order]
@@ -347,38 +346,72 @@ def links_among(whole: list[np.ndarray], label: np.ndarray, piece: np.ndarray, s
     return links
 
 
-def links_in_clumps(clumps: DataFrame, sets: DataFrame, whole: DataFrame, found: DataFrame, similarity: float = SIMILARITY, piece_hashes: int = PIECE_HASHES) -> DataFrame:
+def pairs_among(bitmaps: list[np.ndarray], size: np.ndarray, label: np.ndarray, piece: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Places of pairs of sets that may reach the similarity by their bitmaps, as ``links_among`` gives those that do; known labels
+    are no connection here, as clumps need both ends of every link.
+
+    Sizes that may reach it differ by less than a factor of two, so a bitmap is compared with those of its length and, folded, of twice its length."""
+    words = np.array([len(x) for x in bitmaps])
+    tied = Labels(len(bitmaps))
+    apart = len(np.unique(piece)) > 1
+    pairs = []
+    for length in np.unique(words):
+        own, twice = np.flatnonzero(words == length), np.flatnonzero(words == 2 * length)
+        there = np.r_[own, twice]
+        table = np.stack([bitmaps[i] for i in own] + [bitmaps[i][:length] | bitmaps[i][length:] for i in twice])
+        for at, i in enumerate(own):
+            keep = (label[there] != label[i]) & (tied.of[there] != tied.of[i]) & (np.minimum(size[there], size[i]) >= _needed(size[there], size[i], similarity))
+            keep[:at + 1] = False
+            if apart:
+                keep &= piece[there] != piece[i]
+            who = np.flatnonzero(keep)
+            step = max(1, (PAIRS << 4) // int(length))
+            for k in range(0, len(who), step):
+                j, rows = there[who[k:k + step]], table[who[k:k + step]]
+                most = np.minimum(size[i] - np.bitwise_count(table[at] & ~rows).sum(1, dtype=np.int64), size[j] - np.bitwise_count(rows & ~table[at]).sum(1, dtype=np.int64))
+                partner = j[most >= _needed(size[i], size[j], similarity)]
+                partner = partner[np.unique(tied.of[partner], return_index=True)[1]]
+                partner = partner[tied.of[partner] != tied.of[i]]
+                pairs += [(int(i), int(x)) for x in partner]
+                tied.join(np.full(len(partner), i), partner)
+    return pairs
+
+
+def links_in_clumps(clumps: DataFrame, sets: DataFrame, whole: DataFrame, found: DataFrame, similarity: float = SIMILARITY, piece_hashes: int = PIECE_HASHES, among=links_among) -> DataFrame:
     """(a, b): links that reach the similarity by exact Jaccard on ``whole (_set, _hashes)`` and connect the components ``found (node,
-    component)`` as all links inside the clumps ``clumps (node, component)`` do; at most one for each set and task.
+    component)`` as all links inside the clumps ``clumps (node, component)`` do; at most one for each set and task. ``among``
+    decides: with ``pairs_among`` and bitmaps as the second column of ``whole``, pairs that may reach it.
 
     A clump of more than ``piece_hashes`` hashes by ``sets (_set, _size)`` is cut into pieces, and every two pieces meet in a task of their own."""
+    payload = whole.columns[1]
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
 
         def solved() -> pa.RecordBatch:
-            row, piece, label, hashes = zip(*held)
-            links = links_among([np.frombuffer(h, np.uint64) for h in hashes], np.array(label, np.int64), np.array(piece), similarity)
+            row, size, piece, label, data = zip(*held)
+            links = among([np.frombuffer(x, np.uint64) for x in data], np.array(size, np.int64), np.array(label, np.int64), np.array(piece), similarity)
             a, b = ([row[link[k]] for link in links] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(map(max, a, b), pa.int64()), pa.array(map(min, a, b), pa.int64())], names=["a", "b"])
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for *tile, row, piece, label, hashes in zip(*columns):
+            for *tile, row, size, piece, label, data in zip(*columns):
                 if tile != at and held:
                     yield solved()
                     held.clear()
                 at = tile
-                held.append((row, piece, label, hashes))
+                held.append((row, size, piece, label, data))
         if held:
             yield solved()
 
     labels = found.select(F.col("node").alias("_set"), F.col("component").alias("label"))
     named = clumps.select(F.col("node").alias("_set"), F.col("component").alias("clump")).join(sets.select("_set", "_size"), "_set").join(labels, "_set", "left")
     named = cut_lineage(named.withColumn("label", F.coalesce("label", "_set")))
-    pieces = named.groupBy("clump").agg(F.ceil(F.sum("_size") / piece_hashes).cast("int").alias("pieces"))
+    pieces = named.groupBy("clump").agg(F.ceil(F.greatest(F.sum("_size") / piece_hashes, F.count("*") / PIECE_ROWS)).cast("int").alias("pieces"))
     own = named.join(pieces, "clump").withColumn("piece", F.pmod(F.xxhash64("_set"), F.col("pieces")).cast("int")).join(whole, "_set")
     every = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = every.select("clump", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "_set", "piece", "label", "_hashes")
+    dealt = every.select("clump", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "_set", "_size", "piece", "label", payload)
     width = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: the rows are few, the work is not
     tiles = dealt.repartition(width, "clump", "low", "high").sortWithinPartitions("clump", "low", "high")
     return tiles.mapInArrow(search, "a long, b long").distinct()
@@ -411,6 +444,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     sure = cut_lineage(similar(near, shingle_sets(near, sets, slim, words), similarity))
     early = cut_lineage(components(sure))
     rest = cut_lineage(links_between(shared, early, similarity, sets=sets, stars=True))
+    rest = cut_lineage(links_in_clumps(components(rest), sets, sets.select("_set", "_bits"), early, similarity, 16 * PIECE_HASHES, pairs_among))  # a hash is two to four bits there
     more = links_in_clumps(components(rest), sets, shingle_sets(rest, sets, slim, words), early, similarity)
     found = components(sure.unionByName(more))
     classes = sets.select("_set", "_best").join(found.withColumnRenamed("node", "_set"), "_set", "left")

@@ -177,3 +177,18 @@ def test_clumps_are_solved_in_tiles_as_by_all_pairs(spark):
         got = [(r["a"], r["b"]) for r in neardup.links_in_clumps(clumps, sets, hashes, found, piece_hashes=piece_hashes).collect()]
         assert set(got) <= set(true) and joined(got + known, 60) == joined(true + known, 60)
         assert piece_hashes < 1000 or len(got) < 60 < len(true)
+
+
+def test_bitmaps_connect_all_sets_that_may_reach_the_similarity():
+    """Sizes around 32, 64, ... hashes, where bitmaps of two lengths meet; stars connect what all pairs within the bound connect."""
+    rng = np.random.default_rng(12)
+    for size in (30, 33, 70, 130):
+        base = rng.integers(0, 2**63, size, np.uint64)
+        sets = [np.unique(np.r_[base[rng.permutation(size)[:size - k % 7]], rng.integers(0, 2**63, k % 5, np.uint64)]) for k in range(40)]
+        bitmaps, sizes = [np.frombuffer(neardup.bits(x), np.uint64) for x in sets], np.array([len(x) for x in sets])
+        label = np.arange(40) // 3 * 3
+        for piece in (np.zeros(40, int), np.arange(40) % 2):
+            may = [(i, j) for i in range(40) for j in range(i) if label[i] != label[j] and (piece[i] != piece[j] or not piece.any())
+                   and neardup.most_by_bits(bitmaps[i], bitmaps[j], sizes[i], sizes[j]) >= neardup._needed(sizes[i], sizes[j], 0.8)]
+            got = neardup.pairs_among(bitmaps, sizes, label, piece)
+            assert joined(got, 40) == joined(may, 40) and len(got) < 40 < len(may)
