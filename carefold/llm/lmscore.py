@@ -66,11 +66,14 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
 
 
 def places(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Where each of ``hashes`` stands in ``found``, which is sorted and has them all. Their upper bits tell the place nearly, as hashes are even; the
-    rest is steps of one, which spares most of a binary search."""
-    shift = np.uint64(64 - max(1, len(found).bit_length() - 1))
-    first = np.searchsorted(found >> shift, np.arange((1 << 64 - int(shift)) + 1, dtype=np.uint64))
-    at = first[(hashes >> shift).astype(np.int64)]
+    """Where each of ``hashes`` stands in ``found``, which is sorted and has them all. Their upper bits, counted from the smallest as a hash range holds a small part
+    of all values, tell the place nearly, as hashes are even; the rest is steps of one, which spares most of a binary search."""
+    if not len(found):
+        return np.zeros(len(hashes), np.int64)
+    span = int(found[-1] - found[0])
+    shift = np.uint64(max(0, span.bit_length() - (len(found).bit_length() - 1)))
+    first = np.searchsorted(found - found[0] >> shift, np.arange((span >> int(shift)) + 2, dtype=np.uint64))
+    at = first[(hashes - found[0] >> shift).astype(np.int64)]
     behind = np.flatnonzero(found[at] < hashes)
     while len(behind):
         at[behind] += 1
